@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomgraph.llm import embedding, html_extract, langid, mixing, packing, quality, url_filter, warc
+from loomgraph.llm import embedding, html_extract, langid, mixing, ngram_join, packing, quality, substring, url_filter, warc
 from loomgraph.llm.oracles import QUALITY_SQL
 from loomgraph.plans.scratch import Scratch
 
@@ -35,6 +35,14 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_archives(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.remove_repeats(_table(spark, sf_dir, "documents"), Scratch(spark))
+
+
+def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.near_documents(_table(spark, sf_dir, "documents"), Scratch(spark))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality.quality_report(_table(spark, sf_dir, "documents"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -57,6 +65,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_url_filter": op2_url_filter,
     "op3_mixing": op3_mixing,
     "op4_warc": op4_warc,
+    "op5_substring_dedup": op5_substring_dedup,
+    "op6_ngram_jaccard_join": op6_ngram_jaccard_join,
     "op7_quality_rules": op7_quality_rules,
     "op8_language_id": op8_language_id,
     "op9_embedding_near_dedup": op9_embedding_near_dedup,
@@ -67,6 +77,8 @@ ORACLES: dict[str, str] = {
     "op2_url_filter": url_filter.FILTER_SQL,
     "op3_mixing": mixing.MIX_SQL,
     "op4_warc": warc.WARC_SQL,
+    "op5_substring_dedup": substring.SUBSTRING_SQL,
+    "op6_ngram_jaccard_join": ngram_join.JOIN_SQL,
     "op7_quality_rules": QUALITY_SQL,
     "op9_embedding_near_dedup": embedding.NEAR_SQL,
 }
