@@ -203,7 +203,7 @@ def train(docs: DataFrame, train_rows: int = TRAIN_ROWS) -> LanguageModel:
     return LanguageModel(langs, (logs - logs.mean(axis=1, keepdims=True)).astype(np.float32), scripts)
 
 
-def _predict(batches: Iterator[pa.RecordBatch], model: LanguageModel, switch: float) -> Iterator[pa.RecordBatch]:
+def _predict(batches: Iterator[pa.RecordBatch], model: LanguageModel, switch: float, kept: list[str]) -> Iterator[pa.RecordBatch]:
     kinds = pa.list_(pa.struct([("lang", pa.string()), ("first_word", pa.int64()), ("last_word", pa.int64())]))
     for part in itertools.chain.from_iterable(map(passes, batches)):
         flat, offsets = words_of(part.column("text"))
@@ -224,24 +224,23 @@ def _predict(batches: Iterator[pa.RecordBatch], model: LanguageModel, switch: fl
             for a, b in zip(cuts.tolist(), ends.tolist()):
                 if some[i := owner[a]]:
                     spans[i].append({"lang": model.langs[labels[a]], "first_word": a - offsets[i], "last_word": b - 1 - offsets[i]})
-        kept = [c for c in part.schema.names if c != "text"]
         yield pa.RecordBatch.from_arrays(
             [*(part.column(c) for c in kept), pa.array(pred), pa.array(score, pa.float64()), pa.array(spans, kinds)],
             names=[*kept, "lang_pred", "score", "spans"],
         )
 
 
-def identify(docs: DataFrame, model: LanguageModel, switch: float = SWITCH) -> DataFrame:
-    """(doc_id, lang_pred, score, spans) of every whole text.
+def identify(docs: DataFrame, model: LanguageModel, switch: float = SWITCH, carried: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The ``carried`` columns and lang_pred, score, spans of every whole text.
 
     ``score`` is the share of the lettered words that carry the predicted label; ``spans`` are runs
     of words (numbered from 0) of one label. Rows are independent: repeated and null ids are kept.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    schema = "doc_id {}, lang_pred string, score double, spans array<struct<lang: string, first_word: long, last_word: long>>"
-    return docs.select("doc_id", "text").mapInArrow(
-        lambda batches: _predict(batches, shared.value, switch), schema.format(docs.schema["doc_id"].dataType.simpleString())
-    )
+    kept = list(carried)
+    own = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in kept)
+    schema = own + "lang_pred string, score double, spans array<struct<lang: string, first_word: long, last_word: long>>"
+    return docs.select(*dict.fromkeys([*kept, "text"])).mapInArrow(lambda batches: _predict(batches, shared.value, switch, kept), schema)
 
 
 def language_report(docs: DataFrame) -> DataFrame:

@@ -53,12 +53,14 @@ def source_targets(sizes: DataFrame) -> DataFrame:
         "source_size",
         "weight",
         "cap",
+        F.row_number().over(order).alias("turn"),
         (
             (F.lit(SHARE) * F.sum("source_size").over(every) - F.coalesce(F.sum("cap").over(before), F.lit(0)))
             / (F.sum("weight").over(every) - F.coalesce(F.sum("weight").over(before), F.lit(0)))
         ).alias("level"),
     )
-    met = F.min(F.when(F.col("level") * F.col("weight") <= F.col("cap"), F.col("level"))).over(every)
+    fits = F.when(F.col("level") * F.col("weight") <= F.col("cap"), F.struct("turn", "level"))
+    met = F.min(fits).over(every)["level"]  # the first that fits, not the least level
     target = F.least(F.coalesce(met * F.col("weight"), F.col("cap").cast("double")), F.col("cap").cast("double"))
     return per.select("source", "source_size", target.alias("target"))
 
@@ -69,41 +71,85 @@ def _draw(doc_id: Column) -> Column:
     return F.conv(F.substring(F.md5(text.cast("binary")), 1, BITS // 4), 16, 10).cast("long")
 
 
-def mix(docs: DataFrame, scratch: Scratch) -> DataFrame:
-    """doc_id, size, source, source_size, target, copies and taken (copies times size)."""
-    sizes = scratch.save(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")), "sizes")
-    per = source_targets(sizes)
-    ratio = F.col("target") / F.col("source_size")
-    per = per.withColumn("whole", F.when(F.col("source_size") > 0, F.floor(ratio)).otherwise(F.lit(0)).cast("long"))
-    per = per.withColumn("rest", F.col("target") - F.col("whole") * F.col("source_size"))
-    per = scratch.save(per.withColumn("p", F.when(F.col("source_size") > 0, F.col("rest") / F.col("source_size")).otherwise(F.lit(0.0))), "sources")
+def _ranked(sizes: DataFrame, per: DataFrame) -> DataFrame:
+    """``sizes`` with what its source gets and each row's rank, bucket and full order.
 
-    joined = sizes.join(per.withColumnRenamed("source", "src"), sizes["source"].eqNullSafe(F.col("src"))).drop("src")
+    Sources are joined, not documents: the right side has a row for each source.
+    """
+    per = per.withColumnRenamed("source", "_source")
+    out = sizes.join(per, sizes["source"].eqNullSafe(F.col("_source"))).drop("_source")
     u = (_draw(F.col("doc_id")) + 0.5) / float(1 << BITS)
     odds = F.when((F.col("p") > 0) & (F.col("p") < 1), (u / (1 - u)) / (F.col("p") / (1 - F.col("p"))))
-    ranked = joined.withColumn("q", F.coalesce(odds, F.when(F.col("p") >= 1, F.lit(0.0)).otherwise(F.lit(float("inf")))))
+    out = out.withColumn("q", F.coalesce(odds, F.when(F.col("p") >= 1, F.lit(0.0)).otherwise(F.lit(float("inf")))))
     # the rank on (0, 1): uniform where all of a source share one inclusion probability
     scaled = F.when(F.col("q") == float("inf"), F.lit(1.0)).otherwise(F.col("q") * F.col("p") / (1 - F.col("p") + F.col("q") * F.col("p")))
-    ranked = ranked.withColumn("bucket", F.least(F.floor(F.coalesce(scaled, F.lit(0.0)) * BUCKETS), F.lit(BUCKETS - 1)))
+    bucket = F.least(F.floor(F.coalesce(scaled, F.lit(0.0)) * BUCKETS), F.lit(BUCKETS - 1))
+    place = F.struct("q", F.isnull("doc_id").alias("unnamed"), F.col("doc_id").alias("id"), F.col("size").alias("words"))
+    return out.withColumn("bucket", bucket).withColumn("place", place)
 
+
+def mixture_plan(sizes: DataFrame, scratch: Scratch) -> DataFrame:
+    """A row for each source: source_size, target, whole, p, rest, and where its ranking is cut.
+
+    ``sizes`` (doc_id, source, size) should be a written table, as it is read several times. Rows
+    in a bucket before ``cut_bucket``, and those in it up to the place ``last``, are taken once more.
+    """
+    per = source_targets(sizes)
+    ratio = F.col("target") / F.col("source_size")
+    per = per.withColumn("whole", F.when(F.col("source_size") > 0, F.floor(ratio)).otherwise(F.lit(0)).cast("long"))
+    per = per.withColumn("rest", F.col("target") - F.col("whole") * F.col("source_size"))
+    per = scratch.save(per.withColumn("p", F.when(F.col("source_size") > 0, F.col("rest") / F.col("source_size")).otherwise(F.lit(0.0))), "sources")
+
+    ranked = _ranked(sizes, per)
     filled = ranked.groupBy("source", "bucket").agg(F.sum("size").alias("in_bucket"), F.first("rest").alias("limit"))
     running = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     filled = filled.withColumn("before", F.coalesce(F.sum("in_bucket").over(running), F.lit(0)))
     cut = filled.where("before <= limit and before + in_bucket > limit").groupBy("source").agg(F.min("bucket").alias("cut_bucket"), F.min_by("before", "bucket").alias("cut_before"))
-    cut = cut.withColumnRenamed("source", "src")
-    ranked = ranked.join(cut, ranked["source"].eqNullSafe(F.col("src")), "left").drop("src")
+    per = scratch.save(_by_source(per, cut), "cuts")
 
-    at_cut = F.coalesce(F.col("bucket") == F.col("cut_bucket"), F.lit(False))
-    under = F.coalesce(F.col("bucket") < F.col("cut_bucket"), F.col("p") > 0)
-    settled = ranked.where(~at_cut).withColumn("extra", under.cast("long"))
-    order = Window.partitionBy("source").orderBy("q", F.col("doc_id").asc_nulls_last(), "size").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    near = _ranked(sizes, per).where("bucket = cut_bucket")
+    order = Window.partitionBy("source").orderBy("place").rangeBetween(Window.unboundedPreceding, Window.currentRow)
     so_far = F.col("cut_before") + F.sum("size").over(order)
-    twins = Window.partitionBy("source", "q", "doc_id", "size")
-    own = F.sum("size").over(twins)
-    open_ = ranked.where(at_cut).withColumn("extra", (so_far - own / 2 <= F.col("rest")).cast("long"))
-    chosen = settled.unionByName(open_)
-    copies = F.when(F.col("size") > 0, F.col("whole") + F.col("extra")).otherwise(F.lit(0)).cast("long")
-    return chosen.select("doc_id", "size", "source", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+    own = F.sum("size").over(Window.partitionBy("source", "place"))
+    last = near.where("p > 0").withColumn("fits", so_far - own / 2 <= F.col("rest")).where("fits").groupBy("source").agg(F.max("place").alias("last"))
+    return scratch.save(_by_source(per, last), "plan")
+
+
+def _by_source(per: DataFrame, more: DataFrame) -> DataFrame:
+    more = more.withColumnRenamed("source", "_source")
+    return per.join(more, per["source"].eqNullSafe(F.col("_source")), "left").drop("_source")
+
+
+def _copies(rows: DataFrame, plan: DataFrame) -> DataFrame:
+    """``rows`` (with doc_id, source, size) and the column copies."""
+    out = _ranked(rows, plan)
+    before = F.col("bucket") < F.col("cut_bucket")
+    at = (F.col("bucket") == F.col("cut_bucket")) & F.coalesce(F.col("place") <= F.col("last"), F.lit(False))
+    extra = F.coalesce(before | at, F.lit(True)) & (F.col("p") > 0)
+    return out.withColumn("copies", F.when(F.col("size") > 0, F.col("whole") + extra.cast("long")).otherwise(F.lit(0)).cast("long"))
+
+
+def _sizes(docs: DataFrame, scratch: Scratch) -> DataFrame:
+    return scratch.save(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")), "sizes")
+
+
+def mix(docs: DataFrame, scratch: Scratch) -> DataFrame:
+    """doc_id, size, source, source_size, target, copies and taken (copies times size)."""
+    sizes = _sizes(docs, scratch)
+    out = _copies(sizes, mixture_plan(sizes, scratch))
+    return out.select("doc_id", "size", "source", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+
+
+def repeat_rows(docs: DataFrame, scratch: Scratch) -> DataFrame:
+    """The rows of ``docs``, each as often as the mix takes it.
+
+    Rows are decided where they are scanned, from their source's row of the plan: texts aren't shuffled.
+    """
+    plan = mixture_plan(_sizes(docs, scratch), scratch)
+    carried = F.struct(*docs.columns).alias("_row")
+    rows = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), carried)
+    taken = _copies(rows, plan).where("copies > 0").select("_row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("_copy"))
+    return taken.select(*(F.col("_row").getField(c).alias(c) for c in docs.columns))
 
 
 #: The same rows in DuckDB: each source is ordered as a whole.
@@ -113,10 +159,11 @@ WITH sizes AS (
 per AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM sizes GROUP BY source),
 placed AS (SELECT *, [{", ".join(map(str, WEIGHTS))}][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % {len(WEIGHTS)} + 1] AS weight, {CAP} * source_size AS cap FROM per),
 levels AS (
-  SELECT *, ({SHARE}::DOUBLE * sum(source_size) OVER () - coalesce(sum(cap) OVER w, 0)) / (sum(weight) OVER () - coalesce(sum(weight) OVER w, 0)) AS level
+  SELECT *, row_number() OVER w AS turn, ({SHARE}::DOUBLE * sum(source_size) OVER () - coalesce(sum(cap) OVER w, 0)) / (sum(weight) OVER () - coalesce(sum(weight) OVER w, 0)) AS level
   FROM placed WINDOW w AS (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+met AS (SELECT arg_min(level, turn) AS level FROM levels WHERE level * weight <= cap),
 targets AS (
-  SELECT source, source_size, least(coalesce(min(CASE WHEN level * weight <= cap THEN level END) OVER () * weight, cap::DOUBLE), cap::DOUBLE) AS target FROM levels),
+  SELECT source, source_size, least(coalesce(m.level * weight, cap::DOUBLE), cap::DOUBLE) AS target FROM levels, met m),
 parts AS (
   SELECT *, CASE WHEN source_size > 0 THEN CAST(floor(target / source_size) AS BIGINT) ELSE 0 END AS whole FROM targets),
 rests AS (SELECT *, target - whole * source_size AS rest, CASE WHEN source_size > 0 THEN (target - whole * source_size) / source_size ELSE 0 END AS p FROM parts),
