@@ -64,6 +64,9 @@ LABELLED = """
 1 1 0 0 1 1 1 0 0 0 | 1 1 1 1 1 1 1 0 0 0 | 2 1 1 1 9 0 1 0 0 0 | 9 0 1 1 10 0 1 0 0 0 | 12 0 60 0 0 0 1 0 0 0 | 10 .1 30 0 0 0 1 0 0 0
 40 0 8 0 50 0 1 0 0 0 | 60 .1 40 0 20 0 1 0 0 0 | 25 0 30 0 15 0 1 1 0 0 | 9 0 45 0 50 0 1 1 0 0 | 3 0 80 0 12 0 1 1 1 0 | 55 0 3 0 40 0 1 1 0 0
 18 0 55 0 6 0 1 1 0 0 | 2 0 8 1 20 0 1 0 1 0 | 5 1 40 0 5 1 1 1 0 0 | 100 0 2 0 90 0 1 0 0 0 | 1 0 100 0 2 0 1 1 0 0 | 7 .4 2 0 30 0 1 0 0 0
+18 0 2 0 2 1 1 0 0 0 | 22 0 1 1 14 0 1 0 0 0 | 16 .1 18 0 3 0 1 0 0 0 | 30 0 16 .1 9 0 1 0 0 0 | 90 .2 4 0 3 .3 1 0 0 0 | 45 0 1 1 1 1 1 0 0 0
+20 0 20 0 20 0 1 0 0 0 | 65 0 2 0 2 0 1 0 0 0 | 28 .3 9 0 70 0 1 0 0 0 | 17 0 0 0 4 .9 1 0 0 0 | 33 0 70 0 1 0 1 1 0 0 | 24 0 12 0 26 0 1 1 0 0
+200 0 90 0 80 0 1 0 0 0 | 38 0 3 1 4 1 1 0 0 0 | 26 0 4 0 1 1 1 0 1 0 | 19 0 6 .5 8 .5 1 1 0 0 | 70 0 60 0 40 0 1 1 0 0 | 21 .4 2 0 2 0 1 0 0 0
 35 0 5 0 40 0 0 0 0 1 | 40 .05 35 0 22 0 0 0 0 1 | 22 0 40 .05 3 1 0 0 0 1 | 120 0 30 0 60 0 0 0 0 1 | 15 0 60 0 50 0 0 0 0 1 | 12 0 40 .1 35 .1 0 0 0 1
 7 0 2 1 60 0 0 0 1 1 | 5 0 45 0 50 0 0 0 1 1 | 9 0 0 0 35 0 0 0 1 1 | 3 0 33 0 41 0 0 0 0 1 | 6 0 28 0 52 0 0 0 0 1 | 70 .2 5 0 15 0 0 0 0 1
 5 1 4 1 60 0 0 0 0 0 | 3 1 2 1 45 0 0 0 0 0 | 1 1 1 1 30 0 0 0 0 0 | 12 .9 3 1 80 0 0 0 0 0 | 2 1 30 0 60 0 0 0 0 0 | 4 .9 50 0 35 0 0 0 0 0
