@@ -28,6 +28,7 @@ def spread(steps: DataFrame, seeds: DataFrame, scratch: Scratch, depth: int | No
 
     Each round joins the frontier only and drops what is known by an anti join.
     """
+    steps = scratch.save(steps, "steps")
     seen = frontier = scratch.save(seeds.select("id").distinct().withColumn("depth", F.lit(0)), "seen")
     round_ = 0
     while depth is None or round_ < depth:
@@ -59,7 +60,7 @@ def shortest_paths(pairs: DataFrame, start: str, scratch: Scratch, depth: int =
 
     Of the predecessors at equal distance the one whose own path is smallest wins.
     """
-    spark = pairs.sparkSession
+    spark, pairs = pairs.sparkSession, scratch.save(pairs, "pairs")
     known = frontier = scratch.save(spark.createDataFrame([(start, 0, [start])], "id string, hops int, path array<string>"), "paths")
     for hop in range(1, depth + 1):
         step = frontier.select(F.col("id").alias("src"), "path").join(pairs, "src").groupBy("dst").agg(F.min("path").alias("path"))
@@ -180,6 +181,7 @@ def acyclic(nodes: DataFrame, pairs: DataFrame, scratch: Scratch) -> DataFrame:
 def containment_ancestors(g: Graph, scratch: Scratch, depth: int = 16) -> DataFrame:
     """Every (id, ancestor, depth) over ``contains`` edges, nearest first."""
     up = g.edges.where("kind = 'contains' and src <> dst").groupBy(F.col("dst").alias("id")).agg(F.min("src").alias("parent"))
+    up = scratch.save(up, "parents")
     level = up.select("id", F.col("parent").alias("ancestor"), F.lit(1).alias("depth"))
     out = level = scratch.save(level, "up")
     for d in range(2, depth + 1):

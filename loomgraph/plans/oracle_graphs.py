@@ -55,3 +55,16 @@ steps AS (SELECT user_id, src, dst, event_id AS seq, ts FROM ev WHERE dst IS NOT
 
 UNDIRECTED = "und AS (SELECT DISTINCT least(src, dst) AS a, greatest(src, dst) AS b FROM edges WHERE src <> dst), both_ways AS (SELECT a AS id, b AS other FROM und UNION ALL SELECT b, a FROM und)"
 DIRECTED = "dir AS (SELECT DISTINCT src, dst FROM edges WHERE src <> dst)"
+
+CONTRACTS = """
+br AS (SELECT DISTINCT p_brand, substr(p_brand, 1, 7) AS m FROM part),
+li AS (SELECT DISTINCT l_suppkey, l_partkey, l_returnflag FROM lineitem WHERE l_partkey % 5 = 0),
+nodes AS (
+  SELECT DISTINCT concat('m:', m) AS id, 'interface' AS kind, m AS name, m AS grp, '' AS role FROM br
+  UNION ALL SELECT concat('b:', p_brand), 'interface', p_brand, m, '' FROM br
+  UNION ALL SELECT concat('p', p_partkey), 'type', p_name, p_brand, p_type FROM part
+  UNION ALL SELECT concat('s', s_suppkey), 'function', s_name, '', '' FROM supplier),
+edges AS (
+  SELECT concat('b:', p_brand) AS src, concat('m:', m) AS dst, 'embeds' AS kind FROM br
+  UNION ALL SELECT concat('p', p_partkey), concat('b:', p_brand), 'implements' FROM part
+  UNION ALL SELECT DISTINCT concat('s', l_suppkey), concat('p', l_partkey), CASE WHEN l_returnflag = 'R' THEN 'returns' ELSE 'usesType' END FROM li)"""

@@ -31,6 +31,7 @@ class Scratch:
         self.spark = spark
         self.root = f"{shared_dir(spark)}/loomgraph-{uuid.uuid4().hex}"
         self._n = 0
+        self._kept: dict[object, DataFrame] = {}
         atexit.register(self.clear)
 
     def path(self, name: str) -> str:
@@ -45,6 +46,12 @@ class Scratch:
         out._loom_path = path
         return out
 
+    def once(self, key: object, build: Callable[[], DataFrame]) -> DataFrame:
+        """The table saved under ``key``, built at first use."""
+        if key not in self._kept:
+            self._kept[key] = self.save(build(), "once")
+        return self._kept[key]
+
     def drop(self, df: DataFrame) -> None:
         """Remove a table that nothing reads any more."""
         if path := getattr(df, "_loom_path", None):

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from loomgraph.functions import scalars
 from loomgraph.graph import Graph
-from loomgraph.operators import degrees, linalg, motifs, sets, statistics, traversal
+from loomgraph.operators import contracts, degrees, linalg, motifs, records, sets, statistics, traversal
 from loomgraph.plans import oracle_graphs as sql
 from loomgraph.plans.scratch import Scratch
 from loomgraph.sources import derive
@@ -684,3 +684,115 @@ def _(spark, d):
 def _(spark, d):
     out = stream.sessions(derive.table(spark, d, "events"))
     return out.select("user_id", F.col("session_start").cast("timestamp_ntz").alias("session_start"), F.col("session_end").cast("timestamp_ntz").alias("session_end"), "events")
+
+
+# --- contracts and patterns -------------------------------------------------------------------
+
+CONTRACTS = sql.CONTRACTS
+
+
+def _interfaces(g: Graph) -> DataFrame:
+    return g.nodes.where("kind in ('interface', 'type')").select("id")
+
+
+@query("contract_producers", with_(CONTRACTS) + "SELECT DISTINCT dst AS contract, src AS id, n.kind FROM edges JOIN nodes n ON src = n.id WHERE edges.kind IN ('returns', 'implements') AND dst IN (SELECT id FROM nodes WHERE kind IN ('interface', 'type'))")
+def _(spark, d):
+    g = derive.contracts(spark, d)
+    return contracts.producers(g, _interfaces(g))
+
+
+@query("contract_consumers", with_(CONTRACTS) + "SELECT DISTINCT dst AS contract, src AS id, CASE kind WHEN 'usesType' THEN 'user' ELSE 'embedder' END AS role FROM edges WHERE kind IN ('usesType', 'embeds') AND dst IN (SELECT id FROM nodes WHERE kind IN ('interface', 'type'))")
+def _(spark, d):
+    g = derive.contracts(spark, d)
+    return contracts.consumers(g, _interfaces(g))
+
+
+@query("contract_propagation", with_(CONTRACTS, "walk AS (SELECT id, 0 AS k FROM nodes WHERE id IN ('m:Brand#1', 'm:Brand#3') UNION SELECT e.src, 1 FROM walk w JOIN edges e ON e.dst = w.id AND e.kind = 'embeds')", recursive=True) + "SELECT id, CASE WHEN min(k) = 0 THEN 'explicit' ELSE 'embedded' END AS source FROM walk GROUP BY id")
+def _(spark, d):
+    g = derive.contracts(spark, d)
+    return contracts.propagate(g, g.nodes.where("id in ('m:Brand#1', 'm:Brand#3')").select("id"), Scratch(spark))
+
+
+@query("contract_fingerprint", with_(CONTRACTS) + ", m AS (SELECT DISTINCT dst AS id, concat_ws(':', kind, src) AS m FROM edges), t AS (SELECT id, string_agg(m, chr(10) ORDER BY m) AS m FROM m GROUP BY id) SELECT n.id, sha256(concat_ws(chr(10), n.id, n.kind, coalesce(t.m, ''))) AS fingerprint FROM nodes n LEFT JOIN t USING (id) WHERE n.kind = 'interface'")
+def _(spark, d):
+    g = derive.contracts(spark, d)
+    return contracts.fingerprint(g, g.nodes.where("kind = 'interface'").select("id"))
+
+
+@query("contract_classify", with_(CONTRACTS) + "SELECT id, CASE WHEN kind = 'interface' THEN 'interface' WHEN kind = 'function' AND id IN (SELECT src FROM edges WHERE kind = 'returns') THEN 'handler' WHEN kind = 'type' AND regexp_matches(name, '^[A-Z]') THEN 'dto' ELSE 'none' END AS contract_kind FROM nodes")
+def _(spark, d):
+    return contracts.classify(derive.contracts(spark, d))
+
+
+@query("contract_kinds", with_(CONTRACTS) + "SELECT kind, count(*)::BIGINT AS nodes FROM nodes GROUP BY kind")
+def _(spark, d):
+    return derive.contracts(spark, d).nodes.groupBy("kind").agg(F.count("*").alias("nodes"))
+
+
+@query("contract_resolution", with_(CONTRACTS) + ", w(name) AS (VALUES ('Brand#1'), ('Brand#11'), ('no such thing')), k AS (SELECT name, min(id) AS id FROM nodes GROUP BY name) SELECT name, id, CASE WHEN id IS NULL THEN 'unresolved' ELSE 'ok' END AS reason FROM w LEFT JOIN k USING (name)")
+def _(spark, d):
+    wanted = spark.createDataFrame([("Brand#1",), ("Brand#11",), ("no such thing",)], "name string")
+    return contracts.resolve(wanted, derive.contracts(spark, d))
+
+
+@query("boundary_context", with_(CONTRACTS) + ", r AS (SELECT id FROM nodes WHERE grp = 'Brand#11') SELECT src, dst, kind, CASE WHEN src IN (FROM r) THEN 'out' ELSE 'in' END AS way FROM edges WHERE (src IN (FROM r)) <> (dst IN (FROM r))")
+def _(spark, d):
+    g = derive.contracts(spark, d)
+    return contracts.boundary(g, g.nodes.where("grp = 'Brand#11'").select("id"))
+
+
+@query("call_flow", with_(CONTRACTS, "walk AS (SELECT 's1' AS id, 0 AS k UNION SELECT dst, k + 1 FROM walk JOIN edges ON src = id WHERE k < 3)", recursive=True) + "SELECT id, min(k)::INTEGER AS depth FROM walk GROUP BY id")
+def _(spark, d):
+    g = derive.contracts(spark, d)
+    return traversal.reachable(g.edges.select("src", "dst").distinct(), spark.createDataFrame([("s1",)], "id string"), Scratch(spark), 3)
+
+
+@query("external_noise", with_(CONTRACTS) + ", f AS (SELECT id FROM nodes WHERE kind = 'function' AND hash(id) IS NOT NULL AND (right(id, 1) IN ('1', '2', '3', '4', '5', '6', '7'))), x AS (SELECT dst AS id, count(*) AS n, count(*) FILTER (src IN (FROM f)) AS k FROM edges JOIN nodes t ON dst = t.id AND t.kind = 'type' WHERE edges.kind IN ('returns', 'usesType') AND src <> dst GROUP BY dst) SELECT id, n::BIGINT AS inbound, k::BIGINT AS foreign_inbound, round(k / n, 6) AS share FROM x WHERE n >= 5 AND k / n >= 0.7")
+def _(spark, d):
+    g = derive.contracts(spark, d)
+    foreign = g.nodes.where(F.substring("id", -1, 1).isin(list("1234567")) & (F.col("kind") == "function")).select("id")
+    return contracts.external_noise(g, foreign, kinds=("returns", "usesType")).select("id", "inbound", "foreign_inbound", *r6("share"))
+
+
+@query(
+    "verify_pattern",
+    with_(CONTRACTS)
+    + """, a AS (SELECT DISTINCT src, dst FROM edges WHERE kind = 'returns'), b AS (SELECT DISTINCT src, dst FROM edges WHERE kind = 'implements'), c AS (SELECT DISTINCT src, dst FROM edges WHERE kind = 'embeds')
+SELECT a.src AS maker, a.dst AS impl, b.dst AS iface, c.dst AS base FROM a JOIN b ON a.dst = b.src JOIN c ON b.dst = c.src""",
+)
+def _(spark, d):
+    roles = {"maker": "function", "impl": "type", "iface": "interface", "base": "interface"}
+    return contracts.match_pattern(derive.contracts(spark, d), roles, [("maker", "impl", "returns"), ("iface", "base", "embeds"), ("impl", "iface", "implements")])
+
+
+@query("metric_records")
+def _(spark, d):
+    return records.run_metrics(derive.nations(spark, d), Scratch(spark))
+
+
+@query("metric_cycle_records", with_(NATIONS, sql.DIRECTED, CLOSURE, recursive=True) + SCC + ", z AS (SELECT least(id, m) AS scc, count(*) AS n FROM s GROUP BY 1 HAVING count(*) > 1) SELECT 'cycle_rank' AS metric, 'graph' AS scope, '' AS target, (SELECT count(*) FROM z)::DOUBLE AS value UNION ALL SELECT 'cycle_rank', 'region', scc, n::DOUBLE FROM z UNION ALL SELECT 'zero', 'graph', '', 0 UNION ALL SELECT 'nothing', 'error', 'unknown metric', NULL")
+def _(spark, d):
+    return records.run_metrics(derive.nations(spark, d), Scratch(spark), ["cycle_rank", "zero", "nothing", "zero"])
+
+
+@query("metric_snapshot", with_(NATIONS, sql.UNDIRECTED) + CURVATURE + "SELECT 'now' AS label, 'curvature' AS metric, round(avg(kappa), 9) AS value FROM k")
+def _(spark, d):
+    return records.snapshot(records.run_metrics(derive.nations(spark, d), Scratch(spark), ["curvature"]), "now")
+
+
+@query("detect_outliers", with_(TRADE) + MZ.replace("count(e.src) AS value", "count(e.src)::DOUBLE AS value") + " SELECT 'fan_in' AS metric, id, round(coalesce(0.6745 * (value - median) / nullif(mad, 0), value), 6) AS score FROM v, m, s WHERE CASE WHEN mad > 0 THEN 0.6745 * (value - median) / mad >= 3.5 ELSE value >= 2 END")
+def _(spark, d):
+    v = degrees.bag_degrees(derive.trade(spark, d)).select(F.lit("fan_in").alias("metric"), F.lit("node").alias("scope"), F.col("id").alias("target"), F.col("ca").cast("double").alias("value"))
+    return records.detect(v, "fan_in", "node", 3.5, 2).select("metric", "id", *r6("score"))
+
+
+@query("best_proposals", with_(NATIONS) + ", p AS (SELECT src AS metric, dst AS target, n::DOUBLE AS score, seq FROM edges UNION ALL SELECT src, dst, n::DOUBLE, seq + 10 FROM edges), r AS (SELECT *, row_number() OVER (PARTITION BY metric, target ORDER BY score DESC, seq) AS r FROM p) SELECT metric, target, score, seq::BIGINT AS seq FROM r WHERE r = 1")
+def _(spark, d):
+    e = derive.nations(spark, d).edges.select(F.col("src").alias("metric"), F.col("dst").alias("target"), F.col("n").cast("double").alias("score"), F.col("seq").cast("long").alias("seq"))
+    return records.best_per_group(e.unionByName(e.withColumn("seq", F.col("seq") + 10)))
+
+
+@query("conflict_free_proposals")
+def _(spark, d):
+    e = derive.nations(spark, d).edges
+    return records.without_conflicts(e.select(F.concat_ws(">", "src", "dst").alias("id"), F.col("n").cast("double").alias("score"), F.array("src", "dst").alias("members")), Scratch(spark)).select("id", "score")

@@ -86,3 +86,21 @@ def transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     order = Window.partitionBy("user_id").orderBy("ts", "event_id")
     events = table(spark, sf_dir, "events").select("user_id", "event_id", "ts", F.col("event_type").alias("src"), F.lead("event_type").over(order).alias("dst"))
     return events.where("dst is not null").select("user_id", "src", "dst", F.col("event_id").alias("seq"), "ts")
+
+
+def contracts(spark: SparkSession, sf_dir: str) -> Graph:
+    """Interfaces (makers, brands), types (parts) and functions (suppliers): embeds, implements, returns, usesType."""
+    part = table(spark, sf_dir, "part")
+    brand = part.select("p_brand").distinct()
+    maker = brand.select(F.substring("p_brand", 1, 7).alias("m")).distinct()
+    lines = table(spark, sf_dir, "lineitem").where("l_partkey % 5 = 0").select("l_suppkey", "l_partkey", "l_returnflag").distinct()
+    a = maker.select(_named("m:", "m").alias("id"), F.lit("interface").alias("kind"), F.col("m").alias("name"), F.col("m").alias("grp"), F.lit("").alias("role"))
+    b = brand.select(_named("b:", "p_brand").alias("id"), F.lit("interface").alias("kind"), F.col("p_brand").alias("name"), F.substring("p_brand", 1, 7).alias("grp"), F.lit("").alias("role"))
+    c = part.select(_named("p", "p_partkey").alias("id"), F.lit("type").alias("kind"), F.col("p_name").alias("name"), F.col("p_brand").alias("grp"), F.col("p_type").alias("role"))
+    s = table(spark, sf_dir, "supplier").select(_named("s", "s_suppkey").alias("id"), F.lit("function").alias("kind"), F.col("s_name").alias("name"), F.lit("").alias("grp"), F.lit("").alias("role"))
+    embeds = brand.select(_named("b:", "p_brand").alias("src"), F.concat(F.lit("m:"), F.substring("p_brand", 1, 7)).alias("dst"), F.lit("embeds").alias("kind"))
+    implements = part.select(_named("p", "p_partkey").alias("src"), _named("b:", "p_brand").alias("dst"), F.lit("implements").alias("kind"))
+    kind = F.when(F.col("l_returnflag") == "R", "returns").otherwise("usesType")
+    used = lines.select(_named("s", "l_suppkey").alias("src"), _named("p", "l_partkey").alias("dst"), kind.alias("kind")).distinct()
+    edges = embeds.unionByName(implements).unionByName(used).withColumn("seq", F.lit(0).cast("long"))
+    return Graph(a.unionByName(b).unionByName(c).unionByName(s), edges)
