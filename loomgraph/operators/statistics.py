@@ -43,7 +43,7 @@ def rank_anomalies(anomalies: DataFrame) -> DataFrame:
     Ranking is a range-partitioned sort; ``rank`` counts from 1 in that order.
     """
     order = Window.orderBy(F.desc("score"), "metric", "id")
-    return anomalies.withColumn("rank", F.row_number().over(order))
+    return anomalies.withColumn("rank", F.row_number().over(order).cast("long"))
 
 
 def top(rows: DataFrame, n: int, *order: Column) -> DataFrame:
@@ -53,13 +53,13 @@ def top(rows: DataFrame, n: int, *order: Column) -> DataFrame:
 
 def even_chunks(rows: DataFrame, groups: int, order: str = "id") -> DataFrame:
     """Sorted rows dealt evenly; the first groups get the remainder."""
-    return rows.withColumn("chunk", F.ntile(groups).over(Window.orderBy(order)))
+    return rows.withColumn("chunk", F.ntile(groups).over(Window.orderBy(order)).cast("long"))
 
 
 def budgeted(rows: DataFrame, cost: Column, budget: float, *order: str, cap: int) -> DataFrame:
     """The prefix, in the given order, of at most ``cap`` rows whose running cost stays within ``budget``."""
     w = Window.orderBy(*order)
-    out = rows.withColumn("place", F.row_number().over(w)).withColumn("spent", F.sum(cost).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    out = rows.withColumn("place", F.row_number().over(w).cast("long")).withColumn("spent", F.sum(cost).over(w.rowsBetween(Window.unboundedPreceding, 0)))
     return out.where((F.col("place") <= cap) & (F.col("spent") <= budget))
 
 
@@ -113,10 +113,10 @@ def sweep_cut(g: Graph, weights: DataFrame) -> DataFrame:
     cut and volume are sums over one row for each edge end, whatever the prefix.
     """
     order = Window.orderBy(F.desc("weight"), "id")
-    ranked = weights.select("id", F.row_number().over(order).alias("place"))
+    ranked = weights.select("id", F.row_number().over(order).cast("long").alias("place"))
     pairs = g.undirected()
     ends = pairs.join(ranked.select(F.col("id").alias("a"), F.col("place").alias("pa")), "a", "left").join(ranked.select(F.col("id").alias("b"), F.col("place").alias("pb")), "b", "left")
-    far = F.lit(2**31)
+    far = F.lit(2**62)
     ends = ends.select(F.least(F.coalesce("pa", far), F.coalesce("pb", far)).alias("enter"), F.greatest(F.coalesce("pa", far), F.coalesce("pb", far)).alias("leave"))
     delta = ends.select(F.col("enter").alias("place"), F.lit(1).alias("d")).unionByName(ends.select(F.col("leave").alias("place"), F.lit(-1).alias("d"))).groupBy("place").agg(F.sum("d").alias("d"))
     volume = pairs.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("deg"))
