@@ -29,7 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -163,9 +163,9 @@ def _window_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _, k = _document_names(h, offsets)
         ids = part.column("doc_id").to_numpy(zero_copy_only=False)
         marks = np.zeros(len(h) + 1, np.int32)
-        for i, places in enumerate(part.column("places").to_pylist()):
+        for i, (places, copies) in enumerate(zip(part.column("_places").to_pylist(), part.column("_copies").to_pylist())):
             low, high = int(offsets[i]), int(offsets[i + 1]) - WINDOW
-            if high < low or -1 in places:  # a copy of a whole document needs no windows
+            if high < low or k[i] in copies:  # a copy of a whole document needs no windows
                 continue
             at = low + np.array(places, np.int64)
             np.add.at(marks, np.clip(at - (WINDOW - GRAM), low, high + 1), 1)
@@ -183,7 +183,7 @@ def _window_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _kept_words(batches: Iterator[pa.RecordBatch], names: list[str], digest: bool) -> Iterator[pa.RecordBatch]:
     for part in itertools.chain.from_iterable(map(passes, batches)):
-        marked = part.column("marked").to_pylist()
+        marked = part.column("_marked").to_pylist()
         some = [i for i, m in enumerate(marked) if m]
         codes = {}
         if some:
@@ -209,47 +209,60 @@ def _kept_words(batches: Iterator[pa.RecordBatch], names: list[str], digest: boo
             n_words.append(len(words))
             n_removed.append(gone)
             results.append(hashlib.sha256(joined).hexdigest() if digest else text if not gone else joined.decode())
-        own = [c for c in part.schema.names if c not in ("text", "marked")]
+        own = [c for c in part.schema.names if c not in ("text", "_marked")]
         yield pa.RecordBatch.from_arrays([*(part.column(c) for c in own), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(results, pa.string())], names=names)
 
 
-def _marks(docs: DataFrame, scratch: Scratch) -> DataFrame:
-    """(doc_id, marked): starts of the repeated windows of each document that has any, -1 for a whole copy."""
-    known = docs.select("doc_id", "text").where("doc_id is not null")
-    found = known.mapInArrow(_anchor_rows, "h long, k int, doc_id long, at int")
+def _marks(known: DataFrame, scratch: Scratch) -> DataFrame:
+    """(_marked_id, _marked): starts of the repeated windows of each document that has any, -1 for a whole copy."""
+    found = known.select("doc_id", "text").mapInArrow(_anchor_rows, "h long, k int, doc_id long, at int")
     name = Window.partitionBy("h", "k")
     least, most = F.min("doc_id").over(name), F.max("doc_id").over(name)
     shared = found.withColumn("least", least).withColumn("most", most).where("least < most and (at >= 0 or least < doc_id)")
     shared = scratch.save(shared.select("doc_id", "at", "k"), "shared")
-    places = shared.groupBy("doc_id").agg(F.collect_list("at").alias("places"))
+    # rows that repeat an id with another text are told apart by k
+    whole = F.col("at") < 0
+    places = shared.groupBy("doc_id").agg(F.collect_list(F.when(~whole, F.col("at"))).alias("_places"), F.collect_set(F.when(whole, F.col("k"))).alias("_copies"))
     windows = known.join(places, "doc_id").mapInArrow(_window_rows, "h1 long, h2 int, doc_id long, k int, start int")
     repeated = windows.withColumn("least", F.min("doc_id").over(Window.partitionBy("h1", "h2"))).where("least < doc_id")
     copies = shared.where("at < 0").select("doc_id", "k", F.col("at").alias("start"))
     marked = repeated.select("doc_id", "k", "start").unionByName(copies)
-    return marked.groupBy("doc_id").agg(F.collect_list(F.struct("k", "start")).alias("marked"))
+    return marked.groupBy(F.col("doc_id").alias("_marked_id")).agg(F.collect_list(F.struct("k", "start")).alias("_marked"))
+
+
+def _judged(docs: DataFrame, scratch: Scratch, names: list[str], fields: str, digest: bool) -> DataFrame:
+    """All rows of ``docs`` (doc_id long, text and more), after ``_kept_words``.
+
+    Windows are cut from, and marks joined to, the same rows in the same partitioning: the plan
+    deals out the texts once and reads that exchange twice. Rows without an id need neither.
+    """
+    known = docs.where("doc_id is not null")
+    both = known.join(_marks(known, scratch), F.col("doc_id") == F.col("_marked_id"), "left").drop("_marked_id")
+    rest = docs.where("doc_id is null").withColumn("_marked", F.lit(None).cast(both.schema["_marked"].dataType))
+    work = lambda it: _kept_words(it, names, digest)
+    return both.mapInArrow(work, fields).unionByName(rest.mapInArrow(work, fields))
 
 
 def remove_repeats(docs: DataFrame, scratch: Scratch) -> DataFrame:
     """doc_id, n_words, n_removed and kept_sha256 of every row of ``docs`` (doc_id, text)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     names = ["doc_id", "n_words", "n_removed", "kept_sha256"]
-    both = _with_marks(docs, _marks(docs, scratch), F.col("doc_id"))
-    return both.mapInArrow(lambda it: _kept_words(it, names, True), "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    return _judged(docs, scratch, names, "doc_id long, n_words long, n_removed long, kept_sha256 string", True)
 
 
 def strip_repeats(docs: DataFrame, scratch: Scratch) -> DataFrame:
-    """``docs`` with the repeated words taken out of ``text``; untouched texts stay as they are, other columns too."""
-    others = [c for c in docs.columns if c != "text"]
-    names = [*others, "_n_words", "_n_removed", "text"]
-    fields = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in others), "_n_words long, _n_removed long, text string"])
-    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    both = _with_marks(docs, _marks(slim, scratch), F.col("doc_id").cast("long"))
-    return both.mapInArrow(lambda it: _kept_words(it, names, False), fields).select(*docs.columns)
-
-
-def _with_marks(docs: DataFrame, marked: DataFrame, key: Column) -> DataFrame:
-    found = marked.withColumnRenamed("doc_id", "_marked_id")
-    return docs.join(found, key == F.col("_marked_id"), "left").drop("_marked_id")
+    """``docs`` with the repeated words taken out of ``text``; untouched texts stay as they are, other columns too.
+
+    Other columns travel under names that clash with nothing.
+    """
+    kinds = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
+    names = {c: c if c in ("doc_id", "text") else f"_{i}" for i, c in enumerate(docs.columns)}
+    plain = docs.select(*(F.col(c).cast("long").alias(n) if c == "doc_id" else F.col(c).alias(n) for c, n in names.items()))
+    carried = [c for c in docs.columns if c != "text"]
+    out = [*(names[c] for c in carried), "n_words", "n_removed", "text"]
+    fields = ", ".join([*(f"{names[c]} {'long' if c == 'doc_id' else kinds[c]}" for c in carried), "n_words long, n_removed long, text string"])
+    done = _judged(plain, scratch, out, fields, False)
+    return done.select(*(F.col(names[c]).cast(kinds[c]).alias(c) for c in docs.columns))
 
 
 #: The same rows in DuckDB, window by window.
