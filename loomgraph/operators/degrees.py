@@ -149,3 +149,9 @@ def majority_parent(members: DataFrame) -> DataFrame:
     counts = members.groupBy("community", "parent").agg(F.count("*").alias("n"))
     best = counts.groupBy("community").agg(F.min(F.struct((-F.col("n")).alias("n"), "parent")).alias("best"), F.sum("n").alias("size"))
     return best.select("community", F.col("best.parent").alias("parent"), (-F.col("best.n")).alias("votes"), "size")
+
+
+def quotient_members(g: Graph, column: str = "grp") -> DataFrame:
+    """Cross-group pairs with the sorted list of the edges beneath, for graphs whose lists are read by people."""
+    rows = with_groups(g, column).where("from_group <> to_group").select("from_group", "to_group", F.concat_ws("->", "src", "dst").alias("e")).distinct()
+    return rows.groupBy("from_group", "to_group").agg(F.count("*").alias("weight"), F.array_join(F.array_sort(F.collect_list("e")), ",").alias("edges"))

@@ -109,3 +109,24 @@ def introduce(g: Graph, node: str, kind: str, before: str) -> Graph:
 def accumulate(deltas: DataFrame) -> DataFrame:
     """Event-sourced weights: (id, delta) rows summed to (id, weight)."""
     return deltas.groupBy("id").agg(F.sum("delta").alias("weight"))
+
+
+def focus_diff(before: Graph, after: Graph, scratch, hops: int = 1) -> DataFrame:
+    """Nodes that ``after`` adds, and what lies within ``hops`` of them there: id, mark (added or context)."""
+    from loomgraph.operators.traversal import khop
+
+    added = after.nodes.select("id").join(before.nodes.select("id"), "id", "left_anti")
+    found = khop(after, added, hops, scratch)
+    return found.select("id", F.when(F.col("depth") == 0, "added").otherwise("context").alias("mark"))
+
+
+def missing(expected: DataFrame, actual: DataFrame, *keys: str) -> DataFrame:
+    """Rows that a target expects and the actual graph lacks."""
+    return expected.select(*keys).distinct().join(actual.select(*keys), list(keys), "left_anti")
+
+
+def history(variants: DataFrame, node: str) -> DataFrame:
+    """The value of one node in every variant (columns variant, id, value); '' where it is missing."""
+    every = variants.select("variant").distinct()
+    own = variants.where(F.col("id") == node).select("variant", F.col("value").cast("string").alias("value"))
+    return every.join(own, "variant", "left").select("variant", F.coalesce("value", F.lit("")).alias("value"))

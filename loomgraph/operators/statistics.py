@@ -126,3 +126,13 @@ def sweep_cut(g: Graph, weights: DataFrame) -> DataFrame:
     rows = rows.crossJoin(F.broadcast(total))
     room = F.least(F.col("volume"), F.col("total") - F.col("volume"))
     return rows.where(room > 0).select("place", "id", "cut", "volume", (F.col("cut") / room).alias("conductance"))
+
+
+def parent_mismatch(members: DataFrame) -> DataFrame:
+    """Members (id, community, parent) whose parent isn't their community's most common one: community, outliers, size, ratio, severity."""
+    from loomgraph.operators.degrees import majority_parent
+
+    best = majority_parent(members).select("community", F.col("parent").alias("usual"), "size")
+    rows = members.join(best, "community").where("parent <> usual").groupBy("community", "usual", "size").agg(F.count("*").alias("outliers"))
+    ratio = F.col("outliers") / F.col("size")
+    return rows.select("community", "usual", "outliers", "size", ratio.alias("ratio"), severity(ratio, (0.5, "high"), (0.25, "medium")).alias("severity"))

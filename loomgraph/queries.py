@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomgraph.calculate import calculate
 from loomgraph.functions import scalars
 from loomgraph.graph import Graph
 from loomgraph.operators import contracts, degrees, linalg, motifs, records, sets, statistics, traversal
@@ -796,3 +797,47 @@ def _(spark, d):
 def _(spark, d):
     e = derive.nations(spark, d).edges
     return records.without_conflicts(e.select(F.concat_ws(">", "src", "dst").alias("id"), F.col("n").cast("double").alias("score"), F.array("src", "dst").alias("members")), Scratch(spark)).select("id", "score")
+
+
+# --- more set operations and findings ---------------------------------------------------------
+
+
+@query("focus_diff", with_(TRADE, "y AS (SELECT * FROM edges WHERE seq % 7 = 0)") + ", n1 AS (SELECT src AS id FROM y WHERE year = 1995 UNION SELECT dst FROM y WHERE year = 1995), a AS (SELECT src AS id FROM y WHERE year = 1996 UNION SELECT dst FROM y WHERE year = 1996), new AS (SELECT id FROM a WHERE id NOT IN (FROM n1)), c AS (SELECT dst AS id FROM y WHERE year = 1996 AND src IN (FROM new) UNION SELECT src FROM y WHERE year = 1996 AND dst IN (FROM new)) SELECT id, 'added' AS mark FROM new UNION ALL SELECT id, 'context' FROM c WHERE id NOT IN (FROM new)")
+def _(spark, d):
+    s = Scratch(spark)
+    a, b = (Graph(g.nodes, g.edges.where("seq % 7 = 0")) for g in (_year(spark, d, 1995), _year(spark, d, 1996)))
+    ends = lambda g: Graph(g.nodes.join(g.edges.select(F.explode(F.array("src", "dst")).alias("id")), "id", "left_semi"), g.edges)
+    return sets.focus_diff(ends(a), ends(b), s)
+
+
+@query("target_verify", with_(TRADE) + "SELECT DISTINCT src, dst FROM edges WHERE year = 1995 AND (src, dst) NOT IN (SELECT (src, dst) FROM edges WHERE year = 1996)")
+def _(spark, d):
+    e = derive.trade(spark, d).edges
+    return sets.missing(e.where("year = 1995"), e.where("year = 1996"), "src", "dst")
+
+
+@query("field_history", with_(TRADE) + ", v AS (SELECT year, count(*) FILTER (dst = 's1') AS n FROM edges GROUP BY year) SELECT year::INTEGER AS variant, CASE WHEN n > 0 THEN n::VARCHAR ELSE '' END AS value FROM v")
+def _(spark, d):
+    rows = derive.trade(spark, d).edges.groupBy(F.col("year").alias("variant"), F.col("dst").alias("id")).agg(F.count("*").alias("value"))
+    return sets.history(rows, "s1")
+
+
+@query("parent_mismatch", with_(TRADE) + ", c AS (SELECT role AS community, grp AS parent, count(*) AS n FROM nodes GROUP BY 1, 2), b AS (SELECT community, arg_min(parent, (-n, parent)) AS usual, sum(n) AS size, max(n) AS top FROM c GROUP BY community) SELECT community, usual, (size - top)::BIGINT AS outliers, size::BIGINT AS size, round((size - top) / size, 6) AS ratio, CASE WHEN (size - top) / size >= 0.5 THEN 'high' WHEN (size - top) / size >= 0.25 THEN 'medium' ELSE 'low' END AS severity FROM b WHERE size > top")
+def _(spark, d):
+    rows = derive.parties(spark, d).select("id", F.col("role").alias("community"), F.col("grp").alias("parent"))
+    return statistics.parent_mismatch(rows).select("community", "usual", "outliers", "size", *r6("ratio"), "severity")
+
+
+@query("component_histogram", with_(DENSE, sql.UNDIRECTED, "walk AS (SELECT id, id AS c FROM nodes UNION SELECT b.other, w.c FROM walk w JOIN both_ways b ON w.id = b.id WHERE w.c < b.other)", recursive=True) + ", p AS (SELECT id, min(c) AS c FROM walk GROUP BY id), z AS (SELECT count(*) AS size FROM p GROUP BY c) SELECT size::BIGINT AS size, count(*)::BIGINT AS groups FROM z GROUP BY size")
+def _(spark, d):
+    return statistics.histogram(traversal.components(derive.cooccurrence(spark, d, 50), Scratch(spark)), "component")
+
+
+@query("quotient_members", with_(NATIONS, GROUPED) + "SELECT fg AS from_group, tg AS to_group, count(DISTINCT concat(src, '->', dst))::BIGINT AS weight, string_agg(DISTINCT concat(src, '->', dst), ',' ORDER BY concat(src, '->', dst)) AS edges FROM gr WHERE fg <> tg GROUP BY fg, tg")
+def _(spark, d):
+    return degrees.quotient_members(derive.nations(spark, d))
+
+
+@query("calculate_cycles", with_(NATIONS, sql.DIRECTED, CLOSURE, recursive=True) + SCC + ", z AS (SELECT id, least(id, m) AS scc FROM s) SELECT scc, count(*)::BIGINT AS size, string_agg(id, ',' ORDER BY id) AS members FROM z GROUP BY scc HAVING count(*) > 1")
+def _(spark, d):
+    return calculate("cycles", derive.nations(spark, d), Scratch(spark))
