@@ -31,6 +31,8 @@ SHARE = 1.5
 CAP = 2
 #: Buckets of a source's ranking: the rows ordered at once are this fraction of a source.
 BUCKETS = 1 << 16
+#: Buckets that are summed together first: running sums are over BUCKETS / SPAN and SPAN rows.
+SPAN = 1 << 8
 #: Bits of the random number.
 BITS = 52
 
@@ -101,10 +103,13 @@ def mixture_plan(sizes: DataFrame, scratch: Scratch) -> DataFrame:
     per = scratch.save(per.withColumn("p", F.when(F.col("source_size") > 0, F.col("rest") / F.col("source_size")).otherwise(F.lit(0.0))), "sources")
 
     ranked = _ranked(sizes, per)
-    filled = ranked.groupBy("source", "bucket").agg(F.sum("size").alias("in_bucket"), F.first("rest").alias("limit"))
-    running = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    filled = filled.withColumn("before", F.coalesce(F.sum("in_bucket").over(running), F.lit(0)))
-    cut = filled.where("before <= limit and before + in_bucket > limit").groupBy("source").agg(F.min("bucket").alias("cut_bucket"), F.min_by("before", "bucket").alias("cut_before"))
+    filled = ranked.groupBy("source", "bucket").agg(F.sum("size").alias("words"), F.first("rest").alias("limit"))
+    filled = scratch.save(filled.withColumn("span", F.floor(F.col("bucket") / SPAN)), "buckets")
+    # running sums over spans first, then over the buckets of the one span that holds the cut
+    spans = filled.groupBy("source", "span").agg(F.sum("words").alias("words"), F.first("limit").alias("limit"))
+    span = _cut(spans, "span", F.lit(0)).select(F.col("source").alias("_source"), F.col("span").alias("_span"), F.col("before").alias("start"))
+    inside = filled.join(span, filled["source"].eqNullSafe(F.col("_source")) & (F.col("span") == F.col("_span")))
+    cut = _cut(inside, "bucket", F.col("start")).select("source", F.col("bucket").alias("cut_bucket"), F.col("before").alias("cut_before"))
     per = scratch.save(_by_source(per, cut), "cuts")
 
     near = _ranked(sizes, per).where("bucket = cut_bucket")
@@ -115,6 +120,13 @@ def mixture_plan(sizes: DataFrame, scratch: Scratch) -> DataFrame:
     return scratch.save(_by_source(per, last), "plan")
 
 
+def _cut(rows: DataFrame, step: str, start: Column) -> DataFrame:
+    """The rows of each source whose step takes its running sum over the limit, with the sum before them."""
+    running = Window.partitionBy("source").orderBy(step).rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("before", start + F.coalesce(F.sum("words").over(running), F.lit(0)))
+    return rows.where("before <= limit and before + words > limit")
+
+
 def _by_source(per: DataFrame, more: DataFrame) -> DataFrame:
     more = more.withColumnRenamed("source", "_source")
     return per.join(more, per["source"].eqNullSafe(F.col("_source")), "left").drop("_source")
