@@ -37,13 +37,16 @@ def grouped(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.T
             col = batch.column(k)
             change |= pc.fill_null(pc.not_equal(col[1:], col[:-1]), True).to_numpy(zero_copy_only=False)
         cuts = [0, *(np.flatnonzero(change) + 1).tolist(), batch.num_rows]
-        for a, b in zip(cuts, cuts[1:]):
-            key = tuple(batch.column(k)[a].as_py() for k in keys)
-            if held and key != last:
-                yield pa.Table.from_batches(held)
-                held = []
-            held.append(batch.slice(a, b - a))
-            last = key
+        # only the first run of a batch may go on from the batch before
+        first = tuple(batch.column(k)[0].as_py() for k in keys)
+        if held and first != last:
+            yield pa.Table.from_batches(held)
+            held = []
+        held.append(batch.slice(0, cuts[1]))
+        for a, b in zip(cuts[1:], cuts[2:]):
+            yield pa.Table.from_batches(held)
+            held = [batch.slice(a, b - a)]
+        last = tuple(batch.column(k)[batch.num_rows - 1].as_py() for k in keys)
     if held:
         yield pa.Table.from_batches(held)
 

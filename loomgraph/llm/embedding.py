@@ -84,8 +84,7 @@ def _vectors(column: pa.Array) -> list[np.ndarray | None]:
     return out
 
 
-def _unit(vectors: list[np.ndarray]) -> np.ndarray:
-    x = np.stack(vectors)
+def _unit(x: np.ndarray) -> np.ndarray:
     x = x / np.abs(x).max(axis=1, keepdims=True)  # so that squares neither overflow nor vanish
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
@@ -108,7 +107,7 @@ def _table_keys(batches: Iterator[pa.RecordBatch], tables: Tables) -> Iterator[p
         for i, v in enumerate(vectors):
             by_size.setdefault(len(v), []).append(i)
         for size, rows in by_size.items():
-            keys = signed(mix(tables.keys(_unit([vectors[i] for i in rows])), size))
+            keys = signed(mix(tables.keys(_unit(np.stack([vectors[i] for i in rows]))), size))
             n = tables.tables
             pick = pa.array(np.repeat(rows, n))
             yield pa.RecordBatch.from_arrays(
@@ -126,10 +125,11 @@ def _verify(batches: Iterator[pa.RecordBatch], tables: Tables, cosine: float) ->
         if block.num_rows < 2:
             continue
         block = block.combine_chunks()
-        vectors = _vectors(block.column("embedding").combine_chunks())
-        if len({len(v) for v in vectors}) > 1:  # a meeting of hashes only
+        lists = block.column("embedding").chunk(0)
+        widths = lists.value_lengths().to_numpy(zero_copy_only=False)
+        if (widths != widths[0]).any():  # a meeting of hashes only
             continue
-        unit = _unit(vectors)
+        unit = _unit(lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(lists), -1))
         chunk, reps, sizes = (block.column(c).to_numpy() for c in ("chunk", "rep", "n"))
         t, low, high = (block.column(c)[0].as_py() for c in ("t", "low", "high"))
         near = np.triu(unit @ unit.T >= cosine, 1)
