@@ -15,7 +15,7 @@ def spark(tmp_path_factory):
     conf = {
         "spark.ui.enabled": "false",
         "spark.ui.showConsoleProgress": "false",
-        "spark.sql.shuffle.partitions": "4",
+        "spark.sql.shuffle.partitions": "2",
         "spark.sql.session.timeZone": "UTC",
         "spark.driver.memory": "3g",
         "spark.checkpoint.dir": str(tmp_path_factory.mktemp("shared")),
