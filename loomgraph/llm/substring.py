@@ -233,11 +233,13 @@ def _marks(known: DataFrame, scratch: Scratch) -> DataFrame:
 def _judged(docs: DataFrame, scratch: Scratch, names: list[str], fields: str, digest: bool) -> DataFrame:
     """All rows of ``docs`` (doc_id long, text and more), after ``_kept_words``.
 
-    Windows are cut from, and marks joined to, the same rows in the same partitioning: the plan
-    deals out the texts once and reads that exchange twice. Rows without an id need neither.
+    Where ``docs`` has no other column, windows are cut from, and marks joined to, the same rows in
+    the same partitioning: the plan deals out the texts once and reads that exchange twice. Rows
+    without an id need neither.
     """
     known = docs.where("doc_id is not null")
-    both = known.join(_marks(known, scratch), F.col("doc_id") == F.col("_marked_id"), "left").drop("_marked_id")
+    # only the text is dealt out for the windows: other columns would make that exchange larger
+    both = known.join(_marks(known.select("doc_id", "text"), scratch), F.col("doc_id") == F.col("_marked_id"), "left").drop("_marked_id")
     rest = docs.where("doc_id is null").withColumn("_marked", F.lit(None).cast(both.schema["_marked"].dataType))
     work = lambda it: _kept_words(it, names, digest)
     return both.mapInArrow(work, fields).unionByName(rest.mapInArrow(work, fields))
