@@ -94,7 +94,7 @@ def _(spark, d):
 
 @query("dead_items", with_(DENSE) + "SELECT id FROM nodes WHERE id NOT IN (SELECT dst FROM edges)")
 def _(spark, d):
-    g = derive.cooccurrence(spark, d, 50)
+    g = derive.cooccurrence(spark, d)
     return degrees.dead_items(g.nodes, g.edges)
 
 
@@ -227,7 +227,7 @@ def _(spark, d):
 
 @query("dangling_edges", with_(DENSE) + "SELECT src, dst, kind FROM edges WHERE seq % 100 = 0 AND (src NOT IN (SELECT id FROM nodes WHERE grp <> 'Brand#11') OR dst NOT IN (SELECT id FROM nodes WHERE grp <> 'Brand#11'))")
 def _(spark, d):
-    g = derive.cooccurrence(spark, d, 50)
+    g = derive.cooccurrence(spark, d)
     return Graph(g.nodes.where("grp <> 'Brand#11'"), g.edges.where("seq % 100 = 0")).dangling().select("src", "dst", "kind")
 
 
@@ -311,7 +311,7 @@ def _(spark, d):
 
 @query("orphan_bucket", with_(DENSE) + ", o AS (SELECT kind, count(*) AS n FROM nodes WHERE id NOT IN (SELECT src FROM edges) AND id NOT IN (SELECT dst FROM edges) GROUP BY kind) SELECT kind, n::BIGINT AS orphans, CASE WHEN n >= 25 THEN 'high' WHEN n >= 10 THEN 'medium' WHEN n >= 3 THEN 'low' ELSE 'info' END AS severity FROM o")
 def _(spark, d):
-    return statistics.orphans(derive.cooccurrence(spark, d, 50))
+    return statistics.orphans(derive.cooccurrence(spark, d))
 
 
 @query(
@@ -361,7 +361,7 @@ def _(spark, d):
 
 @query("khop", with_(DENSE, sql.UNDIRECTED, "walk AS (SELECT 'p1' AS id, 0 AS depth UNION SELECT other, depth + 1 FROM walk JOIN both_ways USING (id) WHERE depth < 3)", recursive=True) + "SELECT id, min(depth)::INTEGER AS depth FROM walk GROUP BY id")
 def _(spark, d):
-    g = derive.cooccurrence(spark, d, 50)
+    g = derive.cooccurrence(spark, d)
     return traversal.khop(g, spark.createDataFrame([("p1",)], "id string"), 3, Scratch(spark))
 
 
@@ -388,7 +388,7 @@ def _(spark, d):
 
 @query("weak_components", with_(DENSE, sql.UNDIRECTED, "walk AS (SELECT id, id AS c FROM nodes UNION SELECT b.other, w.c FROM walk w JOIN both_ways b ON w.id = b.id WHERE w.c < b.other)", recursive=True) + "SELECT id, min(c) AS component FROM walk GROUP BY id")
 def _(spark, d):
-    return traversal.components(derive.cooccurrence(spark, d, 50), Scratch(spark))
+    return traversal.components(derive.cooccurrence(spark, d), Scratch(spark))
 
 
 SCC = ", s AS (SELECT a.src AS id, min(a.dst) AS m FROM reach a JOIN reach b ON a.dst = b.src AND b.dst = a.src GROUP BY a.src)"
@@ -474,7 +474,7 @@ TRIANGLES = ", t AS (SELECT x.a AS x, x.b AS y, y.b AS z FROM und x JOIN und y O
 
 @query("triangles", with_(DENSE, sql.UNDIRECTED) + TRIANGLES + "SELECT x, y, z FROM t")
 def _(spark, d):
-    return motifs.triangles(derive.cooccurrence(spark, d, 50).undirected())
+    return motifs.triangles(derive.cooccurrence(spark, d).undirected())
 
 
 CURVATURE = (
@@ -486,12 +486,12 @@ k AS (SELECT u.a, u.b, coalesce(n, 0)::BIGINT AS triangles, (4 - p.d - q.d + 3 *
 
 @query("curvature", with_(DENSE, sql.UNDIRECTED) + CURVATURE + "SELECT * FROM k")
 def _(spark, d):
-    return motifs.curvature(derive.cooccurrence(spark, d, 50).undirected())
+    return motifs.curvature(derive.cooccurrence(spark, d).undirected())
 
 
 @query("curvature_tail", with_(DENSE, sql.UNDIRECTED) + CURVATURE + "SELECT a, b, kappa FROM k ORDER BY kappa, a, b LIMIT 10")
 def _(spark, d):
-    return statistics.top(motifs.curvature(derive.cooccurrence(spark, d, 50).undirected()), 10, F.col("kappa"), F.col("a"), F.col("b")).select("a", "b", "kappa")
+    return statistics.top(motifs.curvature(derive.cooccurrence(spark, d).undirected()), 10, F.col("kappa"), F.col("a"), F.col("b")).select("a", "b", "kappa")
 
 
 @query("two_hop", with_(NATIONS, sql.UNDIRECTED) + "SELECT id, other FROM both_ways UNION SELECT a.id, b.other FROM both_ways a JOIN both_ways b ON a.other = b.id WHERE a.id <> b.other")
@@ -624,7 +624,7 @@ def _(spark, d):
 
 @query("laplacian_spectrum", with_(DENSE, sql.UNDIRECTED, "walk AS (SELECT id, id AS c FROM nodes UNION SELECT b.other, w.c FROM walk w JOIN both_ways b ON w.id = b.id WHERE w.c < b.other)", recursive=True) + ", p AS (SELECT id, min(c) AS c FROM walk GROUP BY id) SELECT count(*)::BIGINT AS nodes, count(DISTINCT c)::BIGINT AS components, round((SELECT 2 * count(*) FROM und), 4)::DOUBLE AS total FROM p")
 def _(spark, d):
-    s = linalg.spectral_summary(linalg.laplacian_spectrum(derive.cooccurrence(spark, d, 50), Scratch(spark)))
+    s = linalg.spectral_summary(linalg.laplacian_spectrum(derive.cooccurrence(spark, d), Scratch(spark)))
     return s.select("nodes", "components", F.round("total", 4).alias("total"))
 
 
@@ -646,7 +646,7 @@ def _(spark, d):
 
 @query("articulation_points")
 def _(spark, d):
-    return linalg.articulation_points(derive.cooccurrence(spark, d, 50), Scratch(spark))
+    return linalg.articulation_points(derive.cooccurrence(spark, d), Scratch(spark))
 
 
 @query("eigen_centrality")
@@ -656,7 +656,7 @@ def _(spark, d):
 
 @query("louvain")
 def _(spark, d):
-    return linalg.louvain(derive.cooccurrence(spark, d, 50), Scratch(spark))
+    return linalg.louvain(derive.cooccurrence(spark, d), Scratch(spark))
 
 
 @query("spectral_bisection")
@@ -830,7 +830,7 @@ def _(spark, d):
 
 @query("component_histogram", with_(DENSE, sql.UNDIRECTED, "walk AS (SELECT id, id AS c FROM nodes UNION SELECT b.other, w.c FROM walk w JOIN both_ways b ON w.id = b.id WHERE w.c < b.other)", recursive=True) + ", p AS (SELECT id, min(c) AS c FROM walk GROUP BY id), z AS (SELECT count(*) AS size FROM p GROUP BY c) SELECT size::BIGINT AS size, count(*)::BIGINT AS groups FROM z GROUP BY size")
 def _(spark, d):
-    return statistics.histogram(traversal.components(derive.cooccurrence(spark, d, 50), Scratch(spark)), "component")
+    return statistics.histogram(traversal.components(derive.cooccurrence(spark, d), Scratch(spark)), "component")
 
 
 @query("quotient_members", with_(NATIONS, GROUPED) + "SELECT fg AS from_group, tg AS to_group, count(DISTINCT concat(src, '->', dst))::BIGINT AS weight, string_agg(DISTINCT concat(src, '->', dst), ',' ORDER BY concat(src, '->', dst)) AS edges FROM gr WHERE fg <> tg GROUP BY fg, tg")

@@ -70,9 +70,9 @@ def containment(spark: SparkSession, sf_dir: str) -> Graph:
     return Graph(region.unionByName(nation).unionByName(people), edges)
 
 
-def cooccurrence(spark: SparkSession, sf_dir: str, every: int = 25) -> Graph:
-    """Parts of one order, of every ``every``-th order: a reference from the smaller to the larger part."""
-    lines = table(spark, sf_dir, "lineitem").where(F.col("l_orderkey") % every == 0).select("l_orderkey", "l_partkey").distinct()
+def cooccurrence(spark: SparkSession, sf_dir: str) -> Graph:
+    """Parts of one order: a reference from the smaller to the larger part."""
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey").distinct()
     other = lines.select("l_orderkey", F.col("l_partkey").alias("other"))
     pairs = lines.join(other, "l_orderkey").where("l_partkey < other")
     edges = pairs.select(_named("p", "l_partkey").alias("src"), _named("p", "other").alias("dst"), F.lit("references").alias("kind"), F.col("l_orderkey").alias("seq"))
