@@ -58,3 +58,21 @@ def test_part_queries_over_all_orders(spark, parts):
         depth |= dict.fromkeys(front, k)
     assert dict(rows(QUERIES["khop"](spark, SMALL))) == {f"p{p}": k for p, k in depth.items()}
     assert QUERIES["laplacian_spectrum"](spark, SMALL).first()[:3] == (len(near), len(set(part.values())), float(sum(map(len, near.values()))))
+
+
+def test_returns_of_all_returned_lines(spark):
+    orders = dict(read(spark, "orders", "o_orderkey", "o_custkey"))
+    lines = read(spark, "lineitem", "l_orderkey", "l_linenumber", "l_suppkey", "l_returnflag")
+    want = sorted((f"s{s}", f"c{orders[o]}", 10 * o + k) for o, k, s, flag in lines if flag == "R" and o in orders)
+    back = derive.trade(spark, SMALL).edges.where("kind = 'returns'")
+    assert sorted(map(tuple, back.select("src", "dst", "seq").collect())) == want
+
+
+def test_contracts_of_all_parts(spark):
+    used = {(f"s{s}", f"p{p}", "returns" if flag == "R" else "usesType") for s, p, flag in read(spark, "lineitem", "l_suppkey", "l_partkey", "l_returnflag")}
+    brand = {f"p{p}": b for p, b in read(spark, "part", "p_partkey", "p_brand")}
+    found = rows(QUERIES["contract_producers"](spark, SMALL).where("kind = 'function'"))
+    assert found == sorted(((p, s, "function") for s, p, kind in used if kind == "returns"), key=repr)
+    assert rows(QUERIES["contract_consumers"](spark, SMALL).where("role = 'user'")) == sorted(((p, s, "user") for s, p, kind in used if kind == "usesType"), key=repr)
+    pattern = sorted((s, p, f"b:{brand[p]}", f"m:{brand[p][:7]}") for s, p, kind in used if kind == "returns")
+    assert rows(QUERIES["verify_pattern"](spark, SMALL).select("maker", "impl", "iface", "base")) == pattern
