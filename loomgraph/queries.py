@@ -228,7 +228,7 @@ def _(spark, d):
 @query("dangling_edges", with_(DENSE) + "SELECT src, dst, kind FROM edges WHERE seq % 100 = 0 AND (src NOT IN (SELECT id FROM nodes WHERE grp <> 'Brand#11') OR dst NOT IN (SELECT id FROM nodes WHERE grp <> 'Brand#11'))")
 def _(spark, d):
     g = derive.cooccurrence(spark, d)
-    return Graph(g.nodes.where("grp <> 'Brand#11'"), g.edges.where("seq % 100 = 0")).dangling().select("src", "dst", "kind")
+    return Graph(g.nodes.where("grp <> 'Brand#11'"), g.edges).dangling().select("src", "dst", "kind")
 
 
 @query("graph_query", with_(TRADE) + "SELECT id, name FROM nodes WHERE kind = 'type' AND contains(lower(name), '1') AND starts_with(grp, 'NATION_1')")
@@ -525,8 +525,7 @@ p AS (SELECT m.kind AS k, least(a.kind, b.kind) AS k1, greatest(a.kind, b.kind)
 SELECT 'triangle' AS shape, array_to_string(k, ',') AS kinds, count(*)::BIGINT AS n FROM tk GROUP BY 2 UNION ALL SELECT 'path', concat(k, '(', k1, ',', k2, ')'), count(*)::BIGINT FROM p GROUP BY 2""",
 )
 def _(spark, d):
-    g = derive.trade(spark, d)
-    return motifs.motif3(Graph(g.nodes, g.edges.where("floor(seq / 10) % 100 = 0")))
+    return motifs.motif3(derive.trade(spark, d))
 
 
 # --- sets and rules ---------------------------------------------------------------------------
@@ -804,10 +803,7 @@ def _(spark, d):
 
 @query("focus_diff", with_(TRADE, "y AS (SELECT * FROM edges WHERE seq % 7 = 0)") + ", n1 AS (SELECT src AS id FROM y WHERE year = 1995 UNION SELECT dst FROM y WHERE year = 1995), a AS (SELECT src AS id FROM y WHERE year = 1996 UNION SELECT dst FROM y WHERE year = 1996), new AS (SELECT id FROM a WHERE id NOT IN (FROM n1)), c AS (SELECT dst AS id FROM y WHERE year = 1996 AND src IN (FROM new) UNION SELECT src FROM y WHERE year = 1996 AND dst IN (FROM new)) SELECT id, 'added' AS mark FROM new UNION ALL SELECT id, 'context' FROM c WHERE id NOT IN (FROM new)")
 def _(spark, d):
-    s = Scratch(spark)
-    a, b = (Graph(g.nodes, g.edges.where("seq % 7 = 0")) for g in (_year(spark, d, 1995), _year(spark, d, 1996)))
-    ends = lambda g: Graph(g.nodes.join(g.edges.select(F.explode(F.array("src", "dst")).alias("id")), "id", "left_semi"), g.edges)
-    return sets.focus_diff(ends(a), ends(b), s)
+    return sets.focus_diff(_year(spark, d, 1995), _year(spark, d, 1996), Scratch(spark))
 
 
 @query("target_verify", with_(TRADE) + "SELECT DISTINCT src, dst FROM edges WHERE year = 1995 AND (src, dst) NOT IN (SELECT (src, dst) FROM edges WHERE year = 1996)")

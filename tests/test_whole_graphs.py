@@ -76,3 +76,32 @@ def test_contracts_of_all_parts(spark):
     assert rows(QUERIES["contract_consumers"](spark, SMALL).where("role = 'user'")) == sorted(((p, s, "user") for s, p, kind in used if kind == "usesType"), key=repr)
     pattern = sorted((s, p, f"b:{brand[p]}", f"m:{brand[p][:7]}") for s, p, kind in used if kind == "returns")
     assert rows(QUERIES["verify_pattern"](spark, SMALL).select("maker", "impl", "iface", "base")) == pattern
+
+
+def test_diff_motifs_and_dangling_of_all_edges(spark):
+    g = derive.trade(spark, SMALL)
+    kind = {i: k for i, k in map(tuple, g.nodes.select("id", "kind").collect())}
+    edges = list(map(tuple, g.edges.select("src", "dst", "year").collect()))
+    old, new = ([e[:2] for e in edges if e[2] == y] for y in (1995, 1996))
+    added = {x for e in new for x in e} - {x for e in old for x in e}
+    context = {x for a, b in new for x, y in ((a, b), (b, a)) if y in added} - added
+    assert dict(rows(QUERIES["focus_diff"](spark, SMALL))) == dict.fromkeys(added, "added") | dict.fromkeys(context, "context")
+    near = defaultdict(set)
+    for a, b, _ in edges:
+        if a != b:
+            near[a].add(b)
+            near[b].add(a)
+    paths, closed = Counter(), Counter()
+    for m in near:
+        for a, b in itertools.combinations(sorted(near[m]), 2):
+            if b in near[a]:
+                closed[",".join(sorted((kind[m], kind[a], kind[b])))] += 1
+            else:
+                k1, k2 = sorted((kind[a], kind[b]))
+                paths[f"{kind[m]}({k1},{k2})"] += 1
+    want = [("path", k, n) for k, n in paths.items()] + [("triangle", k, n // 3) for k, n in closed.items()]
+    assert rows(QUERIES["motif3"](spark, SMALL)) == sorted(want, key=repr)
+    brand = {f"p{p}": b for p, b in read(spark, "part", "p_partkey", "p_brand")}
+    parts = derive.cooccurrence(spark, SMALL).edges.select("src", "dst", "kind").collect()
+    gone = sorted((tuple(r) for r in parts if "Brand#11" in (brand[r.src], brand[r.dst])), key=repr)
+    assert gone and rows(QUERIES["dangling_edges"](spark, SMALL)) == gone
