@@ -14,14 +14,14 @@ from pyspark.sql import functions as F
 from loomgraph.llm import langid, mixing, ngram_join, packing, substring
 from loomgraph.plans.scratch import Scratch
 
-#: A text stays if this share of its words carries the label of its language. Mixed texts stay.
+#: A text stays if this share of its words is in learned languages, whichever. Mixed texts stay.
 LEAST_SHARE = 0.4
 #: SQL can't express the model of the first stage or the tokens of the last.
 ORACLE_SQL = None
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects texts that are in no language: without a letter, or without a language of LEAST_SHARE of the words.
+    """Rejects texts that are in no language: without a letter, or with less than LEAST_SHARE of the words in learned languages.
 
     Texts are judged where they are scanned, and the other columns travel with them under names
     that clash with nothing: no join by id.
@@ -30,7 +30,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     names = {c: c if c == "text" else f"_{i}" for i, c in enumerate(docs.columns)}
     rows = docs.select(*(F.col(c).alias(n) for c, n in names.items()))
     found = langid.identify(rows, model, carried=tuple(names.values()))
-    kept = found.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SHARE))
+    kept = found.where((F.col("lang_pred") != "und") & (F.col("learned") >= LEAST_SHARE))
     return kept.select(*(F.col(n).alias(c) for c, n in names.items()))
 
 

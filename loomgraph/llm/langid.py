@@ -4,9 +4,13 @@ Every word gets a score for each learned language from its character 1- to 4-gra
 that never use the word's script are ruled out for it. Viterbi with a penalty for each switch
 then labels the words of the whole text, so that mixed-language texts come out as spans.
 
-Defined results: a text that is null or has no letter is ``und`` with score 0 and no spans; words
-without a letter carry no evidence and take their neighbours' label; without any training row
-every text is ``und``. Ties go to the language that sorts first.
+A word is evidence of its label if the language uses the word's script and most of the word's
+3- and 4-grams were seen in it; in scripts without such n-grams of words (UNSPACED) the script is enough.
+
+Defined results: a text that is null or has no letter, or no word that is evidence, is ``und`` with
+score 0 and no spans; words without a letter are not counted and take their neighbours' label, other
+words without evidence lower the score; without any training row every text is ``und``. Ties go to
+the language that sorts first.
 """
 
 from __future__ import annotations
@@ -35,6 +39,9 @@ SWITCH = 12.0
 #: Share of a language's letters from which a script counts as one of its scripts.
 SCRIPT_SHARE = 0.01
 RULED_OUT = -50.0
+#: Share of a word's n-grams of LONG or more characters that its language has seen, from which the word is evidence.
+LEAST_SEEN = 0.5
+LONG = 3
 
 # Code point ranges of scripts.
 SCRIPTS = [
@@ -46,6 +53,8 @@ SCRIPTS = [
 ]
 SCRIPT_NAMES = [*dict.fromkeys(name for name, _, _ in SCRIPTS), "other"]
 LETTERLESS = -1
+#: Scripts of many characters or without spaces between words, where most 3-grams of a text are new.
+UNSPACED = np.isin(SCRIPT_NAMES, ["han", "kana", "hangul", "thai", "khmer"])
 
 
 @lru_cache(maxsize=1)
@@ -64,14 +73,14 @@ def has_letter(text: Column) -> Column:
     return F.coalesce(text.rlike(r"\p{L}"), F.lit(False))
 
 
-def word_features(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(word number, feature) of all n-grams, and each word's script (LETTERLESS without a letter)."""
+def word_features(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """(word number, feature) of all n-grams, each word's script (LETTERLESS without a letter), and the place of the first LONG n-gram."""
     points = np.frombuffer((" " + " ".join(words) + " ").lower().encode("utf-32-le"), np.uint32)
     gap = points == 32
     at = np.cumsum(gap) - 1
     if at[-1] != len(words):  # lower-casing never makes or removes a space
         raise ValueError("words must not hold spaces")
-    owner, feature = [], []
+    owner, feature, short = [], [], 0
     wide = points.astype(U)
     with np.errstate(over="ignore"):
         h = np.zeros(len(points), U)
@@ -90,13 +99,14 @@ def word_features(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]
                 good &= ~(gap[:size] & gap[1:])
             good &= at[:size] < len(words)
             owner.append(at[:size][good])
+            short += len(owner[-1]) if n < LONG else 0
             feature.append(((h[good] * U(2 * n + 1)) >> U(64 - FEATURE_BITS)).astype(np.int64))
     kind = _code_points()[points]
     real = kind != LETTERLESS
     tally = np.bincount(at[real] * len(SCRIPT_NAMES) + kind[real], minlength=len(words) * len(SCRIPT_NAMES))
     tally = tally[: len(words) * len(SCRIPT_NAMES)].reshape(len(words), -1)
     script = np.where(tally.any(axis=1), tally.argmax(axis=1), LETTERLESS)
-    return np.concatenate(owner), np.concatenate(feature), script
+    return np.concatenate(owner), np.concatenate(feature), script, short
 
 
 @dataclass(frozen=True)
@@ -104,10 +114,11 @@ class LanguageModel:
     langs: list[str]
     weights: np.ndarray  # (features, langs) float32, centred log probabilities
     scripts: np.ndarray  # (scripts, langs) bool: the language uses the script
+    seen: np.ndarray | None = None  # (features, langs) bool: the language's sample has the feature; None: no word is evidence
 
-    def word_scores(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Scores (words, langs), and which words have a letter."""
-        owner, feature, script = word_features(words)
+    def word_scores(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Scores (words, langs), which words have a letter, and of which languages each is evidence (words, langs)."""
+        owner, feature, script, short = word_features(words)
         scores = np.empty((len(words), len(self.langs)), np.float32)
         for k in range(len(self.langs)):
             scores[:, k] = np.bincount(owner, self.weights[:, k][feature], minlength=len(words))[: len(words)]
@@ -117,7 +128,12 @@ class LanguageModel:
         known = lettered & allowed.any(axis=1)
         scores[lettered & ~known] = 0
         scores[known[:, None] & ~allowed] = RULED_OUT
-        return scores, lettered
+        evidence = np.zeros(scores.shape, bool)
+        if self.seen is not None:
+            least = LEAST_SEEN * np.bincount(owner[short:], minlength=len(words))[: len(words)]
+            for k in range(len(self.langs)):
+                evidence[:, k] = np.bincount(owner[short:], self.seen[:, k][feature[short:]], minlength=len(words))[: len(words)] >= least
+        return scores, lettered, (evidence | UNSPACED[script][:, None]) & allowed & lettered[:, None]
 
 
 def viterbi(scores: np.ndarray, offsets: np.ndarray, switch: float = SWITCH) -> np.ndarray:
@@ -161,7 +177,7 @@ def _count_features(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Itera
             words = list(itertools.chain.from_iterable(flat.slice(offsets[i], offsets[i + 1] - offsets[i]).to_pylist() for i in rows))
             if not words:
                 continue
-            _, feature, script = word_features(words)
+            _, feature, script, _ = word_features(words)
             counts, kinds = total.setdefault(lang, (np.zeros(width, np.int64), np.zeros(len(SCRIPT_NAMES), np.int64)))
             counts += np.bincount(feature, minlength=width)
             kinds += np.bincount(script[script != LETTERLESS], minlength=len(SCRIPT_NAMES))
@@ -200,7 +216,7 @@ def train(docs: DataFrame, train_rows: int = TRAIN_ROWS) -> LanguageModel:
     logs = np.log(counts + 0.5) - np.log(counts.sum(axis=0) + 0.5 * len(counts))
     scripts = kinds >= SCRIPT_SHARE * np.maximum(kinds.sum(axis=0), 1)
     scripts &= kinds > 0
-    return LanguageModel(langs, (logs - logs.mean(axis=1, keepdims=True)).astype(np.float32), scripts)
+    return LanguageModel(langs, (logs - logs.mean(axis=1, keepdims=True)).astype(np.float32), scripts, counts > 0)
 
 
 def _predict(batches: Iterator[pa.RecordBatch], model: LanguageModel, switch: float, kept: list[str]) -> Iterator[pa.RecordBatch]:
@@ -208,38 +224,42 @@ def _predict(batches: Iterator[pa.RecordBatch], model: LanguageModel, switch: fl
     for part in itertools.chain.from_iterable(map(passes, batches)):
         flat, offsets = words_of(part.column("text"))
         n, k = part.num_rows, len(model.langs)
-        pred, score, spans = ["und"] * n, np.zeros(n), [[] for _ in range(n)]
+        pred, score, learned, spans = ["und"] * n, np.zeros(n), np.zeros(n), [[] for _ in range(n)]
         if len(flat) and k:
             coded = flat.dictionary_encode()
-            table, lettered = model.word_scores(coded.dictionary.to_pylist())
+            table, lettered, evidence = model.word_scores(coded.dictionary.to_pylist())
             at = coded.indices.to_numpy(zero_copy_only=False)
             labels, real = viterbi(table[at], offsets, switch), lettered[at]
             owner = np.repeat(np.arange(n), np.diff(offsets))
-            tally = np.bincount(owner[real] * k + labels[real], minlength=n * k).reshape(n, k)
+            sure = evidence[at, labels]
+            tally = np.bincount(owner[sure] * k + labels[sure], minlength=n * k).reshape(n, k)
+            lettered_words = np.bincount(owner[real], minlength=n)
             cuts = np.flatnonzero(np.concatenate([[True], (np.diff(labels) != 0) | (np.diff(owner) != 0)]))
             ends = np.concatenate([cuts[1:], [len(labels)]])
             for i in np.flatnonzero(tally.any(axis=1)):
-                pred[i], score[i] = model.langs[tally[i].argmax()], tally[i].max() / tally[i].sum()
+                pred[i], score[i] = model.langs[tally[i].argmax()], tally[i].max() / lettered_words[i]
+                learned[i] = tally[i].sum() / lettered_words[i]
             some = tally.any(axis=1)
             for a, b in zip(cuts.tolist(), ends.tolist()):
                 if some[i := owner[a]]:
                     spans[i].append({"lang": model.langs[labels[a]], "first_word": a - offsets[i], "last_word": b - 1 - offsets[i]})
         yield pa.RecordBatch.from_arrays(
-            [*(part.column(c) for c in kept), pa.array(pred), pa.array(score, pa.float64()), pa.array(spans, kinds)],
-            names=[*kept, "lang_pred", "score", "spans"],
+            [*(part.column(c) for c in kept), pa.array(pred), pa.array(score, pa.float64()), pa.array(learned, pa.float64()), pa.array(spans, kinds)],
+            names=[*kept, "lang_pred", "score", "learned", "spans"],
         )
 
 
 def identify(docs: DataFrame, model: LanguageModel, switch: float = SWITCH, carried: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The ``carried`` columns and lang_pred, score, spans of every whole text.
+    """The ``carried`` columns and lang_pred, score, learned, spans of every whole text.
 
-    ``score`` is the share of the lettered words that carry the predicted label; ``spans`` are runs
-    of words (numbered from 0) of one label. Rows are independent: repeated and null ids are kept.
+    ``score`` is the share of the lettered words that are evidence of the predicted language,
+    ``learned`` the share of those that are evidence of their own label; ``spans`` are runs of words
+    (numbered from 0) of one label. Rows are independent: repeated and null ids are kept.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     kept = list(carried)
     own = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in kept)
-    schema = own + "lang_pred string, score double, spans array<struct<lang: string, first_word: long, last_word: long>>"
+    schema = own + "lang_pred string, score double, learned double, spans array<struct<lang: string, first_word: long, last_word: long>>"
     return docs.select(*dict.fromkeys([*kept, "text"])).mapInArrow(lambda batches: _predict(batches, shared.value, switch, kept), schema)
 
 
