@@ -5,19 +5,25 @@ histogram of piece lengths (window numbers, whatever the corpus) goes to the dri
 combinations of one to three lengths that fill a window exactly are enumerated, repeat counts
 ``x >= 0`` with ``A x`` near the histogram are found by accelerated projected gradient descent,
 counts are rounded down to what the histogram still holds, and the residual pieces are packed best
-fit, longest first. The plan says, for each length, which ranks go to which sequences; pieces get
-their ranks by counts of hashed groups, so no length, however frequent, meets in one task.
+fit, longest first: a pattern is repeated as often as the pieces that are left allow, so each
+residual pattern uses up a length, and there are no more patterns than lengths. The plan says, for
+each length, which ranks go to which sequences; pieces get their ranks by counts of hashed groups
+whose number follows the length's count, so no length, however frequent, meets in one task.
 
 Defined results: a null text is empty and packs as its end id alone; repeated rows and ids are
-packed once for each row; no rows give no rows. Text that looks like a special token is ordinary
-text.
+packed once for each row; no rows give no rows. The literal of a token that the tokenizer's file
+adds to its vocabulary (``<|endoftext|>``) becomes that token's id, as the tokenizer does by default;
+with ``added=False`` it is ordinary text.
 """
 
 from __future__ import annotations
 
 import base64
 import itertools
+import json
+import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -34,12 +40,12 @@ from loomgraph.plans.scratch import Scratch
 
 WINDOW = 1024
 END_ID = 0
-#: Groups that ranks within one length are counted in: a length's rows in one task are this fraction of it.
-RANK_GROUPS = 512
+#: Pieces of one length that are ordered together.
+RANK_ROWS = 50_000
 ROUNDS = 400
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=4)
 def _encoder(ranks_file: str):
     import public_tokenizers
     import tiktoken
@@ -52,6 +58,17 @@ def _encoder(ranks_file: str):
     return tiktoken.Encoding("bytes", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}), widths
 
 
+@lru_cache(maxsize=4)
+def added_tokens(vocabulary_file: str | None) -> dict[str, int]:
+    """The tokens that a tokenizer's file adds to its vocabulary, and their ids."""
+    if vocabulary_file is None:
+        return {}
+    import public_tokenizers
+
+    with open(public_tokenizers.path(vocabulary_file), encoding="utf-8") as f:
+        return {t["content"]: t["id"] for t in json.load(f)["added_tokens"]}
+
+
 #: First bytes of UTF-8 characters among which there is no white space; a cut is made only next to these.
 _SOLID_LEAD = np.zeros(256, bool)
 _SOLID_LEAD[0x21:0x7F] = _SOLID_LEAD[0xC3:0xE0] = _SOLID_LEAD[0xE4:0xF5] = True
@@ -77,8 +94,10 @@ class UnitEncoder:
     non-spaces, and equal units have equal ids: each distinct unit of a pass is encoded once.
     """
 
-    def __init__(self, ranks_file: str):
+    def __init__(self, ranks_file: str, vocabulary_file: str | None = None):
         self.encoding, self.widths = _encoder(ranks_file)
+        self.added = added_tokens(vocabulary_file)
+        self.literals = re.compile("(" + "|".join(map(re.escape, self.added)) + ")") if self.added else None
 
     def _distinct(self, units: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of distinct units one after the other, and the offsets of each.
@@ -110,6 +129,24 @@ class UnitEncoder:
 
     def documents(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts one after the other, and the offsets of each text."""
+        found = pc.fill_null(pc.match_substring_regex(texts, self.literals.pattern), False) if self.added else None
+        if found is None or not pc.any(found).as_py():
+            return self._plain(texts)
+        # a text around literals is as many texts, each of them encoded alone
+        parts, owner, literal = [], [], []
+        for i, (text, cut) in enumerate(zip(texts.to_pylist(), found.to_pylist())):
+            for j, part in enumerate(self.literals.split(text) if cut else [text]):
+                parts.append("" if j % 2 else part)
+                literal.append(self.added[part] if j % 2 else -1)
+                owner.append(i)
+        ids, offsets = self._plain(pa.array(parts, pa.large_string()))
+        at = np.flatnonzero(np.array(literal) >= 0)
+        ids = np.insert(ids, offsets[at], np.array(literal, np.int64)[at].astype(np.uint32))
+        sizes = np.diff(offsets)
+        sizes[at] = 1
+        return ids, np.concatenate([[0], np.cumsum(np.bincount(owner, weights=sizes, minlength=len(texts)))]).astype(np.int64)
+
+    def _plain(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         whole = pc.fill_null(texts.cast(pa.large_string()), "")
         edges = np.frombuffer(whole.buffers()[1], np.int64)[whole.offset : whole.offset + len(whole) + 1]
         low, high = int(edges[0]), int(edges[-1])
@@ -134,8 +171,8 @@ class UnitEncoder:
         return ids[place], upto
 
 
-def _pieces(batches: Iterator[pa.RecordBatch], ranks_file: str, window: int, end_id: int) -> Iterator[pa.RecordBatch]:
-    encoder = UnitEncoder(ranks_file)
+def _pieces(batches: Iterator[pa.RecordBatch], ranks_file: str, vocabulary_file: str | None, window: int, end_id: int) -> Iterator[pa.RecordBatch]:
+    encoder = UnitEncoder(ranks_file, vocabulary_file)
     for part in itertools.chain.from_iterable(passes(b, limit=8 << 20) for b in batches):
         ids, offsets = encoder.documents(part.column("text"))
         row, start, length, crc, total = [], [], [], [], []
@@ -156,18 +193,24 @@ def _pieces(batches: Iterator[pa.RecordBatch], ranks_file: str, window: int, end
 
 @dataclass(frozen=True)
 class PackingPlan:
-    """For each length, in the order of ranks: which run of ranks goes to which run of sequences."""
+    """For each length, in the order of ranks: which run of ranks goes to which run of sequences.
+
+    A run's pattern holds its length ``times`` times over, one after the other: so many ranks go to
+    a sequence, and the next ones to the next.
+    """
 
     length: np.ndarray
     rank: np.ndarray  # first rank of the run
-    sequence: np.ndarray  # sequence of the first rank; the next rank goes to the next sequence
+    sequence: np.ndarray  # sequence of the first rank
     offset: np.ndarray
+    times: np.ndarray
     sequences: int
 
     def place(self, length: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         wide = np.int64(1) << np.int64(44)
         at = np.searchsorted(self.length * wide + self.rank, length * wide + rank, side="right") - 1
-        return self.sequence[at] + rank - self.rank[at], self.offset[at]
+        turn, nth = np.divmod(rank - self.rank[at], self.times[at])
+        return self.sequence[at] + turn, self.offset[at] + nth * length
 
 
 def combinations(window: int, held: np.ndarray) -> np.ndarray:
@@ -221,46 +264,45 @@ def plan_packing(held: np.ndarray, window: int = WINDOW) -> PackingPlan:
     left = held.astype(np.int64).copy()
     combos = combinations(window, left)
     x = solve_counts(combos, left)
-    runs: list[tuple[int, int, int, int]] = []  # length, first rank, first sequence, offset
+    runs: list[tuple[int, int, int, int, int]] = []  # length, first rank, first sequence, offset, times
     used, sequence = np.zeros(len(left), np.int64), 0
 
-    def put(lengths: list[int], times: int) -> None:
+    def put(pattern: dict[int, int], repeats: int) -> None:
         nonlocal sequence
         offset = 0
-        for i, n in enumerate(lengths):
-            # a length that stands k times in a combination takes k runs of ranks
-            runs.append((n, used[n], sequence, offset))
-            used[n] += times
-            offset += n
-        sequence += times
+        for n, times in pattern.items():
+            runs.append((n, used[n], sequence, offset, times))
+            used[n] += times * repeats
+            left[n] -= times * repeats
+            offset += n * times
+        sequence += repeats
 
     def repeat(j: int, most: int) -> None:
-        lengths = [n for n in combos[j].tolist() if n]
-        times = min([most, *(int(left[n]) // lengths.count(n) for n in lengths)])
-        if times > 0:
-            for n in lengths:
-                left[n] -= times
-            put(lengths, times)
+        pattern = Counter(n for n in combos[j].tolist() if n)
+        repeats = min([most, *(int(left[n]) // times for n, times in pattern.items())])
+        if repeats > 0:
+            put(pattern, repeats)
 
     order = np.argsort(-x, kind="stable")
-    for j in order.tolist():  # the integral part of the solution, then what still fits of the rest
+    for j in order[: np.count_nonzero(x > 0.5)].tolist():  # the integral part of the solution, then what still fits of the rest
         repeat(j, int(np.floor(x[j] + 1e-9)))
-    for j in order.tolist():
+    for j in order[: np.count_nonzero(x > 0.5)].tolist():
         if x[j] - np.floor(x[j]) > 0.5:
             repeat(j, 1)
     # residual: best fit, longest first; a bit for each length that is left
     bits = sum(1 << n for n in np.flatnonzero(left[1:]).tolist()) << 1
     while bits:
-        space, lengths = window, []
-        while fits := bits & ((1 << (space + 1)) - 1):
+        space, below, pattern = window, window, {}
+        while fits := bits & ((1 << (min(space, below) + 1)) - 1):
             n = fits.bit_length() - 1
-            lengths.append(n)
-            space -= n
-            left[n] -= 1
+            pattern[n] = min(space // n, int(left[n]))
+            space -= n * pattern[n]
+            below = n - 1
+        put(pattern, min(int(left[n]) // times for n, times in pattern.items()))
+        for n in pattern:
             if not left[n]:
                 bits &= ~(1 << n)
-        put(lengths, 1)
-    table = np.array(sorted(runs), np.int64).reshape(-1, 4)
+    table = np.array(sorted(runs), np.int64).reshape(-1, 5)
     return PackingPlan(*table.T.copy(), sequences=sequence)
 
 
@@ -272,29 +314,36 @@ def _place(batches: Iterator[pa.RecordBatch], plan: PackingPlan) -> Iterator[pa.
         yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(sequence), pa.array(offset)], names=[*kept, "sequence_id", "offset"])
 
 
-def pack(docs: DataFrame, scratch: Scratch, ranks_file: str = "byte_bpe_50k.tiktoken", window: int = WINDOW, end_id: int = END_ID) -> DataFrame:
+def pack(
+    docs: DataFrame,
+    scratch: Scratch,
+    ranks_file: str = "byte_bpe_50k.tiktoken",
+    vocabulary_file: str = "byte_bpe_50k.json",
+    window: int = WINDOW,
+    end_id: int = END_ID,
+    added: bool = True,
+) -> DataFrame:
     """A row for each piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
-    ``ranks_file`` is a public tokenizer's file of ranks; the ids are those of the tokenizer of the
-    same vocabulary. What the driver holds is the histogram (``window`` numbers) and the plan, whose
-    size is bounded by the number of combinations and residual sequences: neither grows with the
-    corpus once every combination is in use.
+    ``ranks_file`` is a public tokenizer's file of ranks and ``vocabulary_file`` the file of the same
+    vocabulary that names its added tokens; the ids are those of the latter's tokenizer. What the
+    driver holds is the histogram (``window`` numbers) and the plan: at most three runs for each
+    combination and, for each length, the runs of one residual pattern, however many pieces there are.
     """
     key = docs.schema["doc_id"].dataType.simpleString()
     fields = f"doc_id {key}, start long, length long, ids_crc32 long, doc_tokens long"
-    cut = docs.select("doc_id", "text").mapInArrow(lambda it: _pieces(it, ranks_file, window, end_id), fields)
+    literals = vocabulary_file if added else None
+    cut = docs.select("doc_id", "text").mapInArrow(lambda it: _pieces(it, ranks_file, literals, window, end_id), fields)
     cut = scratch.save(cut, "pieces")
-    group = F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(RANK_GROUPS)).cast("int")
-    cut = cut.withColumn("g", group)
-    counts = cut.groupBy("length", "g").agg(F.count("*").alias("n"))
-    counts = scratch.save(counts, "counts")
     held = np.zeros(window + 1, np.int64)
-    for length, n in counts.groupBy("length").agg(F.sum("n")).collect():
+    for length, n in cut.groupBy("length").agg(F.count("*")).collect():
         held[length] = n
     shared = docs.sparkSession.sparkContext.broadcast(plan_packing(held, window))
+    groups = F.get(F.array(*(F.lit(int(n)) for n in -(-held // RANK_ROWS))), F.col("length").cast("int"))
+    cut = cut.withColumn("g", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), groups))
+    counts = cut.groupBy("length", "g").agg(F.count("*").alias("n"))
     before = Window.partitionBy("length").orderBy("g").rowsBetween(Window.unboundedPreceding, -1)
     first = counts.select("length", "g", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
-    # (length, group) rows are at most window times RANK_GROUPS, about 10 MB
     inner = Window.partitionBy("length", "g").orderBy("doc_id", "start", "ids_crc32")
     ranked = cut.withColumn("r", F.row_number().over(inner)).join(first, ["length", "g"])
     ranked = ranked.withColumn("rank", F.col("first") + F.col("r") - 1).drop("first", "r", "g")

@@ -17,9 +17,7 @@ def tokenizer():
     import public_tokenizers
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
 
 
 def ids_of(tokenizer, text):
@@ -29,8 +27,10 @@ def ids_of(tokenizer, text):
 def test_units_give_the_tokenizers_ids(tokenizer):
     rng = random.Random(3)
     texts = [r[1] for r in odd_rows() if r[0] != 15] + ["".join(rng.choice(" \n\ta1'é漢\u00a0\u3000\x85s.😀") for _ in range(rng.randrange(60))) for _ in range(400)]
-    encoder = packing.UnitEncoder("byte_bpe_50k.tiktoken")
-    for some in (texts, texts[3:9], [None], ["", ""]):
+    mark = "<|endoftext|>"
+    marked = [mark, f"a {mark} b", f"{mark}{mark}", f"x{mark}", None, "", f" \n {mark} \n tail ", "<|endoftext|", f"<|endoftext{mark}", *(f"{a}{mark}{b}" for a, b in zip(texts[-40:], texts[-39:]))]
+    encoder = packing.UnitEncoder("byte_bpe_50k.tiktoken", "byte_bpe_50k.json")
+    for some in (texts, texts[3:9], [None], ["", ""], marked, [*marked, *texts], [mark]):
         ids, offsets = encoder.documents(pa.array(some, pa.string()))
         for i, t in enumerate(some):
             assert ids[offsets[i] : offsets[i + 1]].tolist() == ids_of(tokenizer, t)[:-1], repr(t)
@@ -58,11 +58,37 @@ def test_plan_fills_windows(seed):
         assert plan.sequences * 64 < 1.01 * length.sum()
 
 
+def flat_plans():
+    """Histograms of short texts, of one length, and of real ones, to be held 1 and 1000 times."""
+    rng = np.random.default_rng(1)
+    short = np.bincount(np.minimum(rng.lognormal(4.6, 0.5, 20_000).astype(int) + 1, 1024), minlength=1025)
+    one = np.zeros(1025, np.int64)
+    one[700] = 1000
+    ones = np.zeros(1025, np.int64)
+    ones[1] = 5000
+    return [short, one, ones, np.bincount(rng.integers(1, 1025, 30_000), minlength=1025)]
+
+
+@pytest.mark.parametrize("case", range(4))
+def test_plan_does_not_grow_with_the_corpus(case):
+    held = flat_plans()[case]
+    small, large = packing.plan_packing(held), packing.plan_packing(1000 * held)
+    # combinations that the small one rounds to nothing are used by the large one: three runs each at most
+    assert len(large.length) <= 3 * len(packing.combinations(1024, held)) + 60 * np.count_nonzero(held)
+    assert case == 3 or len(large.length) < 1.5 * len(small.length) + 6000
+    assert packing.plan_packing(10 * 1000 * held).length.size <= 1.1 * len(large.length) + 100
+    tokens = int((np.arange(1025) * held).sum()) * 1000
+    if case in (0, 2, 3):
+        assert large.sequences * 1024 < 1.02 * tokens
+
+
 def test_pack_round_trip(spark, odd, none, tokenizer):
     assert packing.pack(none, Scratch(spark)).collect() == []
-    rows = packing.pack(odd, Scratch(spark)).collect()
+    more = [(900 + i, t) for i, t in enumerate(["<|endoftext|>", "x <|endoftext|> y<|endoftext|>", "word " * 3000])]
+    docs = odd.select("doc_id", "text").unionByName(spark.createDataFrame(more, "doc_id long, text string")).withColumn("g", F.lit(1)).withColumn("rank", F.lit(2))
+    rows = packing.pack(docs, Scratch(spark)).collect()
     texts = defaultdict(list)
-    for i, t, *_ in odd_rows():
+    for i, t, *_ in [*odd_rows(), *more]:
         texts[i].append(ids_of(tokenizer, t))
     pieces = defaultdict(int)
     for r in rows:
