@@ -1,15 +1,18 @@
 """Mixing sources to target weights: Pareto order sampling after whole certain copies, native.
 
 Every source gets a target by water filling: ``SHARE`` of all words, dealt by weight, none above
-``CAP`` times the source's own size. A document is taken floor(target / size) times for certain;
-for the rest, documents are ranked by random odds over inclusion odds,
-``(u / (1 - u)) / (p / (1 - p))``, and taken in that order until the rest of the target is met, so a
-sample has a fixed size in words. ``u`` comes from the document's id, hence reruns agree.
-
-The cut in each source's ranking is found without ordering the source: ranks fall into equal
-buckets whose sizes are summed before the shuffle, running sums are taken over buckets, and only
-the one bucket that holds the cut is ordered, whose rows are 1 / ``BUCKETS`` of the source. A hot
-source is thus never in one task.
+``CAP`` times the source's own size. A document is taken floor(target / size) times for certain. For
+the rest of the target each document has an inclusion probability in proportion to its size,
+``p = min(1, scale * size)``, where the scale makes the expected words the rest: the longest
+documents may be certain, and the others share what is left. Documents are ranked by random odds over
+inclusion odds, ``(u / (1 - u)) / (p / (1 - p))``, and taken in that order until the rest of the
+target is met, so a sample has a fixed size in words, up to half a document. ``u`` comes from the
+document's id, hence reruns agree.
+
+The scale comes from the numbers of documents by size, which are summed before the shuffle. The cut
+in each source's ranking is found without ordering the source: ranks fall into buckets whose sizes
+are summed before the shuffle, running sums are taken over buckets, and only the one bucket that
+holds the cut is ordered, about 1 / ``BUCKETS`` of the source. A hot source is thus never in one task.
 
 Defined results: a null text has size 0, and documents of size 0 are taken 0 times; the null
 source is a source of its own that comes last; equal ranks go by id, and rows that repeat an id by
@@ -67,31 +70,51 @@ def source_targets(sizes: DataFrame) -> DataFrame:
     return per.select("source", "source_size", target.alias("target"))
 
 
-def _draw(doc_id: Column) -> Column:
-    """A number in [0, 2^BITS) from the id's text."""
-    text = F.coalesce(doc_id.cast("string"), F.lit("null"))
+def _draw(doc_id: Column, seed: str) -> Column:
+    """A number in [0, 2^BITS) from the seed and the id's text."""
+    text = F.concat(F.lit(seed), F.coalesce(doc_id.cast("string"), F.lit("null")))
     return F.conv(F.substring(F.md5(text.cast("binary")), 1, BITS // 4), 16, 10).cast("long")
 
 
-def _ranked(sizes: DataFrame, per: DataFrame) -> DataFrame:
-    """``sizes`` with what its source gets and each row's rank, bucket and full order.
+def inclusion_scales(sizes: DataFrame, per: DataFrame) -> DataFrame:
+    """(source, scale): least(1, scale * size) are probabilities whose expected words are the source's rest.
+
+    Sizes are gone through from the largest: the first that isn't certain, given that all larger
+    ones are, sets the scale. The rows ordered for a source are its distinct sizes. Sums are whole
+    numbers, so they don't depend on the order.
+    """
+    n, size = F.col("n").cast("decimal(18,0)"), F.col("size").cast("decimal(10,0)")
+    lengths = sizes.where("size > 0").groupBy("source", "size").agg(F.count("*").alias("n"))
+    rests = per.select(F.col("source").alias("_source"), "rest")
+    lengths = lengths.join(rests, lengths["source"].eqNullSafe(F.col("_source"))).drop("_source")
+    larger = Window.partitionBy("source").orderBy(F.col("size").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    upto = Window.partitionBy("source").orderBy("size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    left = F.col("rest") - F.coalesce(F.sum(F.col("n") * F.col("size")).over(larger), F.lit(0))
+    squares = F.sum((n * size * size).cast("decimal(38,0)")).over(upto).cast("double")
+    steps = lengths.select("source", "size", left.alias("left"), squares.alias("squares")).where(F.col("left") * F.col("size") <= F.col("squares"))
+    return steps.groupBy("source").agg(F.max_by(F.col("left") / F.col("squares"), "size").alias("scale"))
+
+
+def _ranked(sizes: DataFrame, per: DataFrame, seed: str) -> DataFrame:
+    """``sizes`` with what its source gets, its inclusion probability p, and its rank, bucket and full order.
 
     Sources are joined, not documents: the right side has a row for each source.
     """
     per = per.withColumnRenamed("source", "_source")
     out = sizes.join(per, sizes["source"].eqNullSafe(F.col("_source"))).drop("_source")
-    u = (_draw(F.col("doc_id")) + 0.5) / float(1 << BITS)
+    out = out.withColumn("p", F.least(F.lit(1.0), F.coalesce(F.col("scale") * F.col("size"), F.lit(0.0))))
+    u = (_draw(F.col("doc_id"), seed) + 0.5) / float(1 << BITS)
     odds = F.when((F.col("p") > 0) & (F.col("p") < 1), (u / (1 - u)) / (F.col("p") / (1 - F.col("p"))))
     out = out.withColumn("q", F.coalesce(odds, F.when(F.col("p") >= 1, F.lit(0.0)).otherwise(F.lit(float("inf")))))
-    # the rank on (0, 1): uniform where all of a source share one inclusion probability
-    scaled = F.when(F.col("q") == float("inf"), F.lit(1.0)).otherwise(F.col("q") * F.col("p") / (1 - F.col("p") + F.col("q") * F.col("p")))
-    bucket = F.least(F.floor(F.coalesce(scaled, F.lit(0.0)) * BUCKETS), F.lit(BUCKETS - 1))
+    # the rank on (0, 1), where the cut is near the middle
+    scaled = F.when(F.col("q") == float("inf"), F.lit(1.0)).otherwise(F.col("q") / (1 + F.col("q")))
+    bucket = F.least(F.floor(scaled * BUCKETS), F.lit(BUCKETS - 1))
     place = F.struct("q", F.isnull("doc_id").alias("unnamed"), F.col("doc_id").alias("id"), F.col("size").alias("words"))
     return out.withColumn("bucket", bucket).withColumn("place", place)
 
 
-def mixture_plan(sizes: DataFrame, scratch: Scratch) -> DataFrame:
-    """A row for each source: source_size, target, whole, p, rest, and where its ranking is cut.
+def mixture_plan(sizes: DataFrame, scratch: Scratch, seed: str = "") -> DataFrame:
+    """A row for each source: source_size, target, whole, rest, scale, and where its ranking is cut.
 
     ``sizes`` (doc_id, source, size) should be a written table, as it is read several times. Rows
     in a bucket before ``cut_bucket``, and those in it up to the place ``last``, are taken once more.
@@ -99,10 +122,10 @@ def mixture_plan(sizes: DataFrame, scratch: Scratch) -> DataFrame:
     per = source_targets(sizes)
     ratio = F.col("target") / F.col("source_size")
     per = per.withColumn("whole", F.when(F.col("source_size") > 0, F.floor(ratio)).otherwise(F.lit(0)).cast("long"))
-    per = per.withColumn("rest", F.col("target") - F.col("whole") * F.col("source_size"))
-    per = scratch.save(per.withColumn("p", F.when(F.col("source_size") > 0, F.col("rest") / F.col("source_size")).otherwise(F.lit(0.0))), "sources")
+    per = scratch.save(per.withColumn("rest", F.col("target") - F.col("whole") * F.col("source_size")), "sources")
+    per = scratch.save(_by_source(per, inclusion_scales(sizes, per)), "scales")
 
-    ranked = _ranked(sizes, per)
+    ranked = _ranked(sizes, per, seed)
     filled = ranked.groupBy("source", "bucket").agg(F.sum("size").alias("words"), F.first("rest").alias("limit"))
     filled = scratch.save(filled.withColumn("span", F.floor(F.col("bucket") / SPAN)), "buckets")
     # running sums over spans first, then over the buckets of the one span that holds the cut
@@ -112,7 +135,7 @@ def mixture_plan(sizes: DataFrame, scratch: Scratch) -> DataFrame:
     cut = _cut(inside, "bucket", F.col("start")).select("source", F.col("bucket").alias("cut_bucket"), F.col("before").alias("cut_before"))
     per = scratch.save(_by_source(per, cut), "cuts")
 
-    near = _ranked(sizes, per).where("bucket = cut_bucket")
+    near = _ranked(sizes, per, seed).where("bucket = cut_bucket")
     order = Window.partitionBy("source").orderBy("place").rangeBetween(Window.unboundedPreceding, Window.currentRow)
     so_far = F.col("cut_before") + F.sum("size").over(order)
     own = F.sum("size").over(Window.partitionBy("source", "place"))
@@ -132,9 +155,9 @@ def _by_source(per: DataFrame, more: DataFrame) -> DataFrame:
     return per.join(more, per["source"].eqNullSafe(F.col("_source")), "left").drop("_source")
 
 
-def _copies(rows: DataFrame, plan: DataFrame) -> DataFrame:
+def _copies(rows: DataFrame, plan: DataFrame, seed: str = "") -> DataFrame:
     """``rows`` (with doc_id, source, size) and the column copies."""
-    out = _ranked(rows, plan)
+    out = _ranked(rows, plan, seed)
     before = F.col("bucket") < F.col("cut_bucket")
     at = (F.col("bucket") == F.col("cut_bucket")) & F.coalesce(F.col("place") <= F.col("last"), F.lit(False))
     extra = F.coalesce(before | at, F.lit(True)) & (F.col("p") > 0)
@@ -145,11 +168,11 @@ def _sizes(docs: DataFrame, scratch: Scratch) -> DataFrame:
     return scratch.save(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")), "sizes")
 
 
-def mix(docs: DataFrame, scratch: Scratch) -> DataFrame:
-    """doc_id, size, source, source_size, target, copies and taken (copies times size)."""
+def mix(docs: DataFrame, scratch: Scratch, seed: str = "") -> DataFrame:
+    """doc_id, size, source, source_size, target, p, copies and taken (copies times size)."""
     sizes = _sizes(docs, scratch)
-    out = _copies(sizes, mixture_plan(sizes, scratch))
-    return out.select("doc_id", "size", "source", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+    out = _copies(sizes, mixture_plan(sizes, scratch, seed), seed)
+    return out.select("doc_id", "size", "source", "source_size", "target", "p", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 
 def repeat_rows(docs: DataFrame, scratch: Scratch) -> DataFrame:
@@ -178,10 +201,17 @@ targets AS (
   SELECT source, source_size, least(coalesce(m.level * weight, cap::DOUBLE), cap::DOUBLE) AS target FROM levels, met m),
 parts AS (
   SELECT *, CASE WHEN source_size > 0 THEN CAST(floor(target / source_size) AS BIGINT) ELSE 0 END AS whole FROM targets),
-rests AS (SELECT *, target - whole * source_size AS rest, CASE WHEN source_size > 0 THEN (target - whole * source_size) / source_size ELSE 0 END AS p FROM parts),
+rests AS (SELECT *, target - whole * source_size AS rest FROM parts),
+lengths AS (SELECT source, size, count(*) AS n FROM sizes WHERE size > 0 GROUP BY source, size),
+steps AS (
+  SELECT l.source, l.size, r.rest - coalesce(sum(l.n * l.size) OVER (PARTITION BY l.source ORDER BY l.size DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS spare,
+    CAST(sum(l.n::HUGEINT * l.size * l.size) OVER (PARTITION BY l.source ORDER BY l.size ROWS UNBOUNDED PRECEDING) AS DOUBLE) AS squares
+  FROM lengths l JOIN rests r ON l.source IS NOT DISTINCT FROM r.source),
+scales AS (SELECT source, arg_max(spare / squares, size) AS scale FROM steps WHERE spare * size <= squares GROUP BY source),
 drawn AS (
-  SELECT s.doc_id, s.size, r.*, (CAST('0x' || substr(md5(coalesce(CAST(s.doc_id AS VARCHAR), 'null')), 1, {BITS // 4}) AS BIGINT) + 0.5::DOUBLE) / {float(1 << BITS)}::DOUBLE AS u
-  FROM sizes s JOIN rests r ON s.source IS NOT DISTINCT FROM r.source),
+  SELECT s.doc_id, s.size, r.*, least(1::DOUBLE, coalesce(c.scale * s.size, 0)) AS p,
+    (CAST('0x' || substr(md5(coalesce(CAST(s.doc_id AS VARCHAR), 'null')), 1, {BITS // 4}) AS BIGINT) + 0.5::DOUBLE) / {float(1 << BITS)}::DOUBLE AS u
+  FROM sizes s JOIN rests r ON s.source IS NOT DISTINCT FROM r.source LEFT JOIN scales c ON s.source IS NOT DISTINCT FROM c.source),
 ranked AS (SELECT *, CASE WHEN p > 0 AND p < 1 THEN (u / (1 - u)) / (p / (1 - p)) WHEN p >= 1 THEN 0 ELSE 'inf'::DOUBLE END AS q FROM drawn),
 summed AS (
   SELECT *, sum(size) OVER (PARTITION BY source ORDER BY q, doc_id NULLS LAST, size RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS so_far,

@@ -136,6 +136,34 @@ def test_mix(spark, odd, none):
     assert sorted(map(repr, rows)) == sorted(map(repr, again))
 
 
+def test_inclusion_follows_the_probabilities(spark):
+    """900 sources of the same 18 sizes, 300 of each weight, are as many draws."""
+    shape = [3, 5, 8, 8, 12, 20, 20, 30, 45, 45, 60, 80, 100, 120, 150, 200, 400, 700]
+    rows = [(100 * i + j, "w " * n, f"s{i:04}") for i in range(900) for j, n in enumerate(shape)]
+    found = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string"), Scratch(spark), "draw 1:").collect()
+    often, chance, words, goal = defaultdict(int), {}, defaultdict(int), {}
+    for r in found:
+        w, j = int(r.source[1:]) % 3, r.doc_id % 100
+        whole = int(r.target // r.source_size)
+        often[w, j] += r.copies - whole
+        chance[w, j] = r.p
+        words[r.source] += r.taken
+        goal[r.source] = r.target
+        assert abs(r.p - min(1, r.p)) == 0 and (r.copies == whole + 1 if r.p == 1 else r.copies in (whole, whole + 1))
+    assert all(abs(words[s] - goal[s]) <= 350 for s in goal)
+    used = {w for (w, _), p in chance.items() if p > 0}
+    assert used
+    for w in used:
+        p = np.array([chance[w, j] for j in range(18)])
+        rest = next(goal[s] for s in goal if int(s[1:]) % 3 == w) % sum(shape)
+        assert abs((p * shape).sum() - rest) < 1e-6 * rest and len(set(np.round(p, 9))) > 5
+        middle = p < 1
+        assert np.allclose(p[middle] / np.array(shape)[middle], (p[middle] / np.array(shape)[middle])[0])
+        share = np.array([often[w, j] for j in range(18)]) / 300
+        # Pareto sampling keeps its probabilities but nearly, the more so as the cut is in words
+        assert np.abs(share - p).max() < 0.13 and np.corrcoef(share, p)[0, 1] > 0.97
+
+
 def test_repeat_rows_keeps_columns(spark, odd, none):
     out = mixing.repeat_rows(odd, Scratch(spark))
     assert out.columns == odd.columns
