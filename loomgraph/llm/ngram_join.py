@@ -3,13 +3,18 @@
 A text's set holds every five consecutive words; a text of one to four words is one gram. Equal
 sets are one class and are compared once. Signatures of the classes are cut into bands, whose
 number and rows follow from the target recall at the threshold, and are shuffled on band hashes.
-Band buckets tie classes into candidate clusters (star edges, connected components); then each
-clustered text is sent once to its cluster's blocks, where all pairs are verified on full sets. A
-block keeps a set as its difference from the cluster's common core, so that near copies cost what
-they differ in. Blocks return sums of links and star edges, never pairs.
-
-Every pair that meets in a band is in one cluster, so verification misses none of them; the chance
-that a pair at exactly the threshold meets in no band is at most MISS.
+A bucket of a band is a group of candidates. Buckets that overlap are put together where that saves
+work: star edges tie classes into clusters (connected components), and a cluster of up to
+``WHOLE_CHUNKS`` chunks is verified as one, each text sent to its cluster's blocks once. A larger
+cluster, a chain of texts that have little in common or a very large group of copies, is verified
+bucket by bucket, and a pair counts in the first band that it shares; so the pairs looked at stay
+those of buckets. Blocks verify pairs on full sets. They keep a set as its difference from the
+block's common core, so that near copies cost what they differ in, and return sums of links and star
+edges, never pairs.
+
+Every pair that meets in a band is in one block, so verification misses none of them; the chance
+that a pair at exactly the threshold meets in no band is at most MISS. Grams and sets are compared
+by 64 and 128 bits.
 
 Defined results: a text that is null or has no word, and a row with a null doc_id, link with
 nothing and are classes of their own. Rows that repeat an id are documents of their own and count
@@ -43,6 +48,8 @@ SEED = 6
 #: Bounds of a chunk: texts and bytes.
 CHUNK_ROWS = 1024
 CHUNK_BYTES = 6 << 20
+#: Chunks of a cluster that is verified as a whole: each of its texts is sent so many times at most.
+WHOLE_CHUNKS = 22
 #: Grams shared by more texts of a block than this are multiplied densely.
 DENSE_FROM = 24
 
@@ -108,7 +115,8 @@ def _signatures(batches: Iterator[pa.RecordBatch], bands: Bands) -> Iterator[pa.
                     keys[some, b] = key
         lists = pa.ListArray.from_arrays(pa.array(np.arange(part.num_rows + 1, dtype=np.int32) * bands.bands), pa.array(signed(keys).ravel()))
         yield pa.RecordBatch.from_arrays(
-            [part.column("doc_id"), pa.array(signed(one)), pa.array(signed(two)), pa.array(sizes), lists], names=["doc_id", "s1", "s2", "n_grams", "bands"]
+            [part.column("doc_id"), part.column("mark"), pa.array(signed(one)), pa.array(signed(two)), pa.array(sizes), lists],
+            names=["doc_id", "mark", "s1", "s2", "n_grams", "bands"],
         )
 
 
@@ -159,7 +167,7 @@ def shared_counts(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-BLOCK = ["cluster", "low", "high"]
+BLOCK = ["band", "key", "low", "high"]
 
 
 def _verify(batches: Iterator[pa.RecordBatch], threshold: tuple[int, int]) -> Iterator[pa.RecordBatch]:
@@ -177,14 +185,22 @@ def _verify(batches: Iterator[pa.RecordBatch], threshold: tuple[int, int]) -> It
         rows = right[np.sort(first)]
         if len(rows) < 2:
             continue
+        chunk, ids, copies = chunk[rows], ids[rows], copies[rows]
+        met = np.eye(len(rows), dtype=bool)
+        if (band := block.column("band")[0].as_py()) > 0:  # pairs that share an earlier band were told there
+            keys = block.column("bands").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(block.num_rows, -1)[rows]
+            for k in range(band):
+                met |= keys[:, k][:, None] == keys[:, k][None, :]
+        if block.column("low")[0].as_py() != block.column("high")[0].as_py():
+            met |= chunk[:, None] == chunk[None, :]
+        if not (new := np.flatnonzero(~met.all(axis=1))).size:
+            continue
+        rows, ids, copies, met = rows[new], ids[new], copies[new], met[np.ix_(new, new)]
         sets = [grams[offsets[i] : offsets[i + 1]] for i in rows]
         sizes = np.array([len(s) for s in sets])
-        chunk, ids, copies = chunk[rows], ids[rows], copies[rows]
         both = shared_counts(sets)
         # both / (a + b - both) >= up / down in whole numbers
-        near = np.triu((up + down) * both >= up * (sizes[:, None] + sizes[None, :]), 1)
-        if block.column("low")[0].as_py() != block.column("high")[0].as_py():
-            near &= chunk[:, None] != chunk[None, :]
+        near = np.triu((up + down) * both >= up * (sizes[:, None] + sizes[None, :]), 1) & ~met
         p, q = np.nonzero(near)
         if not len(p):
             continue
@@ -194,16 +210,27 @@ def _verify(batches: Iterator[pa.RecordBatch], threshold: tuple[int, int]) -> It
         yield pa.RecordBatch.from_arrays([pa.array(ids[told]), pa.array(links[told].astype(np.int64)), pa.array(ids[root[told]])], names=["rep", "links", "root"])
 
 
-def near_documents(docs: DataFrame, scratch: Scratch, threshold: tuple[int, int] = JACCARD) -> DataFrame:
-    """doc_id, n_grams, class_id and n_links for every row of ``docs`` (doc_id long, text).
+def _work(members: DataFrame, sized: DataFrame, classes: DataFrame, scratch: Scratch) -> DataFrame:
+    """(cid, band, key, chunks): the groups in which each class is verified; band -1 is a whole cluster."""
+    room = F.ceil(F.greatest(F.count("*") / CHUNK_ROWS, F.sum("bytes") / CHUNK_BYTES)).alias("chunks")
+    clusters = scratch.save(sized.groupBy("cluster").agg(room), "clusters")
+    whole = members.select("cid", "cluster").join(clusters.where(F.col("chunks") <= WHOLE_CHUNKS), "cluster")
+    whole = whole.select("cid", F.lit(-1).alias("band"), F.col("cluster").alias("key"), "chunks")
+    large = members.select("cid", "cluster").join(clusters.where(F.col("chunks") > WHOLE_CHUNKS).select("cluster"), "cluster")
+    keyed = large.join(sized.groupBy("cid").agg(F.max("bytes").alias("bytes")), "cid").join(classes.select("cid", "bands"), "cid")
+    keyed = scratch.save(keyed.select("cid", "bytes", F.posexplode("bands").alias("band", "key")), "large")
+    buckets = scratch.save(keyed.groupBy("band", "key").agg(room, F.count("*").alias("rows")).where("rows > 1").drop("rows"), "buckets")
+    return whole.unionByName(keyed.join(buckets, ["band", "key"]).select("cid", "band", "key", "chunks"))
 
-    ``class_id`` is the smallest id that the document reaches over links (its own without any);
-    ``n_links`` is the number of other documents of Jaccard similarity at the threshold or above.
+
+def _related(docs: DataFrame, scratch: Scratch, threshold: tuple[int, int]) -> DataFrame:
+    """doc_id, mark, n_grams, class_id, n_links and part for every row of ``docs`` (doc_id long, text, mark).
+
+    ``part`` numbers groups; it is null for a row that is a class of its own as it has no word or no id.
     """
     bands = Bands.choose(threshold[0] / threshold[1])
-    fields = "doc_id long, s1 long, s2 long, n_grams long, bands array<long>"
-    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    signed_ = scratch.save(slim.mapInArrow(lambda it: _signatures(it, bands), fields), "signatures")
+    fields = "doc_id long, mark long, s1 long, s2 long, n_grams long, bands array<long>"
+    signed_ = scratch.save(docs.mapInArrow(lambda it: _signatures(it, bands), fields), "signatures")
     usable = signed_.where("doc_id is not null and n_grams > 0")
     classes = usable.groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n"), F.first("bands").alias("bands"))
     # two classes may share their smallest id only where rows repeat an id; they are told apart by number
@@ -213,13 +240,12 @@ def near_documents(docs: DataFrame, scratch: Scratch, threshold: tuple[int, int]
     least = keyed.groupBy("band", "key").agg(F.min("cid").alias("v"), F.count("*").alias("rows")).where("rows > 1")
     edges = scratch.save(keyed.join(least, ["band", "key"]).where("cid <> v").select(F.col("cid").alias("u"), "v").distinct(), "edges")
     clusters = connected_components(edges, scratch).select(F.col("node").alias("cid"), F.col("component").alias("cluster"))
-    members = clusters.join(classes.drop("bands"), "cid")
-    sized = slim.join(members.withColumnRenamed("rep", "doc_id"), "doc_id").withColumn("bytes", F.octet_length("text"))
-    sized = scratch.save(sized, "members")
-    room = F.greatest(F.count("*") / CHUNK_ROWS, F.sum("bytes") / CHUNK_BYTES)
-    chunks = sized.groupBy("cluster").agg(F.ceil(room).alias("chunks"))
-    placed = sized.select("cluster", "cid", "n", "s1", "s2", "text").join(chunks, "cluster")
-    blocks = into_blocks(placed, F.col("cid"), F.col("chunks")).drop("chunks").withColumnRenamed("cid", "rep")
+    members = scratch.save(clusters.join(classes.drop("bands"), "cid"), "members")
+    sized = docs.select("doc_id", "text").join(members.withColumnRenamed("rep", "doc_id"), "doc_id").withColumn("bytes", F.octet_length("text"))
+    sized = scratch.save(sized, "texts")
+    blocks = into_blocks(_work(members, sized, classes, scratch), F.col("cid"), F.col("chunks")).drop("chunks")
+    blocks = blocks.join(sized.select("cid", "n", "s1", "s2", "text"), "cid").join(classes.select("cid", "bands"), "cid")
+    blocks = blocks.withColumn("bands", F.when(F.col("band") > 0, F.col("bands"))).withColumnRenamed("cid", "rep")
     blocks = blocks.repartition(*BLOCK).sortWithinPartitions(*BLOCK)
     found = scratch.save(blocks.mapInArrow(lambda it: _verify(it, threshold), "rep long, links long, root long"), "links")
 
@@ -228,24 +254,46 @@ def near_documents(docs: DataFrame, scratch: Scratch, threshold: tuple[int, int]
     told = classes.select("cid", "s1", "s2", "rep", "n").join(parts.withColumnRenamed("node", "cid"), "cid", "left").withColumn("part", F.coalesce("component", "cid"))
     smallest = told.groupBy("part").agg(F.min("rep").alias("least_id"))
     told = told.join(smallest, "part").join(links, "cid", "left")
-    told = told.select("s1", "s2", "least_id", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("links"))
-    part = usable.select("doc_id", "n_grams", "s1", "s2").join(told, ["s1", "s2"])
-    done = part.select("doc_id", "n_grams", F.col("least_id").alias("class_id"), F.col("links").cast("long").alias("n_links"))
+    told = told.select("s1", "s2", "part", F.col("least_id").alias("class_id"), (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
+    out = ["doc_id", "mark", "n_grams", "class_id", "n_links", "part"]
+    done = usable.select("doc_id", "mark", "n_grams", "s1", "s2").join(told, ["s1", "s2"]).select(*out)
     rest = signed_.where("doc_id is null or n_grams = 0")
-    return done.unionByName(rest.select("doc_id", "n_grams", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links")))
+    zero, none = F.lit(0).cast("long").alias("n_links"), F.lit(None).cast("long").alias("part")
+    return done.unionByName(rest.select("doc_id", "mark", "n_grams", F.col("doc_id").alias("class_id"), zero, none))
+
+
+def near_documents(docs: DataFrame, scratch: Scratch, threshold: tuple[int, int] = JACCARD) -> DataFrame:
+    """doc_id, n_grams, class_id and n_links for every row of ``docs`` (doc_id long, text).
+
+    ``class_id`` is the smallest id that the document reaches over links (its own without any);
+    ``n_links`` is the number of other documents of Jaccard similarity at the threshold or above.
+    """
+    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.lit(0).cast("long").alias("mark"))
+    return _related(slim, scratch, threshold).select("doc_id", "n_grams", "class_id", "n_links")
 
 
 def keep_one(docs: DataFrame, scratch: Scratch) -> DataFrame:
-    """The rows of ``docs`` whose id is the smallest of its class; rows with a null id stay.
+    """One row of ``docs`` of each group of near copies, that with the smallest id.
 
-    Of rows that repeat id and text, one stays.
+    Of a group's rows that share the smallest id, the one whose text has the least hash stays, and of
+    rows that repeat that id and text the one whose other columns have the least hash, so reruns
+    agree; rows that are equal in all columns are any of them. Rows with a null id and rows without
+    a word are in no group and stay. Columns travel in one struct, so no name clashes. No rows give
+    no rows.
     """
-    found = scratch.save(near_documents(docs, scratch), "near")
-    heads = found.where("doc_id = class_id").groupBy("doc_id").agg(F.count("*").alias("_rows"))
-    kept = docs.join(heads, "doc_id")
-    single = kept.where("_rows = 1").drop("_rows")
-    repeated = kept.where("_rows > 1").drop("_rows").dropDuplicates(["doc_id", "text"])
-    return single.unionByName(repeated).unionByName(docs.where("doc_id is null"), allowMissingColumns=True).select(*docs.columns)
+    row = F.struct(*(F.col(c) for c in docs.columns)).alias("_row")
+    named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("mark"))
+    found = scratch.save(_related(named, scratch, JACCARD), "near")
+    lone = found.where("part is null and doc_id is not null").select("doc_id", "mark").distinct().withColumn("n", F.lit(1).cast("long"))
+    first = found.where("part is not null and doc_id = class_id").groupBy("part", "doc_id", "mark").agg(F.count("*").alias("n"))
+    first = first.groupBy("part").agg(F.min(F.struct("doc_id", "mark", "n")).alias("head")).select("head.*")
+    heads = scratch.save(first.unionByName(lone), "heads")
+    kept = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("mark"), row).join(heads, ["doc_id", "mark"])
+    single = kept.where("n = 1").select("_row")
+    # repeated rows are summed up one by one, so a row that is repeated very often isn't ordered
+    several = kept.where("n > 1").withColumn("tie", F.xxhash64("_row")).groupBy("doc_id", "mark").agg(F.min_by("_row", "tie").alias("_row")).select("_row")
+    rows = single.unionByName(several).unionByName(docs.where("doc_id is null").select(row))
+    return rows.select(*(F.col("_row").getField(c).alias(c) for c in docs.columns))
 
 
 #: Every pair of documents in DuckDB, on the same sets.

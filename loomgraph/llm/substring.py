@@ -6,15 +6,17 @@ only, and names agree globally without an exchange. What the surroundings can ch
 a run or a pair that reaches over the edge of a passage. With the rounds used here that is
 ``EDGE`` words at each end, so two equal windows of 50 words share all symbols of their middle.
 
-A high-level symbol, taken with its followers up to ``GRAM`` words, is an anchor if its name is the
-least among those that start within ``SPAN`` words; equal middles choose equal anchors, and at
-least one. Spark groups the anchors: only windows around an anchor that several documents share
-can repeat. Those windows are named by 96 bits over all their words, which verifies them, and the
-ones that also start in a document with a smaller id mark their words.
-
-So no repeated window is missed: an equal window has a common anchor, and every window around a
-shared anchor is compared. Whole documents that are equal are found by one name for the document
-and give no windows.
+A high-level symbol, taken with its followers up to ``GRAM`` words, gets a name of its symbols. Each
+window goes by one of them: the least name among those that start in ``SPAN`` words of its middle.
+Equal windows go by equal names, so a window can repeat only if the name it goes by stands in
+several documents. Spark finds those names by a partial minimum and maximum of ids. Neighbouring
+windows that go by one place form a block, a symbol of 50 to 70 words that has a name of 96 bits over
+all of them: a later document's block of the same name repeats all its windows at once, however many
+documents have the passage. What is left are blocks at a passage's ends, where a name goes with
+several blocks; the windows of each block's first document are compared one by one.
+
+Whole documents that are equal are found by a digest of all their words and give no windows. Words,
+windows and documents are compared by 64, 96 and 96 bits; an equality of these counts as equality.
 
 Defined results: a null text has no words; rows with a null doc_id are neither compared nor changed;
 rows that repeat an id are compared with smaller ids only, never with each other. A document
@@ -31,7 +33,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from loomgraph.llm.text import U, gram_hashes, hash_words, mix, passes, signed, words_of
 from loomgraph.plans.scratch import Scratch
@@ -49,6 +50,13 @@ GRAM = 6
 #: Starts that an anchor is the least of: all of them have their anchor inside of the middle.
 SPAN = WINDOW - 2 * EDGE - (GRAM - 1 + LONGEST)
 NONE = ~U(0)
+#: Bytes of text of one pass: a worker holds about forty numbers a word.
+PASS_BYTES = 4 << 20
+
+
+def _passes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield from passes(batch, limit=PASS_BYTES)
 
 
 def _merge(symbols: np.ndarray, widths: np.ndarray, joins: np.ndarray, names: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -90,47 +98,59 @@ def _least(values: np.ndarray, span: int, function) -> np.ndarray:
     return function(out[: len(out) - rest], out[rest:]) if rest else out
 
 
-def anchors(h: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(word, name) of the anchors of all documents."""
+def symbol_names(h: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """For each word the name of the high-level symbol that starts there, NONE where none does."""
     symbols, start = recompress(h, offsets)
-    n = len(h)
-    bounds = np.append(start, n)
+    bounds = np.append(start, len(h))
     end = np.searchsorted(bounds, start + GRAM)  # the first symbol boundary at GRAM words or more
     last_word = offsets[np.searchsorted(offsets, start, side="right")]
     good = (end < len(bounds)) & (bounds[np.minimum(end, len(bounds) - 1)] <= last_word)
-    # a name for the symbols from i to end: sums of powers, made comparable by the inverse power
-    with np.errstate(over="ignore"):
-        base, inverse = U(0x9E3779B97F4A7C15), U(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
-        powers = np.multiply.accumulate(np.concatenate([[U(1)], np.full(len(symbols), base)]))
-        back = np.multiply.accumulate(np.concatenate([[U(1)], np.full(len(symbols), inverse)]))
-        sums = np.concatenate([[U(0)], np.cumsum(mix(symbols, 7) * powers[:-1], dtype=U)])
-        i = np.flatnonzero(good)
-        names = mix((sums[end[i]] - sums[i]) * back[i], (end[i] - i).astype(U))
-    field = np.full(n + 2 * SPAN, NONE)
-    field[start[i] + SPAN] = names
-    lows = _least(field, SPAN, np.minimum)  # lows[q]: over words q - SPAN to q - 1
-    best = _least(lows, SPAN, np.maximum)[1 : n + 1]  # over the windows that have the word
-    chosen = np.flatnonzero((best == field[SPAN : SPAN + n]) & (best != NONE))
-    return chosen, field[SPAN + chosen]
+    at, end = np.flatnonzero(good), end[good]
+    names = np.full(len(at), U(7))
+    for j in range(GRAM):  # a symbol is of one word or more
+        more = at + j < end
+        names[more] = mix(names[more], symbols[at[more] + j])
+    field = np.full(len(h), NONE)
+    field[start[at]] = names
+    return field
 
 
-def _document_names(h: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """96 bits of each document's whole word sequence, as uint64 and int32."""
-    with np.errstate(over="ignore"):
-        base = U(0xD6E8FEB86659FD93)
-        at = np.arange(len(h)) - np.repeat(offsets[:-1], np.diff(offsets))
-        powers = np.multiply.accumulate(np.concatenate([[U(1)], np.full(int(at.max(initial=0)), base)]))
-        out = []
-        for k in (11, 13):
-            sums = np.concatenate([[U(0)], np.cumsum(mix(h, k) * powers[at], dtype=U)])
-            out.append(mix(sums[offsets[1:]] - sums[offsets[:-1]], np.diff(offsets).astype(U)))
-    return out[0], (out[1] >> U(33)).astype(np.int32)
+def window_starts(offsets: np.ndarray) -> np.ndarray:
+    """Whether a window starts at each word."""
+    at = np.arange(int(offsets[-1]))
+    return at + WINDOW <= np.repeat(offsets[1:], np.diff(offsets))
+
+
+def window_anchors(field: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """The name that each window goes by, which is the least in its middle; NONE where no window starts."""
+    padded = np.concatenate([field, np.full(EDGE + SPAN, NONE)])
+    lows = _least(padded, SPAN, np.minimum)[EDGE : EDGE + len(field)]
+    return np.where(starts, lows, NONE)
+
 
+def anchors(h: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(word, name) of the symbols that some window goes by."""
+    field = symbol_names(h, offsets)
+    named = window_anchors(field, window_starts(offsets))
+    # the greatest name among the windows that have the place in their middle
+    padded = np.concatenate([np.zeros(EDGE + SPAN - 1, U), np.where(named == NONE, U(0), named)])
+    best = _least(padded, SPAN, np.maximum)[: len(field)]
+    chosen = np.flatnonzero((best == field) & (field != NONE))
+    return chosen, field[chosen]
+
+
+def _document_names(h: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A digest of each document's whole word sequence: 64 bits as uint64 and 32 as int32."""
+    data = memoryview(np.ascontiguousarray(h)).cast("B")
+    cuts = (8 * offsets).tolist()
+    digests = b"".join(hashlib.blake2b(data[a:b], digest_size=16).digest() for a, b in zip(cuts, cuts[1:]))
+    both = np.frombuffer(digests, U).reshape(-1, 2)
+    return both[:, 0], (both[:, 1] >> U(32)).astype(np.uint32).view(np.int32)
 
 
 def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(h, k, doc_id, at): the anchors (k 0), and for each document its own name with at -1."""
-    for part in itertools.chain.from_iterable(map(passes, batches)):
+    for part in _passes(batches):
         flat, offsets = words_of(part.column("text"))
         h = hash_words(flat)
         long = np.flatnonzero(np.diff(offsets) >= WINDOW)
@@ -139,8 +159,6 @@ def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids = part.column("doc_id").to_numpy(zero_copy_only=False)
         at, name = anchors(h, offsets)
         doc = np.searchsorted(offsets, at, side="right") - 1
-        kept = np.isin(doc, long)
-        at, name, doc = at[kept], name[kept], doc[kept]
         one, two = _document_names(h, offsets)
         yield pa.RecordBatch.from_arrays(
             [
@@ -153,36 +171,94 @@ def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
+def _fingerprints(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """96 bits of the window at each word: 64 as uint64 and 32 as int32."""
+    one, two = gram_hashes(h, WINDOW), gram_hashes(mix(h, 17), WINDOW)
+    return one, (two >> U(32)).astype(np.uint32).view(np.int32)
+
+
+def _block_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(h, b1, b2, doc_id, k, start, n): n windows one after the other that go by one place of a shared name h.
+
+    They have the words from the first window's start to the last one's end, which both windows
+    cover: these two and n name the block, and equal blocks have n equal windows.
+    """
+    for part in _passes(batches):
+        flat, offsets = words_of(part.column("text"))
+        h = hash_words(flat)
+        if len(h) < WINDOW:
+            continue
+        _, k = _document_names(h, offsets)
+        ids = part.column("doc_id").to_numpy(zero_copy_only=False)
+        shared = np.zeros(len(h), bool)
+        starts = window_starts(offsets)
+        for i, (places, copies) in enumerate(zip(part.column("_places"), part.column("_copies").to_pylist())):
+            low, high = int(offsets[i]), int(offsets[i + 1])
+            if k[i] in copies:  # a copy of a whole document needs no windows
+                starts[low:high] = False
+            else:
+                at = low + places.values.to_numpy(zero_copy_only=False).astype(np.int64)
+                shared[at[at < high]] = True  # of rows that repeat an id, another text's places may lie beyond
+        field = symbol_names(h, offsets)
+        named = window_anchors(field, starts)
+        going = (named != NONE) & (window_anchors(np.where(shared, field, NONE), starts) == named)
+        # windows that go by one place are neighbours, SPAN of them at most; runs of more are equal names at several places
+        change = np.ones(len(h), bool)
+        change[1:] = (named[1:] != named[:-1]) | (going[1:] != going[:-1])
+        cuts = np.append(np.flatnonzero(change), len(h))
+        used = going[cuts[:-1]]
+        first, last = cuts[:-1][used], cuts[1:][used]
+        if not len(first):
+            continue
+        parts = -(-(last - first) // SPAN)
+        begin = np.repeat(first - SPAN * (np.cumsum(parts) - parts), parts) + SPAN * np.arange(parts.sum())
+        end = np.minimum(begin + SPAN, np.repeat(last, parts))
+        one, two = _fingerprints(h)
+        n = (end - begin).astype(np.int32)
+        doc = np.searchsorted(offsets, begin, side="right") - 1
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.array(signed(named[begin])),
+                pa.array(signed(mix(mix(one[begin], one[end - 1]), n.astype(U)))),
+                pa.array(mix(two[begin].view(np.uint32).astype(U), two[end - 1].view(np.uint32).astype(U)).astype(np.uint32).view(np.int32)),
+                pa.array(ids[doc]),
+                pa.array(k[doc]),
+                pa.array((begin - offsets[doc]).astype(np.int32)),
+                pa.array(n),
+            ],
+            names=["h", "b1", "b2", "doc_id", "k", "start", "n"],
+        )
+
+
 def _window_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(h1, h2, doc_id, k, start) of every window around a shared anchor."""
-    for part in itertools.chain.from_iterable(map(passes, batches)):
+    """(h1, h2, doc_id, k, start) of every window of the blocks in ``_blocks``."""
+    for part in _passes(batches):
         flat, offsets = words_of(part.column("text"))
         h = hash_words(flat)
         if len(h) < WINDOW:
             continue
         _, k = _document_names(h, offsets)
         ids = part.column("doc_id").to_numpy(zero_copy_only=False)
-        marks = np.zeros(len(h) + 1, np.int32)
-        for i, (places, copies) in enumerate(zip(part.column("_places").to_pylist(), part.column("_copies").to_pylist())):
-            low, high = int(offsets[i]), int(offsets[i + 1]) - WINDOW
-            if high < low or k[i] in copies:  # a copy of a whole document needs no windows
-                continue
-            at = low + np.array(places, np.int64)
-            np.add.at(marks, np.clip(at - (WINDOW - GRAM), low, high + 1), 1)
-            np.add.at(marks, np.clip(at + 1, low, high + 1), -1)
-        start = np.flatnonzero(np.cumsum(marks[:-1]) > 0)
+        asked = np.zeros(len(h) + 1, np.int32)
+        for i, blocks in enumerate(part.column("_blocks")):
+            own = blocks.values
+            mine = own.field("k").to_numpy(zero_copy_only=False) == k[i]
+            at = offsets[i] + own.field("start").to_numpy(zero_copy_only=False)[mine].astype(np.int64)
+            np.add.at(asked, at, 1)
+            np.add.at(asked, at + own.field("n").to_numpy(zero_copy_only=False)[mine], -1)
+        start = np.flatnonzero(np.cumsum(asked[:-1]) > 0)
         if not len(start):
             continue
-        one, two = gram_hashes(h, WINDOW)[start], gram_hashes(mix(h, 17), WINDOW)[start]
+        one, two = _fingerprints(h)
         doc = np.searchsorted(offsets, start, side="right") - 1
         yield pa.RecordBatch.from_arrays(
-            [pa.array(signed(one)), pa.array((two >> U(33)).astype(np.int32)), pa.array(ids[doc]), pa.array(k[doc]), pa.array((start - offsets[doc]).astype(np.int32))],
+            [pa.array(signed(one[start])), pa.array(two[start]), pa.array(ids[doc]), pa.array(k[doc]), pa.array((start - offsets[doc]).astype(np.int32))],
             names=["h1", "h2", "doc_id", "k", "start"],
         )
 
 
 def _kept_words(batches: Iterator[pa.RecordBatch], names: list[str], digest: bool) -> Iterator[pa.RecordBatch]:
-    for part in itertools.chain.from_iterable(map(passes, batches)):
+    for part in _passes(batches):
         marked = part.column("_marked").to_pylist()
         some = [i for i, m in enumerate(marked) if m]
         codes = {}
@@ -193,13 +269,14 @@ def _kept_words(batches: Iterator[pa.RecordBatch], names: list[str], digest: boo
         for i, text in enumerate(part.column("text").to_pylist()):
             words = (text or "").encode().split()
             gone = 0
-            if starts := [m["start"] for m in marked[i] or () if m["k"] == codes[i]]:
-                if -1 in starts:
+            if own := [(m["start"], m["n"]) for m in marked[i] or () if m["k"] == codes[i]]:
+                starts, counts = np.array(own, np.int64).T
+                if (starts < 0).any():
                     gone, words_kept = len(words), []
                 else:
                     cover = np.zeros(len(words) + 1, np.int32)
-                    cover[starts] += 1
-                    cover[np.array(starts) + WINDOW] -= 1
+                    np.add.at(cover, starts, 1)
+                    np.add.at(cover, starts + counts + (WINDOW - 1), -1)
                     keep = np.cumsum(cover[:-1]) == 0
                     words_kept = list(itertools.compress(words, keep.tolist()))
                     gone = len(words) - len(words_kept)
@@ -214,20 +291,40 @@ def _kept_words(batches: Iterator[pa.RecordBatch], names: list[str], digest: boo
 
 
 def _marks(known: DataFrame, scratch: Scratch) -> DataFrame:
-    """(_marked_id, _marked): starts of the repeated windows of each document that has any, -1 for a whole copy."""
-    found = known.select("doc_id", "text").mapInArrow(_anchor_rows, "h long, k int, doc_id long, at int")
-    name = Window.partitionBy("h", "k")
-    least, most = F.min("doc_id").over(name), F.max("doc_id").over(name)
-    shared = found.withColumn("least", least).withColumn("most", most).where("least < most and (at >= 0 or least < doc_id)")
-    shared = scratch.save(shared.select("doc_id", "at", "k"), "shared")
+    """(_marked_id, _marked): first starts and numbers of the repeated windows of each document that has any, -1 for a whole copy.
+
+    A name's least and greatest id are summed up before they are shuffled and written; occurrences
+    then join the written names, a join whose large partitions Spark splits, so that a name which a
+    third of the documents share isn't one task's work.
+    """
+    found = scratch.save(known.select("doc_id", "text").mapInArrow(_anchor_rows, "h long, k int, doc_id long, at int"), "anchors")
+    names = found.groupBy("h", "k").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most")
+    names = scratch.save(names.drop("most"), "names")
+    shared = scratch.save(found.join(names, ["h", "k"]).where("at >= 0 or least < doc_id").select("doc_id", "at", "k"), "shared")
     # rows that repeat an id with another text are told apart by k
     whole = F.col("at") < 0
     places = shared.groupBy("doc_id").agg(F.collect_list(F.when(~whole, F.col("at"))).alias("_places"), F.collect_set(F.when(whole, F.col("k"))).alias("_copies"))
-    windows = known.join(places, "doc_id").mapInArrow(_window_rows, "h1 long, h2 int, doc_id long, k int, start int")
-    repeated = windows.withColumn("least", F.min("doc_id").over(Window.partitionBy("h1", "h2"))).where("least < doc_id")
-    copies = shared.where("at < 0").select("doc_id", "k", F.col("at").alias("start"))
-    marked = repeated.select("doc_id", "k", "start").unionByName(copies)
-    return marked.groupBy(F.col("doc_id").alias("_marked_id")).agg(F.collect_list(F.struct("k", "start")).alias("_marked"))
+    blocks = known.join(places, "doc_id").mapInArrow(_block_rows, "h long, b1 long, b2 int, doc_id long, k int, start int, n int")
+    blocks = scratch.save(blocks, "blocks")
+
+    # all windows of a block are those of the block's first document; only where a name goes with
+    # several blocks may a window of a first document be in a smaller one
+    heads = scratch.save(blocks.groupBy("h", "b1", "b2").agg(F.min("doc_id").alias("least")), "heads")
+    several = scratch.save(heads.groupBy("h").agg(F.count("*").alias("blocks")).where("blocks > 1").select("h", F.lit(True).alias("several")), "several")
+    heads = scratch.save(heads.join(several, "h", "left"), "heads")
+    placed = blocks.join(heads, ["h", "b1", "b2"]).where("least < doc_id or several")
+    placed = scratch.save(placed.select("doc_id", "k", "start", "n", (F.col("least") < F.col("doc_id")).alias("repeated")), "placed")
+    asked = placed.where("not repeated").groupBy("doc_id").agg(F.collect_list(F.struct("k", "start", "n")).alias("_blocks"))
+    windows = known.join(asked, "doc_id").mapInArrow(_window_rows, "h1 long, h2 int, doc_id long, k int, start int")
+    windows = scratch.save(windows, "windows")
+    first = windows.groupBy("h1", "h2").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most")
+    first = scratch.save(first.drop("most"), "first")
+    later = windows.join(first, ["h1", "h2"]).where("least < doc_id")
+
+    one = F.lit(1).alias("n")
+    copies = shared.where("at < 0").select("doc_id", "k", F.col("at").alias("start"), one)
+    marked = placed.where("repeated").drop("repeated").unionByName(later.select("doc_id", "k", "start", one)).unionByName(copies)
+    return marked.groupBy(F.col("doc_id").alias("_marked_id")).agg(F.collect_list(F.struct("k", "start", "n")).alias("_marked"))
 
 
 def _judged(docs: DataFrame, scratch: Scratch, names: list[str], fields: str, digest: bool) -> DataFrame:

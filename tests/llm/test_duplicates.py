@@ -7,6 +7,7 @@ from fractions import Fraction
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from loomgraph.llm import embedding, ngram_join, substring
 from loomgraph.llm.text import hash_words
@@ -44,9 +45,11 @@ def test_shared_counts():
     assert (ngram_join.shared_counts(sets) == np.array(want)).all()
 
 
-def test_jaccard_join_against_brute_force(spark, odd, none, monkeypatch):
+@pytest.mark.parametrize("whole", [22, 0])
+def test_jaccard_join_against_brute_force(spark, odd, none, monkeypatch, whole):
     assert ngram_join.near_documents(none, Scratch(spark)).collect() == []
     monkeypatch.setattr(ngram_join, "CHUNK_ROWS", 8)  # so that groups fall into several blocks
+    monkeypatch.setattr(ngram_join, "WHOLE_CHUNKS", whole)  # 0: bucket by bucket
     rng = random.Random(7)
     base = prose(rng, 130)
     more = [(100 + i, near_copy(rng, base, i % 3)) for i in range(40)] + [(200 + i, prose(rng, 30)) for i in range(20)]
@@ -74,6 +77,21 @@ def test_keep_one(spark, odd):
     assert 1 in ids and 2 not in ids and 3 not in ids and ids.count(None) == 2 and ids.count(13) == 1 and 8 in ids and 9 in ids and 11 in ids and 12 not in ids
 
 
+def test_keep_one_goes_by_rows(spark):
+    rng = random.Random(3)
+    t, u = prose(rng, 80), prose(rng, 80)
+    rows = [(4, t, "a", 1), (14, u, "b", 2), (14, t, "c", 3), (14, u, "b", 9), (14, u, "a", 8), (20, "", "e", 4), (21, None, "n", 5), (None, t, "x", 6), (14, " ".join(u.split()) + " ", "z", 7)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _row string, _rows long").selectExpr("*", "1 as mark", "2 as part", "3 as n", "'x' as _row0")
+    for some in (docs, docs.orderBy(F.desc("_rows")).coalesce(1)):
+        kept = ngram_join.keep_one(some, Scratch(spark))
+        assert kept.columns == docs.columns
+        left = sorted(((r.doc_id, r._row) for r in kept.collect()), key=repr)
+        assert [i for i, _ in left] == [14, 20, 21, 4, None] and (4, "a") in left and left == sorted(left, key=repr)
+        first = left if some is docs else first
+        assert left == first
+    assert ngram_join.keep_one(docs.where("false"), Scratch(spark)).collect() == []
+
+
 def strip(rows):
     """Window by window, in the order of ids."""
     words = [re.findall(WORD, t or "") for _, t in rows]
@@ -108,6 +126,27 @@ def test_substring_dedup_against_brute_force(spark, vocabulary):
     assert sorted((tuple(r) for r in found), key=repr) == strip(rows)
 
 
+def test_texts_that_swap_two_words_in_thue_morse_order_differ(spark):
+    order = [bin(i).count("1") % 2 for i in range(1024)]
+    rows = [(i, " ".join(f"{'foo' if o ^ i else 'bar'} u{j}" for j, o in enumerate(order))) for i in range(2)]
+    found = substring.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), Scratch(spark)).collect()
+    assert sorted(tuple(r) for r in found) == strip(rows)
+    assert all(r.n_removed == 0 for r in found)
+
+
+def test_each_window_goes_by_one_of_the_anchors():
+    rng = random.Random(10)
+    for vocabulary in (2, 50):
+        words = [str(rng.randrange(vocabulary)) for _ in range(700)]
+        offsets = np.array([0, 49, 49, 100, 150, 700])
+        h = hash_words(pa.array(words, pa.large_string()))
+        named = substring.window_anchors(substring.symbol_names(h, offsets), substring.window_starts(offsets))
+        valid = [s for a, b in zip(offsets, offsets[1:]) for s in range(a, b - 49)]
+        at, name = substring.anchors(h, offsets)
+        assert np.flatnonzero(named != substring.NONE).tolist() == valid and set(named[valid].tolist()) == set(name.tolist())
+        assert all(any(substring.EDGE <= p - s < 50 - substring.EDGE and n == named[s] for p, n in zip(at, name)) for s in valid)
+
+
 def test_substring_odd_rows(spark, odd, none):
     found = substring.remove_repeats(odd, Scratch(spark)).collect()
     assert sorted((tuple(r) for r in found), key=repr) == strip([(r[0], r[1]) for r in odd_rows()])
