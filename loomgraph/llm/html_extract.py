@@ -1,14 +1,21 @@
 """HTML extraction: flat text blocks, classified by a decision tree on words and links around them.
 
 A page becomes a flat list of text blocks. Each has its number of words, its link density, those of
-its neighbours, and what the elements around it say of it (a heading, an article, a navigation,
-an advert, ...). A decision tree of Gini splits, grown at first use from the small labelled table
-below, keeps a block or drops it.
+the block before and the block after, and marks of the elements around it (a heading, an article, a
+navigation, an advert, ...). A decision tree of Gini splits, grown at first use from the small table
+of labelled pages below, keeps a block or drops it. Labelled pages are learned from twice, as they
+are and without marks, so the tree judges blocks by words and links where a page has no such elements
+or names. A page of which nothing is kept is judged again without marks.
 
 Scripts, styles and the like never make text. Character references are decoded, white space inside
 a block becomes one space, blocks are trimmed, empty ones go, and kept blocks are joined in page
 order by one line feed.
 
+Marks: the nearest element that says something counts. Elements as ``nav`` and names as ``comments``
+(STICKY) hold for all that is inside of them; other names end where an article, a ``main`` or an
+element with a name as ``content`` begins. Names that describe a page's layout or subject
+(``has-sidebar``, ``category-legal``) say nothing.
+
 Defined results: a null or empty html, or one without a kept block, gives an empty text. Markup that
 is broken, unclosed or cut off is read as far as it goes. Rows are independent: repeated rows, ties
 and null ids keep their rows.
@@ -42,37 +49,57 @@ MAIN_TAGS = {"article", "main"}
 CHROME_TAGS = {"nav", "aside", "footer", "form", "menu", "dialog", "button", "select", "head"}
 # Words of class, id and role that name what isn't the article, and what is.
 CHROME_WORDS = {
-    "nav", "navbar", "navigation", "menu", "breadcrumb", "breadcrumbs", "header", "masthead", "footer", "foot", "sidebar", "side", "aside", "rail", "widget",
-    "ad", "ads", "advert", "adverts", "advertisement", "banner", "promo", "promotion", "sponsor", "sponsored", "notice", "cookie", "cookies", "consent", "gdpr",
-    "popup", "modal", "overlay", "newsletter", "subscribe", "subscription", "signup", "login", "form", "search", "share", "sharing", "social", "related",
-    "recommended", "comment", "comments", "disqus", "respond", "reply", "replies", "discussion", "pagination", "pager", "toolbar", "copyright", "legal", "disclaimer", "alert",
-    "contentinfo", "complementary", "tags", "skip",
+    "nav", "navbar", "navigation", "menu", "breadcrumb", "breadcrumbs", "header", "masthead", "footer", "sidebar", "aside", "rail", "widget",
+    "banner", "promo", "notice", "cookie", "cookies", "consent", "gdpr", "popup", "modal", "overlay", "newsletter", "subscribe", "signup", "login", "search",
+    "share", "sharing", "social", "pagination", "pager", "toolbar", "copyright", "legal", "disclaimer", "alert", "contentinfo", "complementary", "skip",
+}
+STICKY = {
+    "ad", "ads", "advert", "adverts", "advertisement", "sponsor", "sponsored", "comment", "comments", "disqus", "respond", "reply", "replies", "related", "recommended", "teaser",
 }
-ASIDE_ARTICLES = {"comment", "comments", "reply", "replies", "ad", "ads", "advert", "promo", "related", "sponsored", "teaser", "widget"}
 MAIN_WORDS = {"article", "content", "main", "post", "entry", "story"}
+#: First parts of names that describe a page and don't name an element's role.
+DESCRIBING = {"has", "with", "no", "is", "category", "tag", "type", "format", "status", "theme", "js"}
 
 FEATURES = ("words", "link_density", "words_before", "links_before", "words_after", "links_after", "chrome", "main", "heading")
+MARKS = slice(6, 8)
 
-# The labelled table, one block a row: the features in the order above, then 1 for text and 0 for the rest.
+# The labelled pages, one a line. A block has its label (1 for text, 0 for the rest), its words, its
+# link density and its marks: c for chrome, m for main, h for a heading, - for none. The first six are
+# pages of the table of web pages; the others are of other layouts. A page that starts with = can be
+# told by its marks only, and isn't learned from without them.
 LABELLED = """
-45 0 1 1 60 0 0 1 0 1 | 60 0 45 0 30 0 0 1 0 1 | 30 0 60 0 2 0 0 1 0 1 | 1 0 30 0 40 0 0 1 0 1 | 2 0 25 0 1 0 0 1 0 1 | 8 0 10 0 70 0 0 1 1 1
-12 0 3 1 90 0 0 1 1 1 | 4 0 0 0 55 0 0 1 1 1 | 150 .02 4 0 80 .1 0 1 0 1 | 80 .1 150 .02 9 0 0 1 0 1 | 9 0 80 .1 10 .2 0 1 0 1 | 20 .3 35 0 25 0 0 1 0 1
-6 .5 40 0 44 0 0 1 0 1 | 3 1 20 0 30 .1 0 1 0 1 | 1 0 10 0 0 0 0 1 0 1 | 14 0 1 0 8 0 0 1 0 1 | 300 .01 12 0 5 .4 0 1 0 1 | 5 0 5 0 5 0 0 1 0 1
-2 0 1 0 2 1 0 1 0 1 | 1 0 2 1 1 .6 0 1 0 1 | 3 .4 2 1 3 1 0 1 0 1 | 4 0 4 0 2 0 0 1 0 1 | 9 0 2 1 4 .8 0 1 0 1 | 2 1 3 1 2 1 0 1 0 1
-5 1 1 1 6 1 0 1 0 1 | 1 0 1 0 1 0 0 1 0 1 | 7 0 0 0 3 .5 0 1 1 1 | 3 0 5 1 2 0 0 1 1 1 | 30 .6 3 1 4 1 0 1 0 1 | 2 0 0 0 0 0 0 1 0 1
-4 .2 7 .5 3 .6 0 1 0 1 | 1 1 1 0 2 .5 0 1 0 1 | 6 0 3 .7 1 1 0 1 0 1 | 11 0 2 0 3 0 0 1 0 1 | 2 0 6 .5 4 1 0 1 0 1 | 8 .8 1 0 1 1 0 1 0 1
-1 1 0 0 1 1 1 0 0 0 | 1 1 1 1 1 1 1 0 0 0 | 2 1 1 1 9 0 1 0 0 0 | 9 0 1 1 10 0 1 0 0 0 | 12 0 60 0 0 0 1 0 0 0 | 10 .1 30 0 0 0 1 0 0 0
-40 0 8 0 50 0 1 0 0 0 | 60 .1 40 0 20 0 1 0 0 0 | 25 0 30 0 15 0 1 1 0 0 | 9 0 45 0 50 0 1 1 0 0 | 3 0 80 0 12 0 1 1 1 0 | 55 0 3 0 40 0 1 1 0 0
-18 0 55 0 6 0 1 1 0 0 | 2 0 8 1 20 0 1 0 1 0 | 5 1 40 0 5 1 1 1 0 0 | 100 0 2 0 90 0 1 0 0 0 | 1 0 100 0 2 0 1 1 0 0 | 7 .4 2 0 30 0 1 0 0 0
-18 0 2 0 2 1 1 0 0 0 | 22 0 1 1 14 0 1 0 0 0 | 16 .1 18 0 3 0 1 0 0 0 | 30 0 16 .1 9 0 1 0 0 0 | 90 .2 4 0 3 .3 1 0 0 0 | 45 0 1 1 1 1 1 0 0 0
-20 0 20 0 20 0 1 0 0 0 | 65 0 2 0 2 0 1 0 0 0 | 28 .3 9 0 70 0 1 0 0 0 | 17 0 0 0 4 .9 1 0 0 0 | 33 0 70 0 1 0 1 1 0 0 | 24 0 12 0 26 0 1 1 0 0
-200 0 90 0 80 0 1 0 0 0 | 38 0 3 1 4 1 1 0 0 0 | 26 0 4 0 1 1 1 0 1 0 | 19 0 6 .5 8 .5 1 1 0 0 | 70 0 60 0 40 0 1 1 0 0 | 21 .4 2 0 2 0 1 0 0 0
-35 0 5 0 40 0 0 0 0 1 | 40 .05 35 0 22 0 0 0 0 1 | 22 0 40 .05 3 1 0 0 0 1 | 120 0 30 0 60 0 0 0 0 1 | 15 0 60 0 50 0 0 0 0 1 | 12 0 40 .1 35 .1 0 0 0 1
-7 0 2 1 60 0 0 0 1 1 | 5 0 45 0 50 0 0 0 1 1 | 9 0 0 0 35 0 0 0 1 1 | 3 0 33 0 41 0 0 0 0 1 | 6 0 28 0 52 0 0 0 0 1 | 70 .2 5 0 15 0 0 0 0 1
-5 1 4 1 60 0 0 0 0 0 | 3 1 2 1 45 0 0 0 0 0 | 1 1 1 1 30 0 0 0 0 0 | 12 .9 3 1 80 0 0 0 0 0 | 2 1 30 0 60 0 0 0 0 0 | 4 .9 50 0 35 0 0 0 0 0
-3 1 2 1 4 1 0 0 0 0 | 2 1 3 1 20 0 0 0 0 0 | 4 1 30 0 2 1 0 0 0 0 | 8 .9 5 1 6 1 0 0 0 0 | 6 .6 2 1 3 1 0 0 0 0 | 30 .8 3 1 3 1 0 0 0 0
-2 0 1 1 3 1 0 0 0 0 | 4 0 2 1 2 1 0 0 0 0 | 5 0 4 0 3 .5 0 0 0 0 | 3 0 3 0 4 0 0 0 0 0 | 1 0 0 0 2 1 0 0 0 0 | 6 0 5 .5 0 0 0 0 0 0
-2 0 3 1 4 1 0 0 1 0 | 3 0 4 1 5 1 0 0 1 0 | 25 .7 4 1 8 1 0 0 0 0 | 10 1 40 0 12 1 0 0 0 0 | 5 .5 6 .5 2 0 0 0 0 0 | 4 0 2 0 1 0 0 0 0 0
+0 1 1 c | 0 1 1 c | 0 1 1 c | 0 1 1 c | 0 1 1 c | 0 8 0 c | 1 14 0 mh | 1 35 0 m | 1 17 0 m | 1 49 0 m | 1 143 0 m | 0 11 0 c
+0 1 1 c | 0 1 1 c | 0 1 1 c | 0 1 1 c | 0 1 1 c | 0 1 1 c | 0 9 0 c | 1 7 0 mh | 1 11 0 m | 1 231 0 m | 1 59 0 m | 1 123 0 m | 0 7 0 c
+0 1 1 c | 0 1 1 c | 0 1 1 c | 0 1 1 c | 0 1 1 c | 0 1 1 c | 0 7 0 c | 1 11 0 mh | 1 20 0 m | 1 61 0 m | 0 13 0 c
+0 1 1 c | 0 1 1 c | 0 1 1 c | 0 1 1 c | 0 1 1 c | 0 1 1 c | 0 5 0 c | 1 11 0 mh | 1 31 0 m | 1 8 0 m | 1 21 0 m | 0 11 0 c
+0 1 1 c | 0 1 1 c | 0 1 1 c | 0 1 1 c | 0 1 1 c | 0 1 1 c | 0 5 0 c | 1 10 0 mh | 1 17 0 m | 1 29 0 m | 1 30 0 m | 0 12 0 c
+0 1 1 c | 0 1 1 c | 0 1 1 c | 0 1 1 c | 0 6 0 c | 1 11 0 mh | 1 50 0 m | 0 15 0 c
+0 3 1 c | 0 1 1 c | 0 2 1 c | 1 9 0 mh | 0 6 .4 c | 1 54 0 m | 1 41 .05 m | 1 12 0 m | 1 63 .1 m | 0 18 0 c | 0 25 0 c | 0 31 0 c | 0 9 .5 c
+0 12 0 c | 0 4 1 c | 1 7 0 mh | 1 88 0 m | 1 3 0 mh | 1 47 .04 m | 1 1 0 m | 1 2 0 m | 1 5 .6 m | 0 22 0 c | 0 2 1 c | 0 16 0 c
+0 2 1 - | 0 1 1 - | 0 3 1 - | 0 2 1 - | 1 8 0 h | 1 60 0 - | 1 35 .1 - | 1 6 0 - | 1 72 0 - | 0 5 .8 - | 0 3 1 - | 0 11 .2 -
+0 1 1 c | 0 2 1 c | 0 7 0 c | 1 11 0 mh | 1 33 0 m | 1 2 0 m | 1 19 0 m | 0 14 0 c | 1 26 0 m | 1 58 .2 m | 0 40 0 c | 0 52 0 c
+0 5 .9 - | 0 4 1 - | 0 6 0 - | 1 10 0 h | 1 120 .02 - | 1 95 0 - | 1 14 0 - | 1 44 0 - | 0 3 1 - | 0 4 1 - | 0 8 .3 -
+1 66 0 m | 1 21 0 m | 1 4 0 m | 1 39 .1 m
+1 1 0 - | 1 30 0 - | 1 45 .1 -
+1 12 0 - | 0 2 1 - | 0 2 1 -
+1 5 0 - | 1 3 0 -
+1 9 0 mh | 1 48 0 m | 1 33 0 m
+1 8 0 h | 1 44 0 - | 1 52 0 -
+1 10 0 h | 1 90 0 - | 1 30 0 - | 1 24 0 -
+1 50 0 - | 1 70 .05 -
+0 4 .9 - | 1 9 0 h | 1 38 0 - | 1 27 0 - | 1 41 0 -
+= 1 7 0 mh | 1 60 0 m | 1 12 0 m
+= 1 66 0 m | 1 90 .1 m | 1 3 0 m
+= 0 3 1 c | 1 8 0 mh | 1 40 0 m | 1 8 0 m
+= 0 2 1 c | 0 1 1 c | 1 6 0 mh | 1 77 0 m | 1 52 0 m | 1 15 0 m
+= 0 1 1 c | 0 9 0 c | 1 7 0 m | 1 5 1 m | 1 2 0 m | 1 6 .5 m | 1 4 1 m
+= 0 6 0 c | 1 9 0 mh | 1 20 1 m | 1 35 0 m | 1 22 .4 m | 1 50 0 m | 1 8 1 m | 1 5 0 m | 1 60 .2 m | 1 18 0 m | 0 11 0 c
+= 1 14 .3 m | 1 3 0 m | 1 28 .2 m | 1 12 0 m | 1 6 .6 m | 1 2 0 m | 1 1 0 m | 1 9 1 m | 1 45 0 m | 1 7 0 m
+0 1 1 - | 1 8 0 h | 1 30 .3 - | 1 40 0 - | 1 25 .5 - | 1 33 0 - | 0 10 0 -
+= 0 3 1 c | 0 2 1 c | 1 2 0 mh | 1 7 0 m | 1 8 0 m | 1 12 0 m | 0 9 0 c
+= 0 5 1 - | 1 4 0 mh | 1 6 0 m | 1 5 0 m | 1 3 0 mh | 1 2 0 m
+= 0 1 1 c | 1 2 0 mh | 1 4 0 m | 1 1 0 m
+= 1 1 1 m | 1 30 .5 m | 1 12 1 m | 1 40 .3 m | 0 5 1 c | 0 30 0 c | 0 80 0 c | 0 45 .1 c
 """
 
 
@@ -87,26 +114,41 @@ class Block:
 
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<([/!?]?)([a-zA-Z][^\s/>]*)?((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|<", re.S)
-MARKS = re.compile(r"(?:class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)|\b(hidden)\b", re.I)
-NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
+ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
+PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 SPACE = re.compile(r"\s+")
+#: What an element says: nothing, main, chrome that an article in it ends, chrome for all in it.
+PLAIN, MAIN, CHROME, HELD = range(4)
 
 
 @lru_cache(maxsize=4096)
-def _kind(tag: str, marks: str) -> tuple[int, int]:
-    """What an element's name and marks say: (chrome, main)."""
-    names = {w.lower() for w in NAME.findall(marks)}
-    chrome = tag in CHROME_TAGS or bool(names & CHROME_WORDS)
+def _kind(tag: str, attributes: str) -> int:
+    """What an element's name and its class, id and role say of it."""
     if tag in ("body", "html"):  # their marks are those of the whole page
-        return 0, 0
-    main = tag in MAIN_TAGS or not chrome and bool(names & MAIN_WORDS)
-    return int(chrome and (tag not in MAIN_TAGS or bool(names & ASIDE_ARTICLES))), int(main)
+        return PLAIN
+    names, hidden = [], False
+    for name, value in ATTRIBUTE.findall(attributes):
+        name, value = name.lower(), value.strip("\"'")
+        if name in ("class", "id", "role"):
+            names += value.split()
+        hidden |= name == "hidden" or name == "style" and re.search(r"(?:^|;)\s*display\s*:\s*none", value, re.I) is not None
+    parts = [[w.lower() for w in PART.findall(x)] for x in names]
+    parts = [x for x in parts if x and x[0] not in DESCRIBING]
+    words = {w for x in parts for w in x}
+    whole = {x[0] for x in parts if len(x) == 1}
+    if hidden or tag in CHROME_TAGS or words & STICKY:
+        return HELD
+    if tag in MAIN_TAGS or whole & MAIN_WORDS and not whole & CHROME_WORDS:
+        return MAIN
+    if words & CHROME_WORDS:
+        return CHROME
+    return MAIN if words & MAIN_WORDS else PLAIN
 
 
 def blocks_of(page: str) -> list[Block]:
     """The flat text blocks of a page, in page order."""
     out: list[Block] = []
-    stack: list[tuple[str, int, int, int]] = []  # element, chrome, main, heading: of it and all around it
+    stack: list[tuple[str, int, int]] = []  # element, what holds in it, whether it is in a heading
     parts: list[str] = []
     linked = total = anchors = 0
 
@@ -115,8 +157,8 @@ def blocks_of(page: str) -> list[Block]:
         if parts:
             text = SPACE.sub(" ", unescape("".join(parts))).strip()
             if text:
-                _, chrome, main, heading = stack[-1] if stack else ("", 0, 0, 0)
-                out.append(Block(text, text.count(" ") + 1, linked / total if total else 0.0, chrome, main, heading))
+                _, kind, heading = stack[-1] if stack else ("", PLAIN, 0)
+                out.append(Block(text, text.count(" ") + 1, linked / total if total else 0.0, int(kind >= CHROME), int(kind == MAIN), heading))
         parts, linked, total = [], 0, 0
 
     def say(text: str) -> None:
@@ -177,26 +219,42 @@ def blocks_of(page: str) -> list[Block]:
             stack.pop()
         elif tag in ("li", "dt", "dd", "tr", "td", "th", "option") and stack and stack[-1][0] == tag:
             stack.pop()
-        found = MARKS.findall(m[3]) if m[3] else []
-        chrome, main = _kind(tag, " ".join(a for a, _ in found))
-        _, over_chrome, over_main, over_heading = stack[-1] if stack else ("", 0, 0, 0)
-        if tag == "header" and not over_main:
-            chrome = 1
-        if any(hidden for _, hidden in found):
-            chrome = 1
-        stack.append((tag, chrome | over_chrome, main | over_main, int(tag in HEADINGS) | over_heading))
+        kind = _kind(tag, m[3] or "")
+        _, over, heading = stack[-1] if stack else ("", PLAIN, 0)
+        if tag == "header" and over != MAIN and kind == PLAIN:
+            kind = CHROME
+        if over == HELD or kind == PLAIN:
+            kind = over
+        stack.append((tag, kind, int(tag in HEADINGS) | heading))
     flush()
     return out
 
 
 def features_of(blocks: list[Block]) -> np.ndarray:
-    """(blocks, FEATURES): a block's own words and link density, its neighbours', and its elements' marks."""
+    """(blocks, FEATURES): a block's own words and link density, its neighbours' (-1 at an end of the page), and its marks."""
     own = np.array([(b.words, b.link_density) for b in blocks], float).reshape(-1, 2)
-    pad = np.zeros((1, 2))
+    pad = np.full((1, 2), -1.0)
     marks = np.array([(b.chrome, b.main, b.heading) for b in blocks], float).reshape(-1, 3)
     return np.hstack([own, np.vstack([pad, own[:-1]]), np.vstack([own[1:], pad]), marks])
 
 
+def without_marks(x: np.ndarray) -> np.ndarray:
+    x = x.copy()
+    x[:, MARKS] = 0
+    return x
+
+
+def labelled_pages() -> list[tuple[np.ndarray, np.ndarray]]:
+    """(features, labels) of each labelled page, and of most once more without marks."""
+    out = []
+    for line in LABELLED.strip().split("\n"):
+        rows = [r.split() for r in line.removeprefix("=").split("|")]
+        x = features_of([Block("", int(n), float(d), int("c" in f), int("m" in f), int("h" in f)) for _, n, d, f in rows])
+        y = np.array([r[0] == "1" for r in rows])
+        out += [(x, y)] if line.startswith("=") else [(x, y), (without_marks(x), y)]
+    return out
+
+
 @dataclass
 class Node:
     feature: int = -1
@@ -206,7 +264,7 @@ class Node:
     label: bool = False
 
 
-def grow(x: np.ndarray, y: np.ndarray, depth: int = 7, least: int = 2) -> Node:
+def grow(x: np.ndarray, y: np.ndarray, depth: int = 12, least: int = 2) -> Node:
     """A decision tree of Gini splits; ties go to the first feature and the lowest cut."""
     node = Node(label=bool(y.mean() >= 0.5))
     if depth == 0 or y.all() or not y.any() or len(y) < 2 * least:
@@ -232,8 +290,8 @@ def grow(x: np.ndarray, y: np.ndarray, depth: int = 7, least: int = 2) -> Node:
 
 @lru_cache(maxsize=1)
 def tree() -> Node:
-    rows = np.array([list(map(float, r.split())) for r in re.split(r"[|\n]", LABELLED) if r.strip()])
-    return grow(rows[:, :-1], rows[:, -1] > 0)
+    x, y = zip(*labelled_pages())
+    return grow(np.vstack(x), np.concatenate(y))
 
 
 def classify(x: np.ndarray, node: Node | None = None) -> np.ndarray:
@@ -250,7 +308,11 @@ def extract_text(page: str | None) -> str:
     blocks = blocks_of(page or "")
     if not blocks:
         return ""
-    return "\n".join(b.text for b, kept in zip(blocks, classify(features_of(blocks))) if kept)
+    x = features_of(blocks)
+    kept = classify(x)
+    if not kept.any():
+        kept = classify(without_marks(x))
+    return "\n".join(b.text for b, keep in zip(blocks, kept) if keep)
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
