@@ -51,7 +51,7 @@ GRAM = 6
 SPAN = WINDOW - 2 * EDGE - (GRAM - 1 + LONGEST)
 NONE = ~U(0)
 #: Bytes of text of one pass: a worker holds about forty numbers a word.
-PASS_BYTES = 4 << 20
+PASS_BYTES = 1 << 20
 
 
 def _passes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
