@@ -38,6 +38,10 @@ SAMPLE_BYTES = 6 << 20
 LEVEL = 3
 #: Payloads smaller than this are never revisits.
 MIN_REVISIT_BYTES = 0
+#: Payload bytes of an archive, so that a file stays far below what one task or reader can hold; small
+#: tables make an archive for each core while these have LEAST_BYTES each.
+ARCHIVE_BYTES = 256 << 20
+LEAST_BYTES = 8 << 20
 #: A fixed date: the tables have none.
 DATE = "2020-01-01T00:00:00Z"
 END = b"\r\n\r\n"
@@ -110,24 +114,38 @@ def _frames(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["frame"])
 
 
+def archive_count(payload_bytes: int, cores: int) -> int:
+    return max(1, -(-payload_bytes // ARCHIVE_BYTES), min(cores, payload_bytes // LEAST_BYTES))
+
+
 def decide(pages: DataFrame, min_revisit_bytes: int = MIN_REVISIT_BYTES) -> DataFrame:
-    """page_id, url, payload, digest (hex) and refers_to of every row.
+    """page_id, url, payload, digest (hex) and refers_to of every row, dealt out to archives.
 
-    The first page of each payload is found from digests alone; payloads are shuffled once, by
-    page and digest, so a payload with very many copies is spread.
+    The first page of each payload is found from digests alone, summed up before they are shuffled;
+    digests that stand once go no further, and the join of those that stand often is one whose large
+    partitions Spark splits. Payloads are shuffled once, by page, url and digest, so a payload with
+    very many copies and pages without an id are spread, and an archive has about ARCHIVE_BYTES.
     """
+    spark = pages.sparkSession
     payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     rows = pages.select("page_id", "url", payload.alias("payload")).withColumn("digest", F.sha1("payload"))
-    known = rows.select("page_id", "digest", F.octet_length("payload").alias("n"))
-    first = known.groupBy("digest").agg(F.min("page_id").alias("first_id"))
-    later = known.where((F.col("n") >= min_revisit_bytes)).join(first, "digest").where("first_id is not null and not (page_id <=> first_id)")
-    later = later.select(F.col("page_id").alias("id"), F.col("digest").alias("d"), F.col("first_id").alias("refers_to")).distinct()
-    both = rows["page_id"].eqNullSafe(F.col("id")) & (rows["digest"] == F.col("d"))
-    return rows.join(later, both, "left").select("page_id", "url", "payload", "digest", "refers_to")
+    number = F.coalesce(F.col("page_id").cast("string"), F.lit("null"))
+    address = F.coalesce(F.concat(F.lit(" "), F.col("url")), F.lit(""))
+    rows = rows.withColumn("key", F.concat(F.col("digest"), F.lit(" "), number, address))
+    known = rows.select("page_id", "key", "digest", F.octet_length("payload").alias("n"))
+    first = known.groupBy("digest").agg(F.min("page_id").alias("first_id"), F.count("*").alias("rows")).where("rows > 1 and first_id is not null").drop("rows")
+    later = known.where(F.col("n") >= min_revisit_bytes).join(first, "digest").where("not (page_id <=> first_id)")
+    later = later.select("key", F.col("first_id").alias("refers_to")).distinct()
+    total = pages.agg(F.sum(F.octet_length("html"))).first()[0] or 0
+    archives = archive_count(total, spark.sparkContext.defaultParallelism)
+    return rows.repartition(archives, "key").join(later.repartition(archives, "key"), "key", "left").select("page_id", "url", "payload", "digest", "refers_to")
 
 
 def write_archives(pages: DataFrame, path: str, min_revisit_bytes: int = MIN_REVISIT_BYTES) -> None:
-    """Write every row of ``pages`` (page_id, url, html) as a record under ``path``."""
+    """Write every row of ``pages`` (page_id, url, html) as a record under ``path``.
+
+    The text sink names the files, so they end in .txt; their bytes are a .warc.zst archive's.
+    """
     frames = decide(pages, min_revisit_bytes).mapInArrow(_frames, "frame binary")
     frames.select(F.col("frame").cast("string").alias("value")).write.option("lineSep", SEPARATOR).option("compression", "none").text(path)
 
@@ -185,7 +203,7 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def read_archives(spark, path: str) -> DataFrame:
     """A row for each record under ``path``; payloads of responses are checked against their digests.
 
-    An archive is read whole by one task; its size is that of a shuffle partition of records.
+    An archive is read whole by one task; its size is bounded when it is written.
     """
     files = spark.read.format("binaryFile").load(path).select("content")
     return files.mapInArrow(_read, "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long")

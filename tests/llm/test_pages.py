@@ -71,6 +71,20 @@ def test_warc_round_trip(spark):
     assert warc.read_archives(spark, empty).collect() == []
 
 
+def test_archives_are_of_bounded_size(spark, monkeypatch):
+    assert warc.archive_count(0, 8) == 1 and warc.archive_count(100 << 20, 8) == 8 and warc.archive_count(10 << 40, 8) == 40960
+    monkeypatch.setattr(warc, "ARCHIVE_BYTES", 20_000)
+    rows = [(None if i % 3 == 0 else i, f"http://h/{i}", "<p>same</p>" * 20 if i % 2 else f"<p>{i}</p>" * 30) for i in range(900)]
+    scratch = Scratch(spark)
+    path = scratch.path("archives")
+    warc.write_archives(spark.createDataFrame(rows, PAGES), path)
+    files = spark.read.format("binaryFile").load(path).collect()
+    counts = [sum(len(b) for _, b in warc.parse_archive(bytes(r.content))) for r in files if r.length]
+    assert len(counts) > 8 and max(counts) < 30_000
+    found = warc.read_archives(spark, path).collect()
+    assert len(found) == 900 and sum(r.record_type == "revisit" for r in found) == 449 and {r.refers_to for r in found} == {None, 1}
+
+
 def test_archive_is_a_dictionary_frame_and_single_records(spark):
     scratch = Scratch(spark)
     path = scratch.path("archives")
