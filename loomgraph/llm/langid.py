@@ -219,12 +219,12 @@ def train(docs: DataFrame, train_rows: int = TRAIN_ROWS) -> LanguageModel:
     return LanguageModel(langs, (logs - logs.mean(axis=1, keepdims=True)).astype(np.float32), scripts, counts > 0)
 
 
-def _predict(batches: Iterator[pa.RecordBatch], model: LanguageModel, switch: float, kept: list[str]) -> Iterator[pa.RecordBatch]:
+def _predict(batches: Iterator[pa.RecordBatch], model: LanguageModel, switch: float, kept: list[str], with_spans: bool) -> Iterator[pa.RecordBatch]:
     kinds = pa.list_(pa.struct([("lang", pa.string()), ("first_word", pa.int64()), ("last_word", pa.int64())]))
     for part in itertools.chain.from_iterable(map(passes, batches)):
         flat, offsets = words_of(part.column("text"))
         n, k = part.num_rows, len(model.langs)
-        pred, score, learned, spans = ["und"] * n, np.zeros(n), np.zeros(n), [[] for _ in range(n)]
+        pred, score, learned, n_spans, spans = ["und"] * n, np.zeros(n), np.zeros(n), np.zeros(n, np.int64), [[] for _ in range(n)]
         if len(flat) and k:
             coded = flat.dictionary_encode()
             table, lettered, evidence = model.word_scores(coded.dictionary.to_pylist())
@@ -240,17 +240,19 @@ def _predict(batches: Iterator[pa.RecordBatch], model: LanguageModel, switch: fl
                 pred[i], score[i] = model.langs[tally[i].argmax()], tally[i].max() / lettered_words[i]
                 learned[i] = tally[i].sum() / lettered_words[i]
             some = tally.any(axis=1)
-            for a, b in zip(cuts.tolist(), ends.tolist()):
+            n_spans = np.where(some, np.bincount(owner[cuts], minlength=n), 0)
+            for a, b in zip(cuts.tolist(), ends.tolist()) if with_spans else ():
                 if some[i := owner[a]]:
                     spans[i].append({"lang": model.langs[labels[a]], "first_word": a - offsets[i], "last_word": b - 1 - offsets[i]})
+        told = pa.array(spans, kinds) if with_spans else pa.array(n_spans, pa.int64())
         yield pa.RecordBatch.from_arrays(
-            [*(part.column(c) for c in kept), pa.array(pred), pa.array(score, pa.float64()), pa.array(learned, pa.float64()), pa.array(spans, kinds)],
-            names=[*kept, "lang_pred", "score", "learned", "spans"],
+            [*(part.column(c) for c in kept), pa.array(pred), pa.array(score, pa.float64()), pa.array(learned, pa.float64()), told],
+            names=[*kept, "lang_pred", "score", "learned", "spans" if with_spans else "n_spans"],
         )
 
 
-def identify(docs: DataFrame, model: LanguageModel, switch: float = SWITCH, carried: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The ``carried`` columns and lang_pred, score, learned, spans of every whole text.
+def identify(docs: DataFrame, model: LanguageModel, switch: float = SWITCH, carried: tuple[str, ...] = ("doc_id",), with_spans: bool = True) -> DataFrame:
+    """The ``carried`` columns and lang_pred, score, learned, spans (their number n_spans without ``with_spans``) of every whole text.
 
     ``score`` is the share of the lettered words that are evidence of the predicted language,
     ``learned`` the share of those that are evidence of their own label; ``spans`` are runs of words
@@ -259,12 +261,13 @@ def identify(docs: DataFrame, model: LanguageModel, switch: float = SWITCH, carr
     shared = docs.sparkSession.sparkContext.broadcast(model)
     kept = list(carried)
     own = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in kept)
-    schema = own + "lang_pred string, score double, learned double, spans array<struct<lang: string, first_word: long, last_word: long>>"
-    return docs.select(*dict.fromkeys([*kept, "text"])).mapInArrow(lambda batches: _predict(batches, shared.value, switch, kept), schema)
+    spans = "spans array<struct<lang: string, first_word: long, last_word: long>>" if with_spans else "n_spans long"
+    schema = own + "lang_pred string, score double, learned double, " + spans
+    return docs.select(*dict.fromkeys([*kept, "text"])).mapInArrow(lambda batches: _predict(batches, shared.value, switch, kept, with_spans), schema)
 
 
 def language_report(docs: DataFrame) -> DataFrame:
     """Train and predict: doc_id, held_out, lang_pred, score, n_spans."""
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(False))
-    found = identify(docs, train(docs))
-    return found.select("doc_id", held.alias("held_out"), "lang_pred", "score", F.size("spans").cast("long").alias("n_spans"))
+    found = identify(docs, train(docs), with_spans=False)
+    return found.select("doc_id", held.alias("held_out"), "lang_pred", "score", "n_spans")
