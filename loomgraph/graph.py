@@ -11,14 +11,13 @@ from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-#: Kinds of edges that stand for a dependency.
+# Kinds of nodes and edges, and those of edges that stand for a dependency.
 DEPENDENCY_KINDS = ("calls", "callsFrom", "dependsOn", "usesType", "returns", "references")
 NODE_KINDS = ("package", "file", "type", "function", "method", "field", "loop", "branch", "goroutine", "defer", "channelop", "syncprim")
 EDGE_KINDS = ("contains", "implements", "embeds", "calls", "callsFrom", "references", "dependsOn", "returns", "usesType")
-#: Spellings of the hierarchy relation in generic graphs.
-HIERARCHY_KINDS = ("contains", "contain", "part-of", "part_of", "partof", "parent", "parent-of", "child-of", "has", "owns", "member-of", "belongs-to", "includes")
+# Spellings of the hierarchy relation in generic graphs.
+HIERARCHY_KINDS = ("contains", "Contains", "CONTAINS", "part-of", "part_of", "partOf", "PartOf", "parent", "child", "parent_of", "parentOf", "has", "owns")
 
 
 def attr(column: str | Column) -> Column:
@@ -79,8 +78,3 @@ def first_by(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     others = [c for c in rows.columns if c not in keys]
     best = rows.groupBy(*keys).agg(F.min(F.struct(*order, *(c for c in others if c not in order))).alias("_first"))
     return best.select(*keys, *(F.col(f"_first.{c}") for c in others)).select(*rows.columns)
-
-
-def indexed(nodes: DataFrame) -> DataFrame:
-    """``id`` and its dense number in ascending order; for graphs of kernel size."""
-    return nodes.select("id", (F.row_number().over(Window.orderBy("id")) - 1).alias("index"))

@@ -8,7 +8,7 @@ a count and a checksum reaches the driver.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph.plans.scratch import Scratch, fixpoint
@@ -26,12 +26,12 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return moved.unionByName(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
 
 
-def _digest(edges: DataFrame) -> tuple:
-    row = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-    return tuple(row)
+#: What tells one state of a loop from the next: the number of rows and a checksum of them.
+def checksum(*columns: str) -> tuple[Column, Column]:
+    return F.count(F.lit(1)), F.sum(F.xxhash64(*columns).cast("decimal(38,0)"))
 
 
-def connected_components(edges: DataFrame, scratch: Scratch, max_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """Map every end point of ``edges`` (columns u, v of one ordered type) to the smallest of its component.
 
     Returns (node, component). Self loops make a node known; null ends are ignored.
@@ -39,7 +39,7 @@ def connected_components(edges: DataFrame, scratch: Scratch, max_rounds: int = 6
     known = edges.where("u is not null and v is not null").select("u", "v")
     loops = known.where("u = v").select(F.col("u").alias("node")).distinct()
     start = known.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-    stars = fixpoint(scratch, start, lambda e: _small_star(_large_star(e)), _digest, max_rounds)
+    stars = fixpoint(scratch, start, lambda e: _small_star(_large_star(e)), checksum("u", "v"))
     members = stars.select(F.col("u").alias("node"), F.col("v").alias("component"))
     roots = stars.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     found = members.unionByName(roots)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from loomgraph.graph import Graph
 
@@ -86,11 +87,17 @@ def transpose_difference(pairs: DataFrame) -> DataFrame:
 
 
 def role_coupling(g: Graph, evidence: int = 5) -> DataFrame:
-    """Edges per role pair, with the first ``evidence`` of them by insertion."""
-    rows = with_groups(g, "role").groupBy("from_group", "to_group")
-    text = F.struct("seq", F.concat_ws("->", "src", "dst").alias("e"))
-    # a bounded heap per pair, merged map-side: evidence never collects a whole group
-    return rows.agg(F.count("*").alias("edges"), F.min(text)["e"].alias("first_edge"), F.max(text)["e"].alias("last_edge"))
+    """Edges per role pair, with the first ``evidence`` of them by insertion, joined by commas.
+
+    The first edges come from a rank that Spark limits before the shuffle, so no whole group is collected.
+    """
+    rows = with_groups(g, "role").select("from_group", "to_group", "seq", F.concat_ws("->", "src", "dst").alias("e"))
+    counts = rows.groupBy("from_group", "to_group").agg(F.count("*").alias("edges"))
+    order = Window.partitionBy("from_group", "to_group").orderBy("seq", "e")
+    first = rows.withColumn("r", F.row_number().over(order)).where(F.col("r") <= evidence)
+    shown = first.groupBy("from_group", "to_group").agg(F.array_sort(F.collect_list(F.struct("r", "e"))).alias("x"))
+    text = F.array_join(F.transform("x", lambda v: v["e"]), ",").alias("evidence")
+    return counts.join(shown, ["from_group", "to_group"]).select("from_group", "to_group", "edges", text)
 
 
 def purity(g: Graph, allowed: DataFrame, column: str = "role") -> DataFrame:

@@ -60,7 +60,8 @@ def laplacian_spectrum(g: Graph, scratch: Scratch) -> DataFrame:
 def spectral_summary(spectrum: DataFrame) -> DataFrame:
     """nodes, components (eigenvalues near 0), total (twice the edges), lambda2 and radius of a spectrum."""
     zeros = F.sum((F.col("eigenvalue") < 1e-9).cast("long"))
-    second = F.sort_array(F.collect_list("eigenvalue"))[1]
+    # every component has the eigenvalue 0, so the second one is 0 unless there is one component
+    second = F.when(zeros > 1, F.lit(0.0)).otherwise(F.min(F.when(F.col("eigenvalue") >= 1e-9, F.col("eigenvalue"))))
     return spectrum.agg(F.count("*").alias("nodes"), zeros.alias("components"), F.sum("eigenvalue").alias("total"), F.coalesce(second, F.lit(0.0)).alias("lambda2"), F.max("eigenvalue").alias("radius"))
 
 

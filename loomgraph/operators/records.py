@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from loomgraph.graph import Graph
-from loomgraph.operators import degrees, linalg, motifs, statistics, traversal
+from loomgraph.operators import degrees, linalg, motifs, sets, statistics, traversal
 from loomgraph.plans.scratch import Scratch
 
 METRICS: dict[str, Callable[[Graph, Scratch], DataFrame]] = {}
@@ -102,10 +102,24 @@ def _(g, s):
     return _records(m.agg(F.count("*").alias("value")), "motif_redundancy", "graph").unionByName(_records(m, "motif_redundancy", "region", "name", "n"))
 
 
+# The pairs of package roles (from, to) that the layers forbid.
+DENIED_ROLES = [
+    ("domain", "application"), ("domain", "inbound_adapter"), ("domain", "outbound_adapter"), ("domain", "infrastructure"),
+    ("application", "inbound_adapter"), ("application", "outbound_adapter"), ("application", "infrastructure"),
+    ("outbound_adapter", "domain"), ("inbound_adapter", "outbound_adapter"), ("outbound_adapter", "inbound_adapter"),
+]
+
+
+def layer_mask_records(g: Graph, denied: list[tuple[str, str]] = DENIED_ROLES) -> DataFrame:
+    """The number of edges between roles that the table forbids, and a record for each such edge."""
+    rules = g.nodes.sparkSession.createDataFrame(denied, "from_group string, to_group string")
+    hits = sets.layer_mask(g, rules).withColumn("pair", F.concat("src", F.lit("\u2192"), "dst")).withColumn("value", F.lit(1.0))
+    return _records(hits.agg(F.count("*").alias("value")), "layer_mask", "graph").unionByName(_records(hits, "layer_mask", "edge", "pair"))
+
+
 @metric("layer_mask")
 def _(g, s):
-    cross = degrees.layer_collapse(g).where("from_group > to_group")
-    return _records(cross.agg(F.coalesce(F.sum("edges"), F.lit(0)).alias("value")), "layer_mask", "graph")
+    return layer_mask_records(g)
 
 
 @metric("zero")
@@ -119,13 +133,25 @@ def run_metrics(g: Graph, scratch: Scratch, names: list[str] | None = None) -> D
     g = Graph(scratch.save(g.nodes, "nodes"), scratch.save(g.edges, "edges"))  # metrics read them many times
     out = []
     for name in dict.fromkeys(names or sorted(METRICS)):
+        wrong = "unknown metric"
         if name in METRICS:
-            out.append(METRICS[name](g, scratch).select(*RECORD))
-        else:
-            out.append(spark.range(1).select(F.lit(name).alias("metric"), F.lit("error").alias("scope"), F.lit("unknown metric").alias("target"), F.lit(None).cast("double").alias("value")))
+            try:
+                # written here, so that a metric which fails is one error record and the others stay
+                out.append(scratch.save(METRICS[name](g, scratch).select(*RECORD), "records"))
+                continue
+            except Exception as e:
+                wrong = f"{type(e).__name__}: {_reason(e)}"
+        out.append(spark.range(1).select(F.lit(name).alias("metric"), F.lit("error").alias("scope"), F.lit(wrong).alias("target"), F.lit(None).cast("double").alias("value")))
     return reduce(DataFrame.unionByName, out)
 
 
+def _reason(e: Exception) -> str:
+    """The line of an error that says what is wrong: of a kernel's trace its last."""
+    lines = [x.strip() for x in str(e).splitlines() if x.strip()]
+    told = [x for x in lines if "Error: " in x]
+    return (told or lines or [""])[-1][:200]
+
+
 def snapshot(records: DataFrame, label: str) -> DataFrame:
     """Graph-scope records of one moment, rounded to 1e-9."""
     return records.where("scope = 'graph'").select(F.lit(label).alias("label"), "metric", F.round("value", 9).alias("value"))
@@ -149,7 +175,7 @@ def best_per_group(proposals: DataFrame) -> DataFrame:
     return proposals.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
 
 
-def without_conflicts(proposals: DataFrame, scratch: Scratch, rounds: int = 1000) -> DataFrame:
+def without_conflicts(proposals: DataFrame, scratch: Scratch) -> DataFrame:
     """Greedy by score (then id): a proposal goes if it shares a member with a better one that stays.
 
     Every round keeps all proposals that are the best of each of their members, and drops those
@@ -157,13 +183,13 @@ def without_conflicts(proposals: DataFrame, scratch: Scratch, rounds: int = 1000
     """
     left = scratch.save(proposals.select("id", "score", F.array_distinct("members").alias("members")), "left")
     out = None
-    for _ in range(rounds):
+    while True:
         rank = F.struct((-F.col("score")).alias("s"), F.col("id").alias("i"))
         cells = left.select("id", rank.alias("rank"), F.explode("members").alias("m"))
         best = cells.groupBy("m").agg(F.min("rank").alias("best"))
         won = cells.join(best, "m").groupBy("id").agg(F.min((F.col("best.i") == F.col("id")).cast("int")).alias("all")).where(F.col("all") == 1).select("id")
-        kept = scratch.save(left.join(won, "id", "left_semi"), "kept")
-        if kept.isEmpty():
+        kept, (rows,) = scratch.save_seen(left.join(won, "id", "left_semi"), "kept", F.count(F.lit(1)))
+        if not rows:
             break
         out = kept if out is None else out.unionByName(kept)
         taken = kept.select(F.explode("members").alias("m")).distinct()

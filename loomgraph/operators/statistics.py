@@ -89,13 +89,13 @@ def duplicate_titles(rows: DataFrame, title: str, least: int = 2) -> DataFrame:
 
 def structural_parent(g: Graph) -> DataFrame:
     """The smallest hierarchical parent of each node that has one."""
-    up = g.edges.where(F.lower("kind").isin(*HIERARCHY_KINDS) & (F.col("src") != F.col("dst")))
+    up = g.edges.where(F.col("kind").isin(*HIERARCHY_KINDS) & (F.col("src") != F.col("dst")))
     return up.groupBy(F.col("dst").alias("id")).agg(F.min("src").alias("parent"))
 
 
 def flat_stars(g: Graph, most: int = 12, leaf_share: float = 0.7) -> DataFrame:
     """Hubs with more than ``most`` children of which ``leaf_share`` are leaves, and how to split them."""
-    up = g.edges.where(F.lower("kind").isin(*HIERARCHY_KINDS) & (F.col("src") != F.col("dst"))).select("src", "dst").distinct()
+    up = g.edges.where(F.col("kind").isin(*HIERARCHY_KINDS) & (F.col("src") != F.col("dst"))).select("src", "dst").distinct()
     parents = up.select(F.col("src").alias("dst"), F.lit(1).alias("_p")).distinct()
     rows = up.join(parents, "dst", "left").groupBy("src").agg(F.count("*").alias("children"), F.sum(F.when(F.col("_p").isNull(), 1).otherwise(0)).alias("leaves"))
     ratio = F.col("leaves") / F.col("children")

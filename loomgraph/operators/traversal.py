@@ -10,8 +10,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph.graph import Graph
-from loomgraph.operators.components import connected_components
-from loomgraph.plans.scratch import Scratch
+from loomgraph.operators.components import checksum, connected_components
+from loomgraph.plans.scratch import Scratch, fixpoint
+
+#: Rounds of a search after which what is known is written as one table, so that plans stay short.
+FOLD = 16
 
 
 def neighbors(g: Graph, ids: DataFrame, direction: str = "both", kinds: tuple[str, ...] | None = None) -> DataFrame:
@@ -24,7 +27,7 @@ def neighbors(g: Graph, ids: DataFrame, direction: str = "both", kinds: tuple[st
 
 
 def spread(steps: DataFrame, seeds: DataFrame, scratch: Scratch, depth: int | None = None) -> DataFrame:
-    """Breadth-first search over ``steps`` (id, other) from ``seeds`` (id): id and depth.
+    """Breadth-first search over ``steps`` (id, other) from ``seeds`` (id): id and depth; without ``depth`` to the end.
 
     Each round joins the frontier only and drops what is known by an anti join.
     """
@@ -34,10 +37,12 @@ def spread(steps: DataFrame, seeds: DataFrame, scratch: Scratch, depth: int | No
     while depth is None or round_ < depth:
         round_ += 1
         nxt = frontier.select("id").join(steps, "id").select(F.col("other").alias("id")).distinct().join(seen.select("id"), "id", "left_anti")
-        frontier = scratch.save(nxt.withColumn("depth", F.lit(round_)), "frontier")
-        if frontier.isEmpty():
+        frontier, (rows,) = scratch.save_seen(nxt.withColumn("depth", F.lit(round_)), "frontier", F.count(F.lit(1)))
+        if not rows:
             break
         seen = seen.unionByName(frontier)
+        if round_ % FOLD == 0:
+            seen = scratch.save(seen, "seen")
     return seen
 
 
@@ -55,37 +60,48 @@ def reachable(pairs: DataFrame, roots: DataFrame, scratch: Scratch, depth: int |
     return spread(pairs.select(F.col("src").alias("id"), F.col("dst").alias("other")), roots, scratch, depth)
 
 
-def shortest_paths(pairs: DataFrame, start: str, scratch: Scratch, depth: int = 64) -> DataFrame:
+def shortest_paths(pairs: DataFrame, start: str, scratch: Scratch, depth: int | None = None) -> DataFrame:
     """The unweighted shortest path from ``start`` to every node it reaches: id, hops, path.
 
-    Of the predecessors at equal distance the one whose own path is smallest wins.
+    Of the predecessors at equal distance the one whose own path is smallest wins. The search keeps
+    a node's predecessor and the place of its path among those of its distance; paths are put
+    together at the end, by doubling: a node's ancestors 1, 2, 4, ... steps before it.
     """
     spark, pairs = pairs.sparkSession, scratch.save(pairs, "pairs")
-    known = frontier = scratch.save(spark.createDataFrame([(start, 0, [start])], "id string, hops int, path array<string>"), "paths")
-    for hop in range(1, depth + 1):
-        step = frontier.select(F.col("id").alias("src"), "path").join(pairs, "src").groupBy("dst").agg(F.min("path").alias("path"))
+    first = spark.createDataFrame([(start, 0, None, 1)], "id string, hops int, before string, place long")
+    known = frontier = scratch.save(first, "found")
+    hop = 0
+    while depth is None or hop < depth:
+        hop += 1
+        step = frontier.select(F.col("id").alias("src"), "place").join(pairs, "src").groupBy("dst").agg(F.min(F.struct("place", "src")).alias("best"))
         step = step.join(known.select(F.col("id").alias("dst")), "dst", "left_anti")
-        frontier = scratch.save(step.select(F.col("dst").alias("id"), F.lit(hop).alias("hops"), F.concat("path", F.array("dst")).alias("path")), "paths")
-        if frontier.isEmpty():
+        # the order of paths of one length: by the predecessor's place, then by the own id; numbers grow along a sort by ranges
+        placed = step.orderBy("best.place", "dst").select(F.col("dst").alias("id"), F.lit(hop).alias("hops"), F.col("best.src").alias("before"), F.monotonically_increasing_id().alias("place"))
+        frontier, (rows,) = scratch.save_seen(placed, "found", F.count(F.lit(1)))
+        if not rows:
             break
         known = known.unionByName(frontier)
-    return known
+        if hop % FOLD == 0:
+            known = scratch.save(known, "found")
+    known = scratch.save(known, "found")
+    # tail: the last nodes of the path, jump: the node before them
+    paths = scratch.save(known.select("id", "hops", F.array("id").alias("tail"), F.col("before").alias("jump")), "paths")
+    reach = 1
+    while reach <= hop:
+        ahead = paths.select(F.col("id").alias("jump"), F.col("tail").alias("more"), F.col("jump").alias("next"))
+        paths = scratch.save(paths.join(ahead, "jump", "left").select("id", "hops", F.when(F.col("more").isNull(), F.col("tail")).otherwise(F.concat("more", "tail")).alias("tail"), F.col("next").alias("jump")), "paths")
+        reach *= 2
+    return paths.select("id", "hops", F.col("tail").alias("path"))
 
 
-def closure(pairs: DataFrame, scratch: Scratch, rounds: int = 64) -> DataFrame:
-    """(src, dst) by one step or more, semi-naive with doubling: rounds grow with the log of the diameter."""
-    reach = scratch.save(pairs.select("src", "dst").distinct(), "reach")
-    size = reach.count()
-    for _ in range(rounds):
-        wider = reach.join(reach.select(F.col("src").alias("dst"), F.col("dst").alias("far")), "dst").select("src", F.col("far").alias("dst"))
-        after = scratch.save(reach.unionByName(wider).distinct(), "reach")
-        now = after.count()
-        scratch.drop(reach)
-        reach = after
-        if now == size:
-            break
-        size = now
-    return reach
+def closure(pairs: DataFrame, scratch: Scratch) -> DataFrame:
+    """(src, dst) by one step or more, with doubling: rounds grow with the log of the diameter."""
+
+    def wider(reach: DataFrame) -> DataFrame:
+        far = reach.select(F.col("src").alias("dst"), F.col("dst").alias("far"))
+        return reach.unionByName(reach.join(far, "dst").select("src", F.col("far").alias("dst"))).distinct()
+
+    return fixpoint(scratch, pairs.select("src", "dst").distinct(), wider, (F.count(F.lit(1)),))
 
 
 def components(g: Graph, scratch: Scratch, kinds: tuple[str, ...] | None = None) -> DataFrame:
@@ -94,51 +110,57 @@ def components(g: Graph, scratch: Scratch, kinds: tuple[str, ...] | None = None)
     return g.nodes.select("id").join(parts.withColumnRenamed("node", "id"), "id", "left").select("id", F.coalesce("component", "id").alias("component"))
 
 
-def trim(pairs: DataFrame, scratch: Scratch, rounds: int = 200) -> DataFrame:
-    """Pairs between nodes that have both a predecessor and a successor: what is left may lie on cycles."""
-    pairs = scratch.save(pairs.select("src", "dst").distinct(), "trim")
-    size = pairs.count()
+def trim(pairs: DataFrame, scratch: Scratch) -> DataFrame:
+    """Pairs between nodes that have both a predecessor and a successor, to the end: what is left may lie on cycles."""
+
+    def inner(left: DataFrame) -> DataFrame:
+        heads, tails = left.select(F.col("src").alias("_h")).distinct(), left.select(F.col("dst").alias("_t")).distinct()
+        return left.join(tails, F.col("src") == F.col("_t"), "left_semi").join(heads, F.col("dst") == F.col("_h"), "left_semi")
+
+    return fixpoint(scratch, pairs.select("src", "dst").distinct(), inner, (F.count(F.lit(1)),))
+
+
+def _peel(pairs: DataFrame, scratch: Scratch, rounds: int = 4) -> DataFrame:
+    """Some rounds of ``trim``: enough to make the rest smaller, whatever the longest path."""
     for _ in range(rounds):
         heads, tails = pairs.select(F.col("src").alias("_h")).distinct(), pairs.select(F.col("dst").alias("_t")).distinct()
-        kept = pairs.join(tails, F.col("src") == F.col("_t"), "left_semi").join(heads, F.col("dst") == F.col("_h"), "left_semi")
-        after = scratch.save(kept, "trim")
-        now = after.count()
-        scratch.drop(pairs)
-        pairs = after
-        if now == size:
-            break
-        size = now
+        pairs = scratch.save(pairs.join(tails, F.col("src") == F.col("_t"), "left_semi").join(heads, F.col("dst") == F.col("_h"), "left_semi"), "peel")
     return pairs
 
 
 def strong_components(nodes: DataFrame, pairs: DataFrame, scratch: Scratch) -> DataFrame:
     """(id, scc): the smallest node of each strongly connected component.
 
-    Nodes that lie on no cycle are peeled off first. The rest is solved by forward colours: each
-    node takes the smallest id that reaches it; the nodes of a colour that also reach its root
-    backwards are the root's component, and are taken out. No closure is built.
+    Nodes at the ends of paths are peeled off first. The rest is solved by colours: each node takes
+    the smallest id that reaches it and the smallest id that it reaches, both in one pass; the nodes
+    of which both are the same id form that id's component, and are taken out. Colours jump: a node
+    also takes its colour's colour, so rounds grow with the logarithm of a path where ids allow it.
+    No closure is built.
     """
-    loops = pairs.where("src <> dst")
-    left = trim(loops, scratch)
+    left = _peel(scratch.save(pairs.where("src <> dst").select("src", "dst").distinct(), "pairs"), scratch)
     done: DataFrame | None = None
-    while not left.isEmpty():
+    while True:
         ids = left.select(F.col("src").alias("id")).unionByName(left.select(F.col("dst").alias("id"))).distinct()
-        colour = scratch.save(ids.withColumn("c", F.col("id")), "colour")
-        mark = None
-        while True:
-            pull = left.join(colour.select(F.col("id").alias("src"), F.col("c").alias("pc")), "src").groupBy("dst").agg(F.min("pc").alias("pc"))
-            after = scratch.save(colour.join(pull.withColumnRenamed("dst", "id"), "id", "left").select("id", F.least("c", F.coalesce("pc", "c")).alias("c")), "colour")
-            now = tuple(after.agg(F.sum(F.xxhash64("id", "c").cast("decimal(38,0)"))).first())
-            colour = after
-            if now == mark:
-                break
-            mark = now
-        same = left.join(colour.select(F.col("id").alias("src"), F.col("c").alias("a")), "src").join(colour.select(F.col("id").alias("dst"), F.col("c").alias("b")), "dst").where("a = b")
-        found = spread(same.select(F.col("dst").alias("id"), F.col("src").alias("other")), colour.where("id = c").select("id"), scratch)
-        part = scratch.save(found.select("id").join(colour, "id").select("id", F.col("c").alias("scc")), "scc")
+
+        def spread_colours(state: DataFrame, left: DataFrame = left) -> DataFrame:
+            f = left.join(state.select(F.col("id").alias("src"), F.col("f").alias("c")), "src").select(F.col("dst").alias("id"), F.col("c").alias("f"), F.lit(None).cast("string").alias("b"))
+            b = left.join(state.select(F.col("id").alias("dst"), F.col("b").alias("c")), "dst").select(F.col("src").alias("id"), F.lit(None).cast("string").alias("f"), F.col("c").alias("b"))
+            met = state.unionByName(f).unionByName(b).groupBy("id").agg(F.min("f").alias("f"), F.min("b").alias("b"))
+            # what reaches my smallest ancestor reaches me
+            far = met.join(met.select(F.col("id").alias("f"), F.col("f").alias("ff")), "f").join(met.select(F.col("id").alias("b"), F.col("b").alias("bb")), "b")
+            return far.select("id", F.col("ff").alias("f"), F.col("bb").alias("b"))
+
+        colour = fixpoint(scratch, ids.select("id", F.col("id").alias("f"), F.col("id").alias("b")), spread_colours, checksum("id", "f", "b"))
+        part, (found,) = scratch.save_seen(colour.where("f = b").select("id", F.col("f").alias("scc")), "scc", F.count(F.lit(1)))
+        if not found:
+            break
         done = part if done is None else done.unionByName(part)
-        gone = part.select(F.col("id").alias("_g"))
-        left = trim(left.join(gone, F.col("src") == F.col("_g"), "left_anti").join(gone, F.col("dst") == F.col("_g"), "left_anti"), scratch)
+        # a component lies within one pair of colours
+        rest = colour.where("f <> b")
+        same = left.join(rest.select(F.col("id").alias("src"), F.struct("f", "b").alias("x")), "src").join(rest.select(F.col("id").alias("dst"), F.struct("f", "b").alias("y")), "dst").where("x = y")
+        left, (rows,) = scratch.save_seen(same.select("src", "dst"), "left", F.count(F.lit(1)))
+        if not rows:
+            break
     if done is None:
         return nodes.select("id", F.col("id").alias("scc"))
     return nodes.select("id").join(done, "id", "left").select("id", F.coalesce("scc", "id").alias("scc"))
@@ -157,16 +179,20 @@ def cycle_lengths(pairs: DataFrame, scratch: Scratch, most: int = 8) -> DataFram
     return found.groupBy("id").agg(F.min("length").alias("length"))
 
 
-def topological_levels(nodes: DataFrame, pairs: DataFrame, scratch: Scratch, rounds: int = 10_000) -> DataFrame:
+def topological_levels(nodes: DataFrame, pairs: DataFrame, scratch: Scratch) -> DataFrame:
     """Kahn's peeling: id and level of every node not behind a cycle; others are left out."""
     left = scratch.save(pairs.where("src <> dst").select("src", "dst").distinct(), "left")
     rest = scratch.save(nodes.select("id"), "rest")
-    out = None
-    for level in range(rounds):
-        free = scratch.save(rest.join(left.select(F.col("dst").alias("id")), "id", "left_anti").withColumn("level", F.lit(level)), "free")
-        if free.isEmpty():
+    out, level = None, 0
+    while True:
+        free = rest.join(left.select(F.col("dst").alias("id")), "id", "left_anti").withColumn("level", F.lit(level))
+        free, (rows,) = scratch.save_seen(free, "free", F.count(F.lit(1)))
+        if not rows:
             break
         out = free if out is None else out.unionByName(free)
+        level += 1
+        if level % FOLD == 0:
+            out = scratch.save(out, "levels")
         gone = free.select("id")
         rest = scratch.save(rest.join(gone, "id", "left_anti"), "rest")
         left = scratch.save(left.join(gone.withColumnRenamed("id", "src"), "src", "left_anti"), "left")
@@ -174,22 +200,29 @@ def topological_levels(nodes: DataFrame, pairs: DataFrame, scratch: Scratch, rou
 
 
 def acyclic(nodes: DataFrame, pairs: DataFrame, scratch: Scratch) -> DataFrame:
-    """One row: whether no cycle (self loops included) is left after peeling."""
-    return trim(pairs, scratch).agg((F.count("*") == 0).alias("acyclic"))
+    """One row: whether there is no cycle, self loops included. A cycle is a strong component of several nodes."""
+    loops = pairs.where("src = dst").select(F.col("src").alias("scc")).distinct()
+    several = strong_components(nodes, pairs, scratch).groupBy("scc").agg(F.count("*").alias("n")).where("n > 1").select("scc")
+    return loops.unionByName(several).agg((F.count("*") == 0).alias("acyclic"))
 
 
-def containment_ancestors(g: Graph, scratch: Scratch, depth: int = 16) -> DataFrame:
-    """Every (id, ancestor, depth) over ``contains`` edges, nearest first."""
+def containment_ancestors(g: Graph, scratch: Scratch, depth: int | None = None) -> DataFrame:
+    """Every (id, ancestor, depth) over ``contains`` edges, nearest first; a cycle of containers is gone round once."""
     up = g.edges.where("kind = 'contains' and src <> dst").groupBy(F.col("dst").alias("id")).agg(F.min("src").alias("parent"))
     up = scratch.save(up, "parents")
     level = up.select("id", F.col("parent").alias("ancestor"), F.lit(1).alias("depth"))
     out = level = scratch.save(level, "up")
-    for d in range(2, depth + 1):
-        nxt = level.select("id", F.col("ancestor").alias("_a")).join(up.select(F.col("id").alias("_a"), "parent"), "_a").select("id", F.col("parent").alias("ancestor"), F.lit(d).alias("depth"))
-        level = scratch.save(nxt, "up")
-        if level.isEmpty():
+    d = 1
+    while depth is None or d < depth:
+        d += 1
+        nxt = level.where("id <> ancestor").select("id", F.col("ancestor").alias("_a")).join(up.select(F.col("id").alias("_a"), "parent"), "_a")
+        nxt = nxt.select("id", F.col("parent").alias("ancestor"), F.lit(d).alias("depth")).join(out.select("id", "ancestor"), ["id", "ancestor"], "left_anti")
+        level, (rows,) = scratch.save_seen(nxt, "up", F.count(F.lit(1)))
+        if not rows:
             break
         out = out.unionByName(level)
+        if d % FOLD == 0:
+            out = scratch.save(out, "up")
     return out
 
 

@@ -12,18 +12,17 @@ TRADE = (
 lines AS (SELECT l_orderkey, l_orderkey * 10 + l_linenumber AS seq, l_suppkey, l_returnflag, o_custkey, year(o_orderdate) AS year FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
 edges AS (
   SELECT concat('c', o_custkey) AS src, concat('s', l_suppkey) AS dst, 'calls' AS kind, seq, year FROM lines
-  UNION ALL SELECT concat('s', l_suppkey), concat('c', o_custkey), 'returns', seq, year FROM lines WHERE l_returnflag = 'R' AND l_orderkey % 40 = 0)"""
+  UNION ALL SELECT concat('s', l_suppkey), concat('c', o_custkey), 'returns', seq, year FROM lines WHERE l_returnflag = 'R')"""
 )
 
 
-def nations(most: int = 2) -> str:
-    return f"""
+NATIONS = """
 np AS (
   SELECT cn.n_name AS a, sn.n_name AS b, count(*) AS n
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey
   JOIN nation cn ON c_nationkey = cn.n_nationkey JOIN nation sn ON s_nationkey = sn.n_nationkey GROUP BY cn.n_name, sn.n_name),
-nr AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY n DESC, b) AS rank FROM np),
-edges AS (SELECT a AS src, b AS dst, 'dependsOn' AS kind, rank AS seq, n FROM nr WHERE rank <= {most}),
+nb AS (SELECT avg(n) + stddev_pop(n) AS bound FROM np),
+edges AS (SELECT a AS src, b AS dst, 'dependsOn' AS kind, row_number() OVER (PARTITION BY a ORDER BY n DESC, b) AS seq, n FROM np, nb WHERE n > bound),
 nodes AS (SELECT n_name AS id, 'package' AS kind, n_name AS name, r_name AS grp, r_name AS role FROM nation JOIN region ON n_regionkey = r_regionkey)"""
 
 
@@ -40,9 +39,8 @@ edges AS (
   UNION ALL SELECT concat('n:', grp), id, 'contains', 0 FROM people)"""
 
 
-def cooccurrence(every: int = 25) -> str:
-    return f"""
-ol AS (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem WHERE l_orderkey % {every} = 0),
+PARTS = """
+ol AS (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem),
 edges AS (
   SELECT concat('p', a.l_partkey) AS src, concat('p', b.l_partkey) AS dst, 'references' AS kind, a.l_orderkey AS seq
   FROM ol a JOIN ol b ON a.l_orderkey = b.l_orderkey AND a.l_partkey < b.l_partkey),
@@ -58,7 +56,7 @@ DIRECTED = "dir AS (SELECT DISTINCT src, dst FROM edges WHERE src <> dst)"
 
 CONTRACTS = """
 br AS (SELECT DISTINCT p_brand, substr(p_brand, 1, 7) AS m FROM part),
-li AS (SELECT DISTINCT l_suppkey, l_partkey, l_returnflag FROM lineitem WHERE l_partkey % 5 = 0),
+li AS (SELECT DISTINCT l_suppkey, l_partkey, l_returnflag FROM lineitem),
 nodes AS (
   SELECT DISTINCT concat('m:', m) AS id, 'interface' AS kind, m AS name, m AS grp, '' AS role FROM br
   UNION ALL SELECT concat('b:', p_brand), 'interface', p_brand, m, '' FROM br

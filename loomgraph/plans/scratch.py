@@ -12,13 +12,15 @@ import tempfile
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder of the session; a temporary one only where none is configured (tests)."""
+    """The shared folder of the session; a temporary one only where none is configured and driver and executors are one process."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        if not (spark.sparkContext.master or "").split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         named = tempfile.mkdtemp(prefix="loomgraph-")
         spark.conf.set("spark.checkpoint.dir", named)
     return named.rstrip("/")
@@ -46,6 +48,14 @@ class Scratch:
         out._loom_path = path
         return out
 
+    def save_seen(self, df: DataFrame, name: str, *measures: Column) -> tuple[DataFrame, tuple]:
+        """``save``, and the values of ``measures`` over what was written, taken on the way without a second job."""
+        seen = Observation()
+        named = [m.alias(f"m{i}") for i, m in enumerate(measures)]
+        out = self.save(df.observe(seen, *named), name)
+        got = seen.get
+        return out, tuple(got[f"m{i}"] for i in range(len(measures)))
+
     def once(self, key: object, build: Callable[[], DataFrame]) -> DataFrame:
         """The table saved under ``key``, built at first use."""
         if key not in self._kept:
@@ -75,18 +85,14 @@ def fixpoint(
     scratch: Scratch,
     state: DataFrame,
     step: Callable[[DataFrame], DataFrame],
-    digest: Callable[[DataFrame], tuple],
-    max_rounds: int,
+    measures: tuple[Column, ...],
 ) -> DataFrame:
-    """Apply ``step`` until ``digest`` stops changing, with one lineage cut and one action a round."""
-    state = scratch.save(state, "state")
-    seen = digest(state)
-    for _ in range(max_rounds):
-        after = scratch.save(step(state), "state")
-        now = digest(after)
+    """Apply ``step`` until ``measures`` of the state stop changing: one lineage cut and one job a round, no bound on rounds."""
+    state, seen = scratch.save_seen(state, "state", *measures)
+    while True:
+        after, now = scratch.save_seen(step(state), "state", *measures)
         scratch.drop(state)
         state = after
         if now == seen:
-            break
+            return state
         seen = now
-    return state

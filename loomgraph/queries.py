@@ -52,8 +52,7 @@ def _values(rows: list[tuple[str, ...]]) -> str:
 
 
 GROUPED = "gr AS (SELECT e.*, a.grp AS fg, b.grp AS tg, a.role AS fr, b.role AS tr FROM edges e JOIN nodes a ON e.src = a.id JOIN nodes b ON e.dst = b.id)"
-TRADE, NATIONS, TREE, PARTS = sql.TRADE, sql.nations(), sql.CONTAINMENT, sql.cooccurrence()
-DENSE = sql.cooccurrence(50)
+TRADE, NATIONS, TREE, PARTS = sql.TRADE, sql.NATIONS, sql.CONTAINMENT, sql.PARTS
 
 
 # --- degrees and coupling ---------------------------------------------------------------------
@@ -92,7 +91,7 @@ def _(spark, d):
     return degrees.sources(derive.nations(spark, d))
 
 
-@query("dead_items", with_(DENSE) + "SELECT id FROM nodes WHERE id NOT IN (SELECT dst FROM edges)")
+@query("dead_items", with_(PARTS) + "SELECT id FROM nodes WHERE id NOT IN (SELECT dst FROM edges)")
 def _(spark, d):
     g = derive.cooccurrence(spark, d)
     return degrees.dead_items(g.nodes, g.edges)
@@ -133,7 +132,7 @@ def _(spark, d):
 
 @query(
     "role_coupling",
-    with_(NATIONS, GROUPED) + "SELECT fr AS from_group, tr AS to_group, count(*)::BIGINT AS edges, arg_min(concat(src, '->', dst), (seq, concat(src, '->', dst))) AS first_edge, arg_max(concat(src, '->', dst), (seq, concat(src, '->', dst))) AS last_edge FROM gr GROUP BY fr, tr",
+    with_(NATIONS, GROUPED) + ", k AS (SELECT fr, tr, seq, concat(src, '->', dst) AS e, row_number() OVER (PARTITION BY fr, tr ORDER BY seq, concat(src, '->', dst)) AS r FROM gr) SELECT fr AS from_group, tr AS to_group, count(*)::BIGINT AS edges, string_agg(e, ',' ORDER BY r) FILTER (r <= 5) AS evidence FROM k GROUP BY fr, tr",
 )
 def _(spark, d):
     return degrees.role_coupling(derive.nations(spark, d))
@@ -225,7 +224,7 @@ def _(spark, d):
     return derive.trade(spark, d).without_foreign(F.col("role") == "AFRICA").edges.agg(F.count("*").alias("edges"), F.countDistinct("src").alias("callers"))
 
 
-@query("dangling_edges", with_(DENSE) + "SELECT src, dst, kind FROM edges WHERE seq % 100 = 0 AND (src NOT IN (SELECT id FROM nodes WHERE grp <> 'Brand#11') OR dst NOT IN (SELECT id FROM nodes WHERE grp <> 'Brand#11'))")
+@query("dangling_edges", with_(PARTS) + "SELECT src, dst, kind FROM edges WHERE (src NOT IN (SELECT id FROM nodes WHERE grp <> 'Brand#11') OR dst NOT IN (SELECT id FROM nodes WHERE grp <> 'Brand#11'))")
 def _(spark, d):
     g = derive.cooccurrence(spark, d)
     return Graph(g.nodes.where("grp <> 'Brand#11'"), g.edges).dangling().select("src", "dst", "kind")
@@ -309,7 +308,7 @@ def _(spark, d):
     return statistics.histogram(derive.containment(spark, d).nodes, "grp")
 
 
-@query("orphan_bucket", with_(DENSE) + ", o AS (SELECT kind, count(*) AS n FROM nodes WHERE id NOT IN (SELECT src FROM edges) AND id NOT IN (SELECT dst FROM edges) GROUP BY kind) SELECT kind, n::BIGINT AS orphans, CASE WHEN n >= 25 THEN 'high' WHEN n >= 10 THEN 'medium' WHEN n >= 3 THEN 'low' ELSE 'info' END AS severity FROM o")
+@query("orphan_bucket", with_(PARTS) + ", o AS (SELECT kind, count(*) AS n FROM nodes WHERE id NOT IN (SELECT src FROM edges) AND id NOT IN (SELECT dst FROM edges) GROUP BY kind) SELECT kind, n::BIGINT AS orphans, CASE WHEN n >= 25 THEN 'high' WHEN n >= 10 THEN 'medium' WHEN n >= 3 THEN 'low' ELSE 'info' END AS severity FROM o")
 def _(spark, d):
     return statistics.orphans(derive.cooccurrence(spark, d))
 
@@ -359,7 +358,7 @@ def _(spark, d):
     return traversal.neighbors(g, g.nodes.where("kind = 'type'").select("id"), "in", ("calls",))
 
 
-@query("khop", with_(DENSE, sql.UNDIRECTED, "walk AS (SELECT 'p1' AS id, 0 AS depth UNION SELECT other, depth + 1 FROM walk JOIN both_ways USING (id) WHERE depth < 3)", recursive=True) + "SELECT id, min(depth)::INTEGER AS depth FROM walk GROUP BY id")
+@query("khop", with_(PARTS, sql.UNDIRECTED, "walk AS (SELECT 'p1' AS id, 0 AS depth UNION SELECT other, depth + 1 FROM walk JOIN both_ways USING (id) WHERE depth < 3)", recursive=True) + "SELECT id, min(depth)::INTEGER AS depth FROM walk GROUP BY id")
 def _(spark, d):
     g = derive.cooccurrence(spark, d)
     return traversal.khop(g, spark.createDataFrame([("p1",)], "id string"), 3, Scratch(spark))
@@ -386,7 +385,7 @@ def _(spark, d):
     return traversal.closure(derive.nations(spark, d).directed(), Scratch(spark))
 
 
-@query("weak_components", with_(DENSE, sql.UNDIRECTED, "walk AS (SELECT id, id AS c FROM nodes UNION SELECT b.other, w.c FROM walk w JOIN both_ways b ON w.id = b.id WHERE w.c < b.other)", recursive=True) + "SELECT id, min(c) AS component FROM walk GROUP BY id")
+@query("weak_components", with_(PARTS, sql.UNDIRECTED, "walk AS (SELECT id, id AS c FROM nodes UNION SELECT b.other, w.c FROM walk w JOIN both_ways b ON w.id = b.id WHERE w.c < b.other)", recursive=True) + "SELECT id, min(c) AS component FROM walk GROUP BY id")
 def _(spark, d):
     return traversal.components(derive.cooccurrence(spark, d), Scratch(spark))
 
@@ -472,7 +471,7 @@ def _(spark, d):
 TRIANGLES = ", t AS (SELECT x.a AS x, x.b AS y, y.b AS z FROM und x JOIN und y ON x.b = y.a JOIN und w ON w.a = x.a AND w.b = y.b)"
 
 
-@query("triangles", with_(DENSE, sql.UNDIRECTED) + TRIANGLES + "SELECT x, y, z FROM t")
+@query("triangles", with_(PARTS, sql.UNDIRECTED) + TRIANGLES + "SELECT x, y, z FROM t")
 def _(spark, d):
     return motifs.triangles(derive.cooccurrence(spark, d).undirected())
 
@@ -484,12 +483,12 @@ k AS (SELECT u.a, u.b, coalesce(n, 0)::BIGINT AS triangles, (4 - p.d - q.d + 3 *
 )
 
 
-@query("curvature", with_(DENSE, sql.UNDIRECTED) + CURVATURE + "SELECT * FROM k")
+@query("curvature", with_(PARTS, sql.UNDIRECTED) + CURVATURE + "SELECT * FROM k")
 def _(spark, d):
     return motifs.curvature(derive.cooccurrence(spark, d).undirected())
 
 
-@query("curvature_tail", with_(DENSE, sql.UNDIRECTED) + CURVATURE + "SELECT a, b, kappa FROM k ORDER BY kappa, a, b LIMIT 10")
+@query("curvature_tail", with_(PARTS, sql.UNDIRECTED) + CURVATURE + "SELECT a, b, kappa FROM k ORDER BY kappa, a, b LIMIT 10")
 def _(spark, d):
     return statistics.top(motifs.curvature(derive.cooccurrence(spark, d).undirected()), 10, F.col("kappa"), F.col("a"), F.col("b")).select("a", "b", "kappa")
 
@@ -518,7 +517,7 @@ def _(spark, d):
 
 @query(
     "motif3",
-    with_(TRADE.replace("l_orderkey % 40 = 0)", "l_orderkey % 40 = 0), raw AS (SELECT 1)").replace("JOIN orders ON l_orderkey = o_orderkey)", "JOIN orders ON l_orderkey = o_orderkey WHERE l_orderkey % 100 = 0)"), sql.UNDIRECTED)
+    with_(TRADE, sql.UNDIRECTED)
     + TRIANGLES
     + """, tk AS (SELECT list_sort([a.kind, b.kind, c.kind]) AS k FROM t JOIN nodes a ON x = a.id JOIN nodes b ON y = b.id JOIN nodes c ON z = c.id),
 p AS (SELECT m.kind AS k, least(a.kind, b.kind) AS k1, greatest(a.kind, b.kind) AS k2 FROM both_ways u JOIN both_ways v ON u.id = v.id AND u.other < v.other ANTI JOIN und w ON w.a = least(u.other, v.other) AND w.b = greatest(u.other, v.other) JOIN nodes m ON u.id = m.id JOIN nodes a ON u.other = a.id JOIN nodes b ON v.other = b.id)
@@ -621,7 +620,7 @@ def _(spark, d):
     return linalg.kmeans(_vectors(spark, d), 4, Scratch(spark), rounds=4).groupBy("cluster").agg(F.count("*").alias("members"), F.round(F.sum("distance"), 4).alias("inertia"))
 
 
-@query("laplacian_spectrum", with_(DENSE, sql.UNDIRECTED, "walk AS (SELECT id, id AS c FROM nodes UNION SELECT b.other, w.c FROM walk w JOIN both_ways b ON w.id = b.id WHERE w.c < b.other)", recursive=True) + ", p AS (SELECT id, min(c) AS c FROM walk GROUP BY id) SELECT count(*)::BIGINT AS nodes, count(DISTINCT c)::BIGINT AS components, round((SELECT 2 * count(*) FROM und), 4)::DOUBLE AS total FROM p")
+@query("laplacian_spectrum", with_(PARTS, sql.UNDIRECTED, "walk AS (SELECT id, id AS c FROM nodes UNION SELECT b.other, w.c FROM walk w JOIN both_ways b ON w.id = b.id WHERE w.c < b.other)", recursive=True) + ", p AS (SELECT id, min(c) AS c FROM walk GROUP BY id) SELECT count(*)::BIGINT AS nodes, count(DISTINCT c)::BIGINT AS components, round((SELECT 2 * count(*) FROM und), 4)::DOUBLE AS total FROM p")
 def _(spark, d):
     s = linalg.spectral_summary(linalg.laplacian_spectrum(derive.cooccurrence(spark, d), Scratch(spark)))
     return s.select("nodes", "components", F.round("total", 4).alias("total"))
@@ -747,7 +746,7 @@ def _(spark, d):
     return traversal.reachable(g.edges.select("src", "dst").distinct(), spark.createDataFrame([("s1",)], "id string"), Scratch(spark), 3)
 
 
-@query("external_noise", with_(CONTRACTS) + ", f AS (SELECT id FROM nodes WHERE kind = 'function' AND hash(id) IS NOT NULL AND (right(id, 1) IN ('1', '2', '3', '4', '5', '6', '7'))), x AS (SELECT dst AS id, count(*) AS n, count(*) FILTER (src IN (FROM f)) AS k FROM edges JOIN nodes t ON dst = t.id AND t.kind = 'type' WHERE edges.kind IN ('returns', 'usesType') AND src <> dst GROUP BY dst) SELECT id, n::BIGINT AS inbound, k::BIGINT AS foreign_inbound, round(k / n, 6) AS share FROM x WHERE n >= 5 AND k / n >= 0.7")
+@query("external_noise", with_(CONTRACTS) + ", f AS (SELECT id FROM nodes WHERE kind = 'function' AND (right(id, 1) IN ('1', '2', '3', '4', '5', '6', '7'))), x AS (SELECT dst AS id, count(*) AS n, count(*) FILTER (src IN (FROM f)) AS k FROM edges JOIN nodes t ON dst = t.id AND t.kind = 'type' WHERE edges.kind IN ('returns', 'usesType') AND src <> dst GROUP BY dst) SELECT id, n::BIGINT AS inbound, k::BIGINT AS foreign_inbound, round(k / n, 6) AS share FROM x WHERE n >= 5 AND k / n >= 0.7")
 def _(spark, d):
     g = derive.contracts(spark, d)
     foreign = g.nodes.where(F.substring("id", -1, 1).isin(list("1234567")) & (F.col("kind") == "function")).select("id")
@@ -801,7 +800,7 @@ def _(spark, d):
 # --- more set operations and findings ---------------------------------------------------------
 
 
-@query("focus_diff", with_(TRADE, "y AS (SELECT * FROM edges WHERE seq % 7 = 0)") + ", n1 AS (SELECT src AS id FROM y WHERE year = 1995 UNION SELECT dst FROM y WHERE year = 1995), a AS (SELECT src AS id FROM y WHERE year = 1996 UNION SELECT dst FROM y WHERE year = 1996), new AS (SELECT id FROM a WHERE id NOT IN (FROM n1)), c AS (SELECT dst AS id FROM y WHERE year = 1996 AND src IN (FROM new) UNION SELECT src FROM y WHERE year = 1996 AND dst IN (FROM new)) SELECT id, 'added' AS mark FROM new UNION ALL SELECT id, 'context' FROM c WHERE id NOT IN (FROM new)")
+@query("focus_diff", with_(TRADE, "y AS (SELECT * FROM edges)") + ", n1 AS (SELECT src AS id FROM y WHERE year = 1995 UNION SELECT dst FROM y WHERE year = 1995), a AS (SELECT src AS id FROM y WHERE year = 1996 UNION SELECT dst FROM y WHERE year = 1996), new AS (SELECT id FROM a WHERE id NOT IN (FROM n1)), c AS (SELECT dst AS id FROM y WHERE year = 1996 AND src IN (FROM new) UNION SELECT src FROM y WHERE year = 1996 AND dst IN (FROM new)) SELECT id, 'added' AS mark FROM new UNION ALL SELECT id, 'context' FROM c WHERE id NOT IN (FROM new)")
 def _(spark, d):
     return sets.focus_diff(_year(spark, d, 1995), _year(spark, d, 1996), Scratch(spark))
 
@@ -824,7 +823,7 @@ def _(spark, d):
     return statistics.parent_mismatch(rows).select("community", "usual", "outliers", "size", *r6("ratio"), "severity")
 
 
-@query("component_histogram", with_(DENSE, sql.UNDIRECTED, "walk AS (SELECT id, id AS c FROM nodes UNION SELECT b.other, w.c FROM walk w JOIN both_ways b ON w.id = b.id WHERE w.c < b.other)", recursive=True) + ", p AS (SELECT id, min(c) AS c FROM walk GROUP BY id), z AS (SELECT count(*) AS size FROM p GROUP BY c) SELECT size::BIGINT AS size, count(*)::BIGINT AS groups FROM z GROUP BY size")
+@query("component_histogram", with_(PARTS, sql.UNDIRECTED, "walk AS (SELECT id, id AS c FROM nodes UNION SELECT b.other, w.c FROM walk w JOIN both_ways b ON w.id = b.id WHERE w.c < b.other)", recursive=True) + ", p AS (SELECT id, min(c) AS c FROM walk GROUP BY id), z AS (SELECT count(*) AS size FROM p GROUP BY c) SELECT size::BIGINT AS size, count(*)::BIGINT AS groups FROM z GROUP BY size")
 def _(spark, d):
     return statistics.histogram(traversal.components(derive.cooccurrence(spark, d), Scratch(spark)), "component")
 

@@ -40,8 +40,11 @@ def trade(spark: SparkSession, sf_dir: str) -> Graph:
     return Graph(parties(spark, sf_dir), calls.unionByName(back))
 
 
-def nations(spark: SparkSession, sf_dir: str, most: int = 2) -> Graph:
-    """Nations by region, each depending on the nations that it buys most from."""
+def nations(spark: SparkSession, sf_dir: str) -> Graph:
+    """Nations by region; one depends on another where it buys more there than the mean pair and one deviation.
+
+    All lines count towards a pair's number; the bound is what makes a dependency of it.
+    """
     g = trade(spark, sf_dir)
     side = g.nodes.select("id", "grp")
     pairs = (
@@ -51,11 +54,12 @@ def nations(spark: SparkSession, sf_dir: str, most: int = 2) -> Graph:
         .groupBy("a", "b")
         .agg(F.count("*").alias("n"))
     )
+    every = Window.partitionBy()  # one row for each pair of nations
+    pairs = pairs.withColumn("bound", F.avg("n").over(every) + F.stddev_pop("n").over(every)).where("n > bound")
     rank = F.row_number().over(Window.partitionBy("a").orderBy(F.desc("n"), "b"))
-    edges = pairs.withColumn("rank", rank).where(F.col("rank") <= most)
     place = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
     nodes = place.select(F.col("n_name").alias("id"), F.lit("package").alias("kind"), F.col("n_name").alias("name"), F.col("r_name").alias("grp"), F.col("r_name").alias("role"))
-    return Graph(nodes, edges.select(F.col("a").alias("src"), F.col("b").alias("dst"), F.lit("dependsOn").alias("kind"), F.col("rank").cast("long").alias("seq"), "n"))
+    return Graph(nodes, pairs.select(F.col("a").alias("src"), F.col("b").alias("dst"), F.lit("dependsOn").alias("kind"), rank.cast("long").alias("seq"), "n"))
 
 
 def containment(spark: SparkSession, sf_dir: str) -> Graph:
