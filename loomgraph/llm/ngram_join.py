@@ -241,10 +241,11 @@ def _related(docs: DataFrame, scratch: Scratch, threshold: tuple[int, int]) -> D
     edges = scratch.save(keyed.join(least, ["band", "key"]).where("cid <> v").select(F.col("cid").alias("u"), "v").distinct(), "edges")
     clusters = connected_components(edges, scratch).select(F.col("node").alias("cid"), F.col("component").alias("cluster"))
     members = scratch.save(clusters.join(classes.drop("bands"), "cid"), "members")
-    sized = docs.select("doc_id", "text").join(members.withColumnRenamed("rep", "doc_id"), "doc_id").withColumn("bytes", F.octet_length("text"))
+    # joins that carry texts are planned alike at every size
+    sized = docs.select("doc_id", "text").join(members.withColumnRenamed("rep", "doc_id").hint("merge"), "doc_id").withColumn("bytes", F.octet_length("text"))
     sized = scratch.save(sized, "texts")
     blocks = into_blocks(_work(members, sized, classes, scratch), F.col("cid"), F.col("chunks")).drop("chunks")
-    blocks = blocks.join(sized.select("cid", "n", "s1", "s2", "text"), "cid").join(classes.select("cid", "bands"), "cid")
+    blocks = blocks.join(sized.select("cid", "n", "s1", "s2", "text").hint("merge"), "cid").join(classes.select("cid", "bands"), "cid")
     blocks = blocks.withColumn("bands", F.when(F.col("band") > 0, F.col("bands"))).withColumnRenamed("cid", "rep")
     blocks = blocks.repartition(*BLOCK).sortWithinPartitions(*BLOCK)
     found = scratch.save(blocks.mapInArrow(lambda it: _verify(it, threshold), "rep long, links long, root long"), "links")
@@ -288,7 +289,7 @@ def keep_one(docs: DataFrame, scratch: Scratch) -> DataFrame:
     first = found.where("part is not null and doc_id = class_id").groupBy("part", "doc_id", "mark").agg(F.count("*").alias("n"))
     first = first.groupBy("part").agg(F.min(F.struct("doc_id", "mark", "n")).alias("head")).select("head.*")
     heads = scratch.save(first.unionByName(lone), "heads")
-    kept = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("mark"), row).join(heads, ["doc_id", "mark"])
+    kept = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("mark"), row).join(heads.hint("merge"), ["doc_id", "mark"])
     single = kept.where("n = 1").select("_row")
     # repeated rows are summed up one by one, so a row that is repeated very often isn't ordered
     several = kept.where("n > 1").withColumn("tie", F.xxhash64("_row")).groupBy("doc_id", "mark").agg(F.min_by("_row", "tie").alias("_row")).select("_row")
