@@ -38,10 +38,8 @@ SAMPLE_BYTES = 6 << 20
 LEVEL = 3
 #: Payloads smaller than this are never revisits.
 MIN_REVISIT_BYTES = 0
-#: Payload bytes of an archive, so that a file stays far below what one task or reader can hold; small
-#: tables make an archive for each core while these have LEAST_BYTES each.
+#: Payload bytes of an archive, so that a file stays far below what one task or reader can hold.
 ARCHIVE_BYTES = 256 << 20
-LEAST_BYTES = 8 << 20
 #: A fixed date: the tables have none.
 DATE = "2020-01-01T00:00:00Z"
 END = b"\r\n\r\n"
@@ -114,8 +112,9 @@ def _frames(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["frame"])
 
 
-def archive_count(payload_bytes: int, cores: int) -> int:
-    return max(1, -(-payload_bytes // ARCHIVE_BYTES), min(cores, payload_bytes // LEAST_BYTES))
+def archive_count(payload_bytes: int, partitions: int) -> int:
+    """One for each shuffle partition, which is how rows are dealt out for the join, or more where these would be too large."""
+    return max(partitions, -(-payload_bytes // ARCHIVE_BYTES))
 
 
 def decide(pages: DataFrame, min_revisit_bytes: int = MIN_REVISIT_BYTES) -> DataFrame:
@@ -137,7 +136,7 @@ def decide(pages: DataFrame, min_revisit_bytes: int = MIN_REVISIT_BYTES) -> Data
     later = known.where(F.col("n") >= min_revisit_bytes).join(first, "digest").where("not (page_id <=> first_id)")
     later = later.select("key", F.col("first_id").alias("refers_to")).distinct()
     total = pages.agg(F.sum(F.octet_length("html"))).first()[0] or 0
-    archives = archive_count(total, spark.sparkContext.defaultParallelism)
+    archives = archive_count(total, int(spark.conf.get("spark.sql.shuffle.partitions")))
     return rows.repartition(archives, "key").join(later.repartition(archives, "key"), "key", "left").select("page_id", "url", "payload", "digest", "refers_to")
 
 
