@@ -1,8 +1,7 @@
 """Queries over the derived graphs, each with its DuckDB SQL where SQL can express it."""
 
-from __future__ import annotations
 
-from collections.abc import Callable
+from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,31 +12,10 @@ from loomgraph.graph import Graph
 from loomgraph.operators import contracts, degrees, linalg, motifs, records, sets, statistics, traversal
 from loomgraph.plans import oracle_graphs as sql
 from loomgraph.plans.scratch import Scratch
+from loomgraph.registry import ORACLES, QUERIES, query, r6, with_
 from loomgraph.sources import derive
 from loomgraph.streaming import transitions as stream
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(name: str, oracle: str | None = None):
-    def add(f):
-        QUERIES[name] = f
-        if oracle:
-            ORACLES[name] = oracle
-        return f
-
-    return add
-
-
-def with_(*parts: str, recursive: bool = False) -> str:
-    return f"WITH {'RECURSIVE ' * recursive}" + ",".join(parts) + " "
-
-
-def r6(*columns: str) -> list:
-    return [F.round(c, 6).alias(c) for c in columns]
-
-
 ALLOW = [("ASIA", "EUROPE"), ("EUROPE", "ASIA"), ("AMERICA", "ASIA"), ("AFRICA", "EUROPE"), ("EUROPE", "AMERICA")]
 SINKS = ["MIDDLE EAST"]
 DENY = [("AFRICA", "ASIA"), ("ASIA", "AMERICA"), ("EUROPE", "MIDDLE EAST")]
@@ -836,3 +814,6 @@ def _(spark, d):
 @query("calculate_cycles", with_(NATIONS, sql.DIRECTED, CLOSURE, recursive=True) + SCC + ", z AS (SELECT id, least(id, m) AS scc FROM s) SELECT scc, count(*)::BIGINT AS size, string_agg(id, ',' ORDER BY id) AS members FROM z GROUP BY scc HAVING count(*) > 1")
 def _(spark, d):
     return calculate("cycles", derive.nations(spark, d), Scratch(spark))
+
+
+from loomgraph import suites  # noqa: E402, F401  the queries of the suites register themselves
