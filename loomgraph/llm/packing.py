@@ -40,8 +40,6 @@ from loomgraph.plans.scratch import Scratch
 
 WINDOW = 1024
 END_ID = 0
-#: Pieces of one length that are ordered together.
-RANK_ROWS = 50_000
 ROUNDS = 400
 
 
@@ -339,7 +337,8 @@ def pack(
     for length, n in cut.groupBy("length").agg(F.count("*")).collect():
         held[length] = n
     shared = docs.sparkSession.sparkContext.broadcast(plan_packing(held, window))
-    groups = F.get(F.array(*(F.lit(int(n)) for n in -(-held // RANK_ROWS))), F.col("length").cast("int"))
+    # n pieces of one length are ordered in about sqrt(n) groups of sqrt(n)
+    groups = F.get(F.array(*(F.lit(int(n)) for n in np.ceil(np.sqrt(held)))), F.col("length").cast("int"))
     cut = cut.withColumn("g", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), groups))
     counts = cut.groupBy("length", "g").agg(F.count("*").alias("n"))
     before = Window.partitionBy("length").orderBy("g").rowsBetween(Window.unboundedPreceding, -1)
