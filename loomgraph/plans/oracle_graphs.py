@@ -66,3 +66,14 @@ edges AS (
   SELECT concat('b:', p_brand) AS src, concat('m:', m) AS dst, 'embeds' AS kind FROM br
   UNION ALL SELECT concat('p', p_partkey), concat('b:', p_brand), 'implements' FROM part
   UNION ALL SELECT DISTINCT concat('s', l_suppkey), concat('p', l_partkey), CASE WHEN l_returnflag = 'R' THEN 'returns' ELSE 'usesType' END FROM li)"""
+
+SERVICES = """
+place AS (SELECT n_nationkey, n_name, r_name FROM nation JOIN region ON n_regionkey = r_regionkey),
+own AS (SELECT concat('s', s_suppkey) AS id, s_name, n_name, r_name, CASE WHEN s_suppkey % 2 = 0 THEN 'method' ELSE 'function' END AS kind, concat('s', lead(s_suppkey) OVER (PARTITION BY s_nationkey ORDER BY s_suppkey)) AS next FROM supplier JOIN place ON s_nationkey = n_nationkey),
+nodes AS (
+  SELECT concat('r:', r_name) AS id, 'type' AS kind, r_name AS name, '' AS grp, '' AS role FROM region
+  UNION ALL SELECT concat('n:', n_name), 'type', n_name, r_name, '' FROM place UNION ALL SELECT id, kind, s_name, n_name, '' FROM own),
+edges AS (
+  SELECT concat('n:', n_name) AS src, concat('r:', r_name) AS dst, 'implements' AS kind FROM place
+  UNION ALL SELECT concat('n:', n_name), id, 'contains' FROM own WHERE kind = 'method' UNION ALL SELECT id, concat('n:', n_name), 'returns' FROM own WHERE kind = 'function'
+  UNION ALL SELECT id, concat('r:', r_name), 'usesType' FROM own WHERE kind = 'method' UNION ALL SELECT id, next, 'calls' FROM own WHERE next <> 's')"""

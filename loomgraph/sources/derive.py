@@ -108,3 +108,24 @@ def contracts(spark: SparkSession, sf_dir: str) -> Graph:
     used = lines.select(_named("s", "l_suppkey").alias("src"), _named("p", "l_partkey").alias("dst"), kind.alias("kind")).distinct()
     edges = embeds.unionByName(implements).unionByName(used).withColumn("seq", F.lit(0).cast("long"))
     return Graph(a.unionByName(b).unionByName(c).unionByName(s), edges)
+
+
+def services(spark: SparkSession, sf_dir: str) -> Graph:
+    """Regions and nations as types, suppliers as methods (even keys) and functions: implements, contains, returns, usesType, calls.
+
+    A nation implements its region and contains its methods; functions return their nation, methods
+    use their region, and each supplier calls the next one of its nation.
+    """
+    place = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    order = Window.partitionBy("s_nationkey").orderBy("s_suppkey")
+    own = table(spark, sf_dir, "supplier").withColumn("next", F.lead("s_suppkey").over(order)).join(place, F.col("s_nationkey") == F.col("n_nationkey"))
+    own = own.withColumn("kind", F.when(F.col("s_suppkey") % 2 == 0, "method").otherwise("function"))
+    s, n, r = _named("s", "s_suppkey"), _named("n:", "n_name"), _named("r:", "r_name")
+    node = lambda df, id_, kind, name, grp: df.select(id_.alias("id"), kind.alias("kind"), F.col(name).alias("name"), grp.alias("grp"), F.lit("").alias("role"))
+    region = table(spark, sf_dir, "region")
+    nodes = node(region, r, F.lit("type"), "r_name", F.lit("")).unionByName(node(place, n, F.lit("type"), "n_name", F.col("r_name"))).unionByName(node(own, s, F.col("kind"), "s_name", F.col("n_name")))
+    edge = lambda df, a, b, kind: df.select(a.alias("src"), b.alias("dst"), F.lit(kind).alias("kind"), F.lit(0).cast("long").alias("seq"))
+    methods, functions = own.where("kind = 'method'"), own.where("kind = 'function'")
+    edges = edge(place, n, r, "implements").unionByName(edge(methods, n, s, "contains")).unionByName(edge(functions, s, n, "returns"))
+    edges = edges.unionByName(edge(methods, s, r, "usesType")).unionByName(edge(own.where("next is not null"), s, _named("s", "next"), "calls"))
+    return Graph(nodes, edges)
