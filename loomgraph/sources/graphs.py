@@ -1,15 +1,13 @@
-"""Graph files: JSON and GraphML readers and writers.
+"""GraphML elements, and plain forms of graphs: edge lists, DOT, Mermaid.
 
 Files are read by Spark's own readers, so any file system that Spark reads serves, and parsed on the
-executors, one file a row. Many files make a table of variants (``graph_id`` is the file's name).
+executors, one file a row.
 """
 
 from __future__ import annotations
 
-import json
 import xml.etree.ElementTree as ET
 from collections.abc import Iterator
-from xml.sax.saxutils import escape, quoteattr
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -17,11 +15,6 @@ from pyspark.sql import functions as F
 
 from loomgraph.graph import Graph
 
-NODE = "graph_id string, seq long, id string, kind string, name string, qname string, file string, line int, attrs map<string,string>"
-EDGE = "graph_id string, seq long, src string, dst string, kind string, attrs map<string,string>"
-JSON_VERSION = 1
-
-
 def _stem(path: str) -> str:
     return path.rsplit("/", 1)[-1].rsplit(".", 1)[0]
 
@@ -41,80 +34,39 @@ def _parsed(spark: SparkSession, path: str, parse, schema: str) -> DataFrame:
     return _files(spark, path).mapInPandas(rows, schema)
 
 
-def _json_nodes(graph_id: str, text: str):
-    doc = json.loads(text)
-    if doc.get("version", JSON_VERSION) != JSON_VERSION:
-        raise ValueError(f"unknown graph version {doc['version']}")
-    for i, n in enumerate(doc.get("nodes", [])):
-        pos = n.get("pos") or {}
-        yield graph_id, i, n["id"], n.get("kind", ""), n.get("name", ""), n.get("qname", ""), pos.get("File", ""), pos.get("Line", 0), {k: _text(v) for k, v in (n.get("attrs") or {}).items()}
-
-
-def _json_edges(graph_id: str, text: str):
-    for i, e in enumerate(json.loads(text).get("edges", [])):
-        yield graph_id, i, e["from"], e["to"], e.get("kind", ""), {k: _text(v) for k, v in (e.get("attrs") or {}).items()}
-
-
-def _text(v: object) -> str:
-    return v if isinstance(v, str) else json.dumps(v)
-
-
-def read_json(spark: SparkSession, path: str) -> Graph:
-    return Graph(_parsed(spark, path, _json_nodes, NODE), _parsed(spark, path, _json_edges, EDGE))
-
-
 def _tag(element: ET.Element) -> str:
     return element.tag.rsplit("}", 1)[-1]
 
 
-def _graphml(text: str):
-    root = ET.fromstring(text)
-    keys = {k.get("id"): (k.get("attr.name") or k.get("id")) for k in root.iter() if _tag(k) == "key"}
-    graph = next((x for x in root.iter() if _tag(x) == "graph"), None)
-    for x in graph if graph is not None else ():
-        data = {keys.get(d.get("key"), d.get("key")): d.text or "" for d in x if _tag(d) == "data"}
-        yield _tag(x), x, data
-
-
-def _first(data: dict[str, str], *names: str) -> str:
-    return next((data[n] for n in names if data.get(n)), "")
-
-
-def _graphml_nodes(graph_id: str, text: str):
-    found = [(x, d) for t, x, d in _graphml(text) if t == "node"]
-    for i, (x, d) in enumerate(found):
-        line = d.get("line", "")
-        yield graph_id, i, x.get("id"), _first(d, "kind", "type", "entityType"), _first(d, "name", "label", "title"), d.get("qname", ""), d.get("file", ""), int(line) if line.isdigit() else 0, d
-
-
-def _graphml_edges(graph_id: str, text: str):
-    found = [(x, d) for t, x, d in _graphml(text) if t == "edge"]
-    for i, (x, d) in enumerate(found):
-        yield graph_id, i, x.get("source"), x.get("target"), _first(d, "kind", "predicate", "label"), d
+ELEMENT = "element string, seq long, xml_id string, source string, target string, attrs map<string,string>"
 
 
-def read_graphml(spark: SparkSession, path: str) -> Graph:
-    """GraphML files; undeclared keys keep their id as name, values stay text."""
-    return Graph(_parsed(spark, path, _graphml_nodes, NODE), _parsed(spark, path, _graphml_edges, EDGE))
-
-
-def to_json(g: Graph) -> str:
-    """The document of a graph of driver size."""
-    nodes = [{"id": r["id"], "kind": r["kind"], "name": r["name"] or ""} for r in g.nodes.orderBy("id").collect()]
-    edges = [{"from": r["src"], "to": r["dst"], "kind": r["kind"]} for r in g.edges.orderBy("src", "dst", "kind").collect()]
-    return json.dumps({"version": JSON_VERSION, "nodes": nodes, "edges": edges}, indent=1)
-
-
-def to_graphml(g: Graph) -> str:
-    out = ['<?xml version="1.0" encoding="UTF-8"?>', '<graphml xmlns="http://graphml.graphdrawing.org/xmlns">']
-    out += [f'<key id="{k}" for="{f}" attr.name="{k}" attr.type="string"/>' for f, k in (("node", "kind"), ("node", "name"), ("edge", "ekind"))]
-    out[-1] = out[-1].replace('attr.name="ekind"', 'attr.name="kind"')
-    out.append('<graph edgedefault="directed">')
-    for r in g.nodes.orderBy("id").toLocalIterator():
-        out.append(f"<node id={quoteattr(r['id'])}><data key=\"kind\">{escape(r['kind'] or '')}</data><data key=\"name\">{escape(r['name'] or '')}</data></node>")
-    for r in g.edges.orderBy("src", "dst", "kind").toLocalIterator():
-        out.append(f"<edge source={quoteattr(r['src'])} target={quoteattr(r['dst'])}><data key=\"ekind\">{escape(r['kind'] or '')}</data></edge>")
-    return "\n".join([*out, "</graph>", "</graphml>"])
+def _elements(graph_id: str, text: str):
+    root = ET.fromstring(text)
+    graphs = [x for x in root.iter() if _tag(x) == "graph"]
+    if len(graphs) != 1:
+        raise ValueError(f"a document must have one graph; {graph_id} has {len(graphs)}")
+    keys = {(k.get("for") or "all", k.get("id")): k.get("attr.name") or k.get("id") for k in root.iter() if _tag(k) == "key"}
+    known = {i for _, i in keys}
+    for i, x in enumerate(graphs[0]):
+        kind = _tag(x)
+        if kind not in ("node", "edge"):
+            continue
+        attrs = {}
+        for d in x:
+            if _tag(d) != "data":
+                continue
+            name = keys.get((kind, d.get("key"))) or keys.get(("all", d.get("key")))
+            if name is None and d.get("key") not in known:
+                name = d.get("key")
+            if name is not None:
+                attrs[name] = (d.text or "").strip()
+        yield kind, i, x.get("id") or "", x.get("source"), x.get("target"), attrs
+
+
+def element_rows(spark: SparkSession, path: str) -> DataFrame:
+    """The nodes and edges of GraphML documents: element, seq, xml_id, source, target, attrs. Each document is parsed once."""
+    return _parsed(spark, path, _elements, ELEMENT)
 
 
 def to_edge_list(g: Graph) -> DataFrame:

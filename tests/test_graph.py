@@ -13,7 +13,7 @@ from loomgraph.graph import Graph
 from loomgraph.operators import degrees, linalg, motifs, sets, statistics, traversal
 from loomgraph.operators.components import connected_components
 from loomgraph.plans.scratch import Scratch
-from loomgraph.sources import graphs
+from loomgraph.sources import documents
 from loomgraph.streaming import transitions
 
 
@@ -198,14 +198,51 @@ def test_globs_and_vectors(spark):
     assert (row.role, row.v, row.bad, row.ex) == ("yes", [1.0, 2.5, 3.0], None, True)
 
 
-def test_files_round_trip(spark, tmp_path):
-    g = graph(spark, [("a", "b"), ("b", "c")])
-    (tmp_path / "one.json").write_text(graphs.to_json(g))
-    (tmp_path / "one.graphml").write_text(graphs.to_graphml(g))
-    for back in (graphs.read_json(spark, str(tmp_path / "one.json")), graphs.read_graphml(spark, str(tmp_path / "one.graphml"))):
-        assert rows(back.nodes.select("id", "kind", "name")) == [(x, "function", x) for x in "abc"]
-        assert rows(back.edges.select("src", "dst", "kind")) == [("a", "b", "calls"), ("b", "c", "calls")]
-    assert json.loads(graphs.to_json(g))["version"] == 1
+def full_graph(spark):
+    attrs = [("p", "package", "p<1>", "ex.com/p", "", 0, {}), ("t", "type", 'a "b" & c', "ex.com/p.T", "t.go", 7, {"role": "domain", "foreign": "true"}), ("q", "package", "", "ex.com/q", "", 0, {"note": " x|y "})]
+    nodes = spark.createDataFrame(attrs, "id string, kind string, name string, qname string, file string, line int, attrs map<string,string>")
+    ends = [("p", "t", "contains", {}, 0), ("p", "q", "dependsOn", {"kind": "k"}, 1), ("p", "q", "dependsOn", {"kind": "k"}, 1), ("q", "q", "dependsOn", {}, 2)]
+    return Graph(nodes, spark.createDataFrame(ends, "src string, dst string, kind string, attrs map<string,string>, seq long"))
+
+
+def told(df, *columns):
+    return sorted(map(repr, df.select(*columns).collect()))
+
+
+def test_documents_lose_nothing(spark, tmp_path):
+    g = full_graph(spark)
+    documents.write_json(g, f"{tmp_path}/json")
+    documents.write_lines(g, f"{tmp_path}/lines")
+    (part,) = list((tmp_path / "json").glob("part-*"))
+    doc = json.loads(part.read_text())
+    assert doc["version"] == 1 and [n["id"] for n in doc["nodes"]] == ["p", "q", "t"] and len(doc["edges"]) == 4
+    own, ends = ("id", "kind", "name", "qname", "file", "line", "attrs"), ("src", "dst", "kind", "attrs")
+    for back in (documents.read_json(spark, f"{tmp_path}/json"), documents.read_lines(spark, f"{tmp_path}/lines")):
+        assert told(back.nodes, *own) == told(g.nodes, *own) and told(back.edges, *ends) == told(g.edges, *ends)
+    near = documents.read_json(spark, f"{tmp_path}/json", foreign=False)
+    assert rows(near.nodes.select("id")) == [("p",), ("q",)] and near.edges.count() == 3
+    packages = documents.read_json(spark, f"{tmp_path}/json", granularity="package")
+    assert rows(packages.nodes.select("id")) == [("ex.com/p",), ("ex.com/q",)] and rows(packages.edges.select("src", "dst")) == [("ex.com/p", "ex.com/q")]
+    (tmp_path / "two.json").write_text('{"version": 2, "nodes": [], "edges": []}')
+    with pytest.raises(ValueError):
+        documents.read_json(spark, f"{tmp_path}/two.json")
+
+
+def test_graphml_keys_and_errors(spark, tmp_path):
+    g = full_graph(spark)
+    documents.write_graphml(g, f"{tmp_path}/out")
+    back = documents.read_graphml(spark, f"{tmp_path}/out")
+    got = {r.id: r for r in back.nodes.collect()}
+    assert got["t"].name == 'a "b" & c' and got["t"].qname == "ex.com/p.T" and got["t"].line == 7 and got["t"].attrs["role"] == "domain" and got["q"].attrs["note"] == "x|y"
+    assert rows(back.edges.select("src", "dst")) == [("p", "q"), ("p", "q"), ("p", "t"), ("q", "q")]
+    head = '<graphml><key id="k1" for="node" attr.name="archmotif_id"/><key id="k2" for="edge" attr.name="name"/><graph>'
+    (tmp_path / "a.graphml").write_text(head + '<node id="x"><data key="k1"> own </data><data key="label">L</data><data key="k2">no</data></node><node id="y"/><edge source="x" target="y"><data key="label">uses</data></edge></graph></graphml>')
+    a = documents.read_graphml(spark, f"{tmp_path}/a.graphml")
+    assert rows(a.nodes.select("id", "name")) == [("own", "L"), ("y", "y")] and rows(a.edges.select("src", "dst", "kind")) == [("own", "y", "uses")]
+    for name, body in (("dup", '<graphml><graph><node id="x"/><node id="x"/></graph></graphml>'), ("end", '<graphml><graph><node id="x"/><edge source="x" target="z"/></graph></graphml>')):
+        (tmp_path / f"{name}.graphml").write_text(body)
+        with pytest.raises(ValueError):
+            documents.read_graphml(spark, f"{tmp_path}/{name}.graphml")
 
 
 def test_stream_equals_batch(spark, tmp_path):
