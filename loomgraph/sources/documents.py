@@ -16,7 +16,10 @@ from loomgraph.graph import Graph
 JSON_VERSION = 1
 NODE_JSON = "struct<id:string,kind:string,name:string,qname:string,pos:struct<File:string,Line:int,Col:int>,attrs:map<string,string>>"
 EDGE_JSON = "struct<from:string,to:string,kind:string,attrs:map<string,string>>"
-NO_ATTRS = F.expr("cast(map() as map<string,string>)")
+
+
+def no_attrs() -> Column:
+    return F.expr("cast(map() as map<string,string>)")
 
 
 def with_defaults(g: Graph) -> Graph:
@@ -26,8 +29,8 @@ def with_defaults(g: Graph) -> Graph:
         return df.select(*(F.coalesce(F.col(c), d).alias(c) if c in df.columns else d.alias(c) for c, d in columns.items()))
 
     text, zero = F.lit(""), F.lit(0)
-    nodes = filled(g.nodes, {"id": text, "kind": text, "name": text, "qname": text, "file": text, "line": zero, "col": zero, "attrs": NO_ATTRS})
-    edges = filled(g.edges, {"src": text, "dst": text, "kind": text, "attrs": NO_ATTRS, "seq": zero.cast("long")})
+    nodes = filled(g.nodes, {"id": text, "kind": text, "name": text, "qname": text, "file": text, "line": zero, "col": zero, "attrs": no_attrs()})
+    edges = filled(g.edges, {"src": text, "dst": text, "kind": text, "attrs": no_attrs(), "seq": zero.cast("long")})
     return Graph(nodes, edges)
 
 
@@ -58,12 +61,12 @@ def read_lines(spark: SparkSession, path: str) -> Graph:
 def _nodes(rows: DataFrame) -> DataFrame:
     x = lambda c: F.coalesce(F.col(f"x.{c}"), F.lit(""))
     pos = [F.coalesce("x.pos.File", F.lit("")).alias("file"), F.coalesce("x.pos.Line", F.lit(0)).alias("line"), F.coalesce("x.pos.Col", F.lit(0)).alias("col")]
-    return rows.select(x("id").alias("id"), x("kind").alias("kind"), x("name").alias("name"), x("qname").alias("qname"), *pos, F.coalesce("x.attrs", NO_ATTRS).alias("attrs"))
+    return rows.select(x("id").alias("id"), x("kind").alias("kind"), x("name").alias("name"), x("qname").alias("qname"), *pos, F.coalesce("x.attrs", no_attrs()).alias("attrs"))
 
 
 def _edges(rows: DataFrame) -> DataFrame:
     x = lambda c: F.coalesce(F.col(f"x.{c}"), F.lit(""))
-    return rows.select(x("from").alias("src"), x("to").alias("dst"), x("kind").alias("kind"), F.coalesce("x.attrs", NO_ATTRS).alias("attrs"))
+    return rows.select(x("from").alias("src"), x("to").alias("dst"), x("kind").alias("kind"), F.coalesce("x.attrs", no_attrs()).alias("attrs"))
 
 
 def _document(spark: SparkSession, parts: list[DataFrame], frame: list[tuple[int, str]], path: str, separator: str = "") -> None:

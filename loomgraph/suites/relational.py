@@ -95,12 +95,10 @@ def _(spark, d):
     return rows.agg(F.min("o_orderpriority").alias("first_priority"), F.max("o_orderpriority").alias("last_priority"), listed.alias("orders"))
 
 
-@F.pandas_udf("double")
 def _compound(price: pd.Series, discount: pd.Series, tax: pd.Series) -> pd.Series:
     return price * (1 - discount) * (1 + tax)
 
 
-@F.pandas_udf("double")
 def _spread(x: pd.Series) -> float:
     return float(x.max() - x.min())
 
@@ -109,14 +107,14 @@ def _spread(x: pd.Series) -> float:
 def _(spark, d):
     """A function of the user on columns and one on groups, in Arrow batches; built-in ones are faster where they exist."""
     rows = table(spark, d, "lineitem")
-    total = rows.select(F.col("l_returnflag").alias("flag"), _compound("l_extendedprice", "l_discount", "l_tax").alias("x")).groupBy("flag").agg(F.round(F.sum("x"), 1).alias("total"))
+    compound, spread_of = F.pandas_udf(_compound, "double"), F.pandas_udf(_spread, "double")
+    total = rows.select(F.col("l_returnflag").alias("flag"), compound("l_extendedprice", "l_discount", "l_tax").alias("x")).groupBy("flag").agg(F.round(F.sum("x"), 1).alias("total"))
     # a group is bounded by what one task reads: the spread of spreads would not be the spread, so ends are taken first
     ends = rows.select(F.col("l_returnflag").alias("flag"), "l_linenumber", "l_quantity").groupBy("flag", "l_linenumber").agg(F.min("l_quantity").alias("a"), F.max("l_quantity").alias("b"))
-    spread = ends.select("flag", F.explode(F.array("a", "b")).alias("x")).groupBy("flag").agg(F.round(_spread("x"), 4).alias("spread"))
+    spread = ends.select("flag", F.explode(F.array("a", "b")).alias("x")).groupBy("flag").agg(F.round(spread_of("x"), 4).alias("spread"))
     return total.join(spread, "flag")
 
 
-@F.udtf(returnType="word string, place int")
 class _Words:
     def eval(self, text: str):
         for i, w in enumerate((text or "").split()):
@@ -127,7 +125,7 @@ class _Words:
 def _(spark, d):
     """A table function of the user over the distinct texts of a column."""
     types = table(spark, d, "part").groupBy("p_type").agg(F.count("*").alias("n"))
-    spark.udtf.register("loom_words", _Words)
+    spark.udtf.register("loom_words", F.udtf(_Words, returnType="word string, place int"))
     types.createOrReplaceTempView("loom_types")
     return spark.sql("SELECT w.word, w.place, sum(t.n) AS n FROM loom_types t, LATERAL loom_words(t.p_type) w GROUP BY w.word, w.place")
 
