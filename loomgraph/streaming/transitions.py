@@ -2,12 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
 def windowed_counts(events: DataFrame, width: str = "1 hour", slide: str | None = None, late: str = "2 hours") -> DataFrame:
@@ -20,26 +16,24 @@ def windowed_counts(events: DataFrame, width: str = "1 hour", slide: str | None
     return out.select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "event_type", "events", "total")
 
 
-def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "2 hours") -> DataFrame:
-    """Sessions of each user: session_start, session_end, events."""
+def sessions(events: DataFrame, gap: str = "30 minutes", late: str | None = "2 hours") -> DataFrame:
+    """Sessions of each user: session_start, session_end, events. Without ``late`` no row is too late, and state is kept to the end."""
     ts = events.withColumn("ts", F.col("ts").cast("timestamp"))
-    if events.isStreaming:
+    if events.isStreaming and late:
         ts = ts.withWatermark("ts", late)
     out = ts.groupBy(F.session_window("ts", gap).alias("s"), "user_id").agg(F.count("*").alias("events"))
     return out.select("user_id", F.col("s.start").alias("session_start"), F.col("s.end").alias("session_end"), "events")
 
 
-def _running(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    seen, weight = state.get if state.exists else (0, 0.0)
-    for batch in batches:
-        seen += len(batch)
-        weight += float(batch["value"].sum())
-    state.update((seen, weight))
-    yield pd.DataFrame({"event_type": [key[0]], "events": [seen], "weight": [weight]})
+def running_activation(stream: DataFrame) -> DataFrame:
+    """The number and weight of each node's events so far, kept in Spark's own state store: the event-sourced ``activate``."""
+    return stream.groupBy("event_type").agg(F.count("*").alias("events"), F.coalesce(F.sum("value"), F.lit(0.0)).alias("weight"))
+
 
+def replay(stream: DataFrame, folder: str, checkpoint: str, mode: str = "append") -> None:
+    """Run a stream over all that its source has now and end: each batch is written to ``folder``, or replaces it in complete mode."""
 
-def running_activation(stream: DataFrame) -> DataFrame:
-    """The number and weight of each node's events so far, kept in state: the event-sourced ``activate``."""
-    return stream.select("event_type", "value").groupBy("event_type").applyInPandasWithState(
-        _running, "event_type string, events long, weight double", "seen long, weight double", "update", GroupStateTimeout.NoTimeout
-    )
+    def put(batch: DataFrame, _: int) -> None:
+        batch.write.mode("overwrite" if mode == "complete" else "append").parquet(folder)
+
+    stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(put).start().awaitTermination()

@@ -161,3 +161,64 @@ def _(spark, d):
     s = table(spark, d, "supplier").select(F.col("s_nationkey").alias("k"), F.lit("BUILDING").alias("s"))
     count = lambda df, side: df.agg(F.lit(side).alias("side"), F.count("*").alias("n"))
     return count(c.intersect(s), "both").unionByName(count(c.select("k").subtract(s.select("k")), "customers only")).unionByName(count(c.select("k").union(s.select("k")).distinct(), "any"))
+
+
+# --- streams ----------------------------------------------------------------------------------
+
+
+def _stream(spark, d):
+    """The event log as a stream of four files, one a batch."""
+    events, folder = table(spark, d, "events"), Scratch(spark).path("source")
+    events.repartition(4).write.parquet(folder)
+    return spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+
+
+def _replayed(spark, stream, mode: str):
+    from loomgraph.streaming.transitions import replay
+
+    scratch = Scratch(spark)
+    folder = scratch.path("replayed")
+    replay(stream, folder, scratch.path("checkpoint"), mode)
+    return spark.read.parquet(folder)
+
+
+@query("stream_windows", "SELECT time_bucket(INTERVAL '1 hour', ts) AS window_start, event_type, count(*)::BIGINT AS events, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
+def _(spark, d):
+    """Tumbling windows over the event log read as a stream; complete mode, so no window waits for the watermark."""
+    from loomgraph.streaming.transitions import windowed_counts
+
+    out = _replayed(spark, windowed_counts(_stream(spark, d)), "complete")
+    return out.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "event_type", "events", F.round("total", 4).alias("total"))
+
+
+@query("stream_sliding", "WITH s AS (SELECT time_bucket(INTERVAL '1 hour', ts) - o * INTERVAL '1 hour' AS w, event_type FROM events, (VALUES (0), (1)) v(o)) SELECT w AS window_start, event_type, count(*)::BIGINT AS events FROM s GROUP BY 1, 2")
+def _(spark, d):
+    """Windows of two hours every hour."""
+    from loomgraph.streaming.transitions import windowed_counts
+
+    out = _replayed(spark, windowed_counts(_stream(spark, d), "2 hours", "1 hour"), "complete")
+    return out.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "event_type", "events")
+
+
+@query(
+    "stream_sessions",
+    "WITH g AS (SELECT user_id, ts, CASE WHEN lag(ts) OVER w IS NULL OR ts >= lag(ts) OVER w + INTERVAL '30 minutes' THEN 1 ELSE 0 END AS first FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), s AS (SELECT *, sum(first) OVER (PARTITION BY user_id ORDER BY ts RANGE UNBOUNDED PRECEDING) AS n FROM g) SELECT user_id, min(ts) AS session_start, count(*)::BIGINT AS events FROM s GROUP BY user_id, n",
+)
+def _(spark, d):
+    from loomgraph.streaming.transitions import sessions
+
+    out = _replayed(spark, sessions(_stream(spark, d), late=None), "complete")
+    return out.select("user_id", F.col("session_start").cast("timestamp_ntz").alias("session_start"), "events")
+
+
+@query("stream_activation", "SELECT event_type, count(*)::BIGINT AS events, round(sum(value), 4) AS weight FROM events GROUP BY 1")
+def _(spark, d):
+    from loomgraph.streaming.transitions import running_activation
+
+    return _replayed(spark, running_activation(_stream(spark, d)), "complete").select("event_type", "events", F.round("weight", 4).alias("weight"))
+
+
+@query("stream_distinct", "SELECT event_type, count(DISTINCT user_id)::BIGINT AS users FROM events GROUP BY 1")
+def _(spark, d):
+    """Repeated (type, user) rows of a stream are dropped in its state."""
+    return _replayed(spark, _stream(spark, d).select("event_type", "user_id").dropDuplicates(["event_type", "user_id"]), "append").groupBy("event_type").agg(F.count("*").alias("users"))
