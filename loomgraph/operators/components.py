@@ -1,9 +1,13 @@
-"""Connected components by alternating star contraction.
+"""Connected components by hooking to the smallest grandparent and shortcutting.
 
-Each round rewires every edge to the smallest neighbour (large star), then every node to its
-smallest smaller neighbour (small star). The number of rounds grows with the logarithm of the
-diameter, each is two aggregations and two joins over at most the input's edges, and nothing but
-a count and a checksum reaches the driver.
+Every node has a parent, at first itself. In a round each node looks at its neighbours' grandparents
+and takes the smallest for itself and for its parent, and its own grandparent if that is smaller. The
+number of rounds grows with about the logarithm of the diameter.
+
+A hub, or the root of a very large component, is one key of very many rows in two places only: the
+join of edges with their far ends, and that of nodes with their parents. Both are joins of written
+tables, whose large partitions Spark splits; all else is summed up before it is shuffled or has a
+row for each node. Nothing but a count and a checksum reaches the driver.
 """
 
 from __future__ import annotations
@@ -14,18 +18,6 @@ from pyspark.sql import functions as F
 from loomgraph.plans.scratch import Scratch, fixpoint
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
-    both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-
-
-def _small_star(edges: DataFrame) -> DataFrame:
-    least = edges.groupBy("u").agg(F.min("v").alias("m"))
-    moved = edges.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return moved.unionByName(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
-
-
 #: What tells one state of a loop from the next: the number of rows and a checksum of them.
 def checksum(*columns: str) -> tuple[Column, Column]:
     return F.count(F.lit(1)), F.sum(F.xxhash64(*columns).cast("decimal(38,0)"))
@@ -37,10 +29,17 @@ def connected_components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     Returns (node, component). Self loops make a node known; null ends are ignored.
     """
     known = edges.where("u is not null and v is not null").select("u", "v")
-    loops = known.where("u = v").select(F.col("u").alias("node")).distinct()
-    start = known.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-    stars = fixpoint(scratch, start, lambda e: _small_star(_large_star(e)), checksum("u", "v"))
-    members = stars.select(F.col("u").alias("node"), F.col("v").alias("component"))
-    roots = stars.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
-    found = members.unionByName(roots)
-    return found.unionByName(loops.join(found.select("node"), "node", "left_anti").select("node", F.col("node").alias("component")))
+    pairs = F.explode(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))).alias("e")
+    ends = scratch.save(known.select(pairs).select("e.u", "e.v").distinct(), "ends")
+    # the first round is known: the smallest neighbour
+    start = ends.groupBy(F.col("u").alias("id")).agg(F.min("v").alias("v")).select("id", F.least("id", "v").alias("f"))
+
+    def hook(state: DataFrame) -> DataFrame:
+        grand = state.join(state.select(F.col("id").alias("f"), F.col("f").alias("g")), "f").select("id", "f", "g")
+        near = ends.join(grand.select(F.col("id").alias("v"), "g"), "v").groupBy(F.col("u").alias("id")).agg(F.min("g").alias("m"))
+        seen = scratch.save(grand.join(near, "id").select("id", "f", "g", "m"), "seen")
+        hooked = seen.groupBy("f").agg(F.min("m").alias("h")).withColumnRenamed("f", "id")
+        return seen.join(hooked, "id", "left").select("id", F.least("f", "g", "m", "h").alias("f"))
+
+    found = fixpoint(scratch, start, hook, checksum("id", "f"))
+    return found.select(F.col("id").alias("node"), F.col("f").alias("component"))

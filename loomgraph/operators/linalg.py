@@ -1,8 +1,10 @@
 """Dense kernels for graphs of kernel size: spectra, trophic levels, articulation, k-means, clustering.
 
 A dense decomposition needs its whole matrix in one place, so kernels run as ``applyInPandas`` over
-a weak component each, and refuse more than ``MOST_NODES`` nodes. Vector operators (k-means steps,
-silhouette) are DataFrame aggregations and have no such bound.
+a weak component each, and refuse more than ``MOST_NODES`` nodes. Beyond that there are forms by joins:
+``summary_by_joins`` and ``moments_by_joins`` of a spectrum, ``louvain_by_joins``, and
+``spectral.power_radius``. Vector operators (k-means steps, silhouette) are DataFrame aggregations and
+have no such bound.
 """
 
 from __future__ import annotations
@@ -13,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph.graph import Graph
+from loomgraph.operators.motifs import triangles
 from loomgraph.operators.traversal import components
 from loomgraph.plans.scratch import Scratch
 
@@ -65,6 +68,28 @@ def spectral_summary(spectrum: DataFrame) -> DataFrame:
     return spectrum.agg(F.count("*").alias("nodes"), zeros.alias("components"), F.sum("eigenvalue").alias("total"), F.coalesce(second, F.lit(0.0)).alias("lambda2"), F.max("eigenvalue").alias("radius"))
 
 
+def fits_kernel(g: Graph, scratch: Scratch) -> bool:
+    """Whether every weak component has at most MOST_NODES nodes."""
+    largest = components(g, scratch).groupBy("component").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0]
+    return (largest or 0) <= MOST_NODES
+
+
+def summary_by_joins(g: Graph, scratch: Scratch) -> DataFrame:
+    """nodes, components and total of the Laplacian's spectrum without decomposing it: one zero a component, and the trace."""
+    parts = components(g, scratch).agg(F.count("*").alias("nodes"), F.countDistinct("component").alias("components"))
+    return parts.crossJoin(F.broadcast(g.undirected().agg((2.0 * F.count("*")).alias("total"))))
+
+
+def moments_by_joins(g: Graph) -> DataFrame:
+    """nodes, m1, m2, m3: sums of the Laplacian's eigenvalues and of their squares and cubes, from degrees and triangles."""
+    pairs = g.undirected()
+    d = pairs.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").cast("double").alias("d"))
+    x = F.col("d")
+    sums = d.agg(F.sum(x).alias("m1"), F.sum(x * x + x).alias("m2"), F.sum(x * x * x + 3 * x * x).alias("c"))
+    nodes, three = g.nodes.agg(F.count("*").alias("nodes")), triangles(pairs).agg(F.count("*").alias("t"))
+    return nodes.crossJoin(F.broadcast(sums)).crossJoin(F.broadcast(three)).select("nodes", "m1", "m2", (F.col("c") - 6 * F.col("t")).alias("m3"))
+
+
 def trophic_levels(g: Graph, scratch: Scratch) -> DataFrame:
     """Heights h with L h = in - out for each weak component, the least being 0: id, height."""
 
@@ -182,6 +207,48 @@ def louvain(g: Graph, scratch: Scratch, passes: int = 20, resolution: float = 1.
     return per_component(g, scratch, kernel, "id string, community string")
 
 
+def louvain_by_joins(g: Graph, scratch: Scratch, resolution: float = 1.0, passes: int = 20) -> DataFrame:
+    """Communities by greedy modularity, whatever the size: id, community (its smallest member).
+
+    Every round computes each node's best community from sums over (node, community) and moves half of
+    the nodes, by hash, that gain by it; after a pass communities become the nodes of a smaller weighted
+    graph, until a pass moves nothing. Moves are made side by side, so the parts may differ from the
+    sequential ones.
+    """
+    near = g.neighbours().select(F.col("id").alias("a"), F.col("other").alias("b"), F.lit(1.0).alias("w"))
+    near = scratch.save(near, "near")
+    total = near.agg(F.sum("w")).first()[0] or 0.0
+    member = scratch.save(g.nodes.select("id", F.col("id").alias("c")), "member")
+    while total:
+        degree = scratch.save(near.groupBy("a").agg(F.sum("w").alias("d")), "degree")
+        own = scratch.save(degree.select("a", "d", F.col("a").alias("c")), "own")
+        any_moved = False
+        for turn in range(passes):
+            links = near.where("a <> b").join(own.select(F.col("a").alias("b"), "c"), "b").groupBy("a", "c").agg(F.sum("w").alias("k"))
+            sums = own.groupBy("c").agg(F.sum("d").alias("t"))
+            here = own.select("a", "d", F.col("c").alias("old"))
+            stay = own.select("a", "c", F.lit(0.0).alias("k"))  # a node may have no link into its own community
+            options = links.unionByName(stay).groupBy("a", "c").agg(F.sum("k").alias("k")).join(here, "a").join(sums, "c")
+            rest = F.col("t") - F.when(F.col("c") == F.col("old"), F.col("d")).otherwise(0.0)
+            gain = F.col("k") - resolution * F.col("d") * rest / F.lit(total)
+            best = options.withColumn("gain", gain).groupBy("a").agg(F.max(F.when(F.col("c") == F.col("old"), F.col("gain"))).alias("now"), F.min(F.struct((-F.col("gain")).alias("g"), "c")).alias("b"), F.first("old").alias("old"), F.first("d").alias("d"))
+            better = -F.col("b.g") > F.col("now") + 1e-12
+            turns = F.pmod(F.xxhash64("a", F.lit(turn)), F.lit(2)) == 0
+            after = best.select("a", "d", F.when(better & turns, F.col("b.c")).otherwise(F.col("old")).alias("c"), (better & turns).cast("long").alias("moved"), better.cast("long").alias("would"))
+            after, (moved, would) = scratch.save_seen(after, "own", F.sum("moved"), F.sum("would"))
+            own = after.select("a", "d", "c")
+            any_moved |= bool(moved)
+            if not would:
+                break
+        if not any_moved:
+            break
+        member = scratch.save(member.join(own.select(F.col("a").alias("c"), F.col("c").alias("n")), "c", "left").select("id", F.coalesce("n", "c").alias("c")), "member")
+        ends = near.join(own.select("a", F.col("c").alias("x")), "a").join(own.select(F.col("a").alias("b"), F.col("c").alias("y")), "b")
+        near = scratch.save(ends.groupBy(F.col("x").alias("a"), F.col("y").alias("b")).agg(F.sum("w").alias("w")), "near")
+    first = member.groupBy("c").agg(F.min("id").alias("community"))
+    return member.join(first, "c").select("id", "community")
+
+
 def spectral_bisection(g: Graph, scratch: Scratch) -> DataFrame:
     """The sides of each component by the sign of the Fiedler vector: id, side of its smallest member first."""
 

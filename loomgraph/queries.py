@@ -593,14 +593,24 @@ def _(spark, d):
     return linalg.kmeans(_vectors(spark, d), 4, Scratch(spark), rounds=0).select("id", "cluster")
 
 
-@query("kmeans")
+def _kmeans_sql(rounds: int) -> str:
+    out = ["v AS (SELECT vec_id AS id, embedding::DOUBLE[] AS vec FROM embeddings)", "c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY id) - 1 AS cluster, vec AS centroid FROM (FROM v ORDER BY id LIMIT 4))"]
+    for i in range(rounds + 1):
+        out.append(f"x{i} AS MATERIALIZED (SELECT id, arg_min(cluster, (dd, cluster)) AS cluster, min(dd) AS dd FROM (SELECT id, cluster, list_sum(list_transform(list_zip(vec, centroid), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS dd FROM v, c{i}) GROUP BY id)")
+        cells = f"SELECT cluster, i, avg(e) AS e FROM (SELECT cluster, unnest(vec) AS e, unnest(range(len(vec))) AS i FROM v JOIN x{i} USING (id)) GROUP BY cluster, i"
+        out.append(f"c{i + 1} AS MATERIALIZED (SELECT c{i}.cluster, coalesce(m.mean, c{i}.centroid) AS centroid FROM c{i} LEFT JOIN (SELECT cluster, list(e ORDER BY i) AS mean FROM ({cells}) GROUP BY cluster) m USING (cluster))")
+    return "WITH " + ", ".join(out) + f" SELECT cluster::INTEGER AS cluster, count(*)::BIGINT AS members, round(sum(dd), 4) AS inertia FROM x{rounds} GROUP BY cluster"
+
+
+@query("kmeans", _kmeans_sql(4))
 def _(spark, d):
     return linalg.kmeans(_vectors(spark, d), 4, Scratch(spark), rounds=4).groupBy("cluster").agg(F.count("*").alias("members"), F.round(F.sum("distance"), 4).alias("inertia"))
 
 
 @query("laplacian_spectrum", with_(PARTS, sql.UNDIRECTED, "walk AS (SELECT id, id AS c FROM nodes UNION SELECT b.other, w.c FROM walk w JOIN both_ways b ON w.id = b.id WHERE w.c < b.other)", recursive=True) + ", p AS (SELECT id, min(c) AS c FROM walk GROUP BY id) SELECT count(*)::BIGINT AS nodes, count(DISTINCT c)::BIGINT AS components, round((SELECT 2 * count(*) FROM und), 4)::DOUBLE AS total FROM p")
 def _(spark, d):
-    s = linalg.spectral_summary(linalg.laplacian_spectrum(derive.cooccurrence(spark, d), Scratch(spark)))
+    g, scratch = derive.cooccurrence(spark, d), Scratch(spark)
+    s = linalg.spectral_summary(linalg.laplacian_spectrum(g, scratch)) if linalg.fits_kernel(g, scratch) else linalg.summary_by_joins(g, scratch)
     return s.select("nodes", "components", F.round("total", 4).alias("total"))
 
 
@@ -625,14 +635,42 @@ def _(spark, d):
     return linalg.articulation_points(derive.cooccurrence(spark, d), Scratch(spark))
 
 
-@query("eigen_centrality")
+@query(
+    "articulation_services",
+    with_(
+        sql.SERVICES,
+        sql.UNDIRECTED,
+        "w0 AS (SELECT id, id AS c FROM nodes UNION SELECT b.other, w.c FROM w0 w JOIN both_ways b ON w.id = b.id WHERE w.c < b.other)",
+        "walk AS (SELECT x.id AS gone, n.id, n.id AS c FROM nodes x, nodes n WHERE x.id <> n.id UNION SELECT w.gone, b.other, w.c FROM walk w JOIN both_ways b ON w.id = b.id AND b.other <> w.gone WHERE w.c < b.other)",
+        recursive=True,
+    )
+    + """, root AS (SELECT id AS gone, min(c) AS r FROM w0 GROUP BY id), p AS (SELECT gone, id, min(c) AS c FROM walk GROUP BY gone, id),
+first AS (SELECT id AS gone, min(other) AS f FROM both_ways GROUP BY id), near AS (SELECT DISTINCT p.gone, p.c FROM p JOIN both_ways b ON b.id = p.gone AND b.other = p.id),
+size AS (SELECT p.gone, p.c, count(*) AS n, max(p.id = r) AS has_root, max(p.id = f) AS has_first, max(p.gone = r) AS is_root FROM p JOIN near USING (gone, c) JOIN root USING (gone) JOIN first USING (gone) GROUP BY p.gone, p.c),
+cut AS (SELECT gone FROM size GROUP BY gone HAVING count(*) > 1)
+SELECT gone AS id, max(n)::BIGINT AS guarded FROM size JOIN cut USING (gone) WHERE CASE WHEN is_root THEN NOT has_first ELSE NOT has_root END GROUP BY gone""",
+)
+def _(spark, d):
+    return linalg.articulation_points(derive.services(spark, d), Scratch(spark))
+
+
+def power_sql(rounds: int) -> str:
+    """Power steps from equal entries; the nations that trade form one component."""
+    out = [NATIONS, sql.UNDIRECTED, "x0 AS MATERIALIZED (SELECT id, 1 / sqrt(count(*) OVER ()) AS x FROM (SELECT DISTINCT id FROM both_ways))"]
+    for i in range(rounds):
+        out.append(f"y{i} AS MATERIALIZED (SELECT b.id, sum(x) AS y FROM both_ways b JOIN x{i} ON b.other = x{i}.id GROUP BY b.id), x{i + 1} AS MATERIALIZED (SELECT id, y / sqrt((SELECT sum(y * y) FROM y{i})) AS x FROM y{i})")
+    return "WITH " + ",\n".join(out) + f" SELECT id, round(x, 6) AS centrality FROM x{rounds}"
+
+
+@query("eigen_centrality", power_sql(100))
 def _(spark, d):
-    return linalg.eigen_centrality(derive.nations(spark, d), Scratch(spark))
+    return linalg.eigen_centrality(derive.nations(spark, d), Scratch(spark)).select("id", *r6("centrality"))
 
 
 @query("louvain")
 def _(spark, d):
-    return linalg.louvain(derive.cooccurrence(spark, d), Scratch(spark))
+    g, scratch = derive.cooccurrence(spark, d), Scratch(spark)
+    return linalg.louvain(g, scratch) if linalg.fits_kernel(g, scratch) else linalg.louvain_by_joins(g, scratch)
 
 
 @query("spectral_bisection")
@@ -769,7 +807,10 @@ def _(spark, d):
     return records.best_per_group(e.unionByName(e.withColumn("seq", F.col("seq") + 10)))
 
 
-@query("conflict_free_proposals")
+@query(
+    "conflict_free_proposals",
+    with_(NATIONS, "o AS (SELECT row_number() OVER (ORDER BY n DESC, concat(src, '>', dst)) AS r, concat(src, '>', dst) AS id, n::DOUBLE AS score, [src, dst] AS members FROM edges)", "g AS (SELECT 0::BIGINT AS r, []::VARCHAR[] AS taken, '' AS id, 0::DOUBLE AS score, false AS kept UNION ALL SELECT o.r, CASE WHEN list_has_any(taken, members) THEN taken ELSE list_concat(taken, members) END, o.id, o.score, NOT list_has_any(taken, members) FROM g JOIN o ON o.r = g.r + 1)", recursive=True) + "SELECT id, score FROM g WHERE kept",
+)
 def _(spark, d):
     e = derive.nations(spark, d).edges
     return records.without_conflicts(e.select(F.concat_ws(">", "src", "dst").alias("id"), F.col("n").cast("double").alias("score"), F.array("src", "dst").alias("members")), Scratch(spark)).select("id", "score")

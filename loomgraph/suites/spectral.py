@@ -24,7 +24,8 @@ def _(spark, d):
 
 @query("part_laplacian_moments", with_(PARTS, sql.UNDIRECTED) + DEGREES + TRIANGLES + " SELECT count(*)::BIGINT AS nodes, round(sum(d), 2)::DOUBLE AS m1, round(sum(d * d + d), 2)::DOUBLE AS m2, (sum(d * d * d + 3 * d * d) - 6 * max(t))::BIGINT AS m3 FROM dg, tr")
 def _(spark, d):
-    out = spectral.moments(linalg.laplacian_spectrum(derive.cooccurrence(spark, d), Scratch(spark)))
+    g, s = derive.cooccurrence(spark, d), Scratch(spark)
+    out = spectral.moments(linalg.laplacian_spectrum(g, s)) if linalg.fits_kernel(g, s) else linalg.moments_by_joins(g)
     return out.select("nodes", F.round("m1", 2).alias("m1"), F.round("m2", 2).alias("m2"), F.round("m3").cast("long").alias("m3"))
 
 
@@ -72,19 +73,6 @@ def _(spark, d):
     return spectral.center(g, traversal.components(g, s), s)
 
 
-def _power_sql(rounds: int) -> str:
-    out = [NATIONS, sql.UNDIRECTED, f"x0 AS MATERIALIZED (SELECT id, 1 / sqrt(count(*) OVER ()) AS x FROM (SELECT DISTINCT id FROM both_ways))"]
-    for i in range(rounds):
-        out.append(f"y{i} AS MATERIALIZED (SELECT b.id, sum(x) AS y FROM both_ways b JOIN x{i} ON b.other = x{i}.id GROUP BY b.id), x{i + 1} AS MATERIALIZED (SELECT id, y / sqrt((SELECT sum(y * y) FROM y{i})) AS x FROM y{i})")
-    return "WITH " + ",\n".join(out) + f" SELECT id, round(x, 6) AS centrality FROM x{rounds}"
-
-
-@query("power_centrality", _power_sql(25))
-def _(spark, d):
-    """25 power steps from equal entries; the nations that trade form one component."""
-    return linalg.eigen_centrality(derive.nations(spark, d), Scratch(spark), rounds=25).select("id", *r6("centrality"))
-
-
 @query("spectral_report", with_(NATIONS, sql.UNDIRECTED) + DEGREES + " SELECT count(*) FILTER (d > 0)::BIGINT AS nodes, true AS bounded, true AS found FROM dg")
 def _(spark, d):
     """lambda2 is at most n / (n - 1) times the least degree; Q at the gap's k lies in its range and k among the values."""
@@ -177,6 +165,31 @@ def _(spark, d):
     return top.crossJoin(F.broadcast(start)).select((F.col("total") > 0.99).alias("whole"), (F.col("top") == F.col("id")).alias("ranked"))
 
 
+@query("moments_by_joins", with_(PARTS, sql.UNDIRECTED) + DEGREES + TRIANGLES + " SELECT count(*)::BIGINT AS nodes, round(sum(d), 2)::DOUBLE AS m1, round(sum(d * d + d), 2)::DOUBLE AS m2, (sum(d * d * d + 3 * d * d) - 6 * max(t))::BIGINT AS m3 FROM dg, tr")
+def _(spark, d):
+    out = linalg.moments_by_joins(derive.cooccurrence(spark, d))
+    return out.select("nodes", F.round("m1", 2).alias("m1"), F.round("m2", 2).alias("m2"), F.round("m3").cast("long").alias("m3"))
+
+
+@query("summary_by_joins", with_(TREE, sql.UNDIRECTED) + ", r AS (SELECT count(*) AS n FROM nodes WHERE kind = 'package') SELECT (SELECT count(*) FROM nodes)::BIGINT AS nodes, max(n)::BIGINT AS components, 2.0::DOUBLE * count(*) AS total FROM und, r")
+def _(spark, d):
+    """The containment forest has a tree for each region."""
+    return linalg.summary_by_joins(derive.containment(spark, d), Scratch(spark))
+
+
+@query("louvain_quality", with_(NATIONS, sql.UNDIRECTED) + " SELECT (SELECT count(*) FROM nodes)::BIGINT AS nodes, true AS better, true AS agree FROM und LIMIT 1")
+def _(spark, d):
+    """Communities by kernel and by joins: both are above each node alone, and neither far below the other."""
+    from loomgraph.operators import degrees
+
+    g, s = derive.nations(spark, d), Scratch(spark)
+    q = lambda parts, name: degrees.modularity(Graph(g.nodes.select("id").join(parts, "id", "left").select("id", F.coalesce("community", "id").alias("grp")), g.edges)).select(F.col("q").alias(name))
+    alone = degrees.modularity(Graph(g.nodes.select("id", F.col("id").alias("grp")), g.edges)).select(F.col("q").alias("x"))
+    joined = s.save(linalg.louvain_by_joins(g, s), "communities")
+    rows = q(linalg.louvain(g, s), "a").crossJoin(F.broadcast(q(joined, "b"))).crossJoin(F.broadcast(alone)).crossJoin(F.broadcast(joined.agg(F.count("*").alias("nodes"))))
+    return rows.select("nodes", ((F.col("a") > F.col("x")) & (F.col("b") > F.col("x"))).alias("better"), (F.abs(F.col("a") - F.col("b")) < 0.1).alias("agree"))
+
+
 @query("power_radius", with_(TREE) + " SELECT true AS near FROM nodes LIMIT 1")
 def _(spark, d):
     """The radius by joins is the kernels' radius."""
