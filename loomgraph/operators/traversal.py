@@ -134,8 +134,8 @@ def strong_components(nodes: DataFrame, pairs: DataFrame, scratch: Scratch) -> D
     Nodes at the ends of paths are peeled off first. The rest is solved by colours: each node takes
     the smallest id that reaches it and the smallest id that it reaches, both in one pass; the nodes
     of which both are the same id form that id's component, and are taken out. Colours jump: a node
-    also takes its colour's colour, so rounds grow with the logarithm of a path where ids allow it.
-    No closure is built.
+    also takes its colour's colour, so rounds grow with the logarithm of a path along which ids rise,
+    and at worst with the path (a plain cycle, against its ids). No closure is built.
     """
     left = _peel(scratch.save(pairs.where("src <> dst").select("src", "dst").distinct(), "pairs"), scratch)
     done: DataFrame | None = None

@@ -37,15 +37,18 @@ def rows(df):
     return sorted(map(tuple, df.collect()), key=repr)
 
 
-def test_every_command_runs(spark, small, tmp_path):
+def test_commands_on_a_document(spark, small, tmp_path):
     path = f"{tmp_path}/g.graphml"
     write_graphml(small, path)
     (tmp_path / "rules").write_text(json.dumps({"partition": "role", "allow": [{"from": "infrastructure", "to": "domain"}]}))
     (tmp_path / "skeleton").write_text(json.dumps({"target_subgraph": {"roles": [{"id": "t", "kind": "type"}, {"id": "x", "kind": "method"}], "edges": [{"from": "t", "to": "x", "kind": "contains"}]}}))
     more = {"policy": {"rules": str(tmp_path / "rules")}, "verify": {"skeleton": str(tmp_path / "skeleton")}, "diff": {"after": path}, "drift": {"after": path}, "calculate": {"name": "cycles"}, "ppr": {"seeds": "f"}, "region": {"seeds": "f"}, "metrics": {"names": "components,scc,nothing"}, "graphml-scan": {"names": "orphan_bucket,hierarchy_cycle"}}
     found = {}
-    for name in ("graph", "metrics", "policy", "verify", "diff", "calculate", "ppr", "contracts", "coupling", "diagram", "export", "pkg-graph", "graphml-scan", "patterns", "view", "quotient"):
-        found[name] = commands.run(spark, name, path, more.get(name, {"partition": "role"} if name == "quotient" else {})).collect()
+    whole = commands.read_graph(spark, path)
+    s = Scratch(spark)
+    whole = Graph(s.save(whole.nodes, "nodes"), s.save(whole.edges, "edges"))
+    for name in ("graph", "metrics", "policy", "verify", "diff", "calculate", "ppr", "contracts", "coupling", "diagram", "export", "pkg-graph", "patterns", "view", "quotient"):
+        found[name] = commands.COMMANDS[name](whole, s, more.get(name, {"partition": "role"} if name == "quotient" else {})).collect()
     assert sum(r.n for r in found["graph"]) == len(NODES) + len(EDGES)
     assert {(r.metric, r.scope): r.value for r in found["metrics"]} == {("components", "graph"): 1.0, ("scc", "graph"): 4.0, ("nothing", "error"): None}
     assert sorted((r.src, r.dst) for r in found["policy"]) == [("p", "T"), ("p", "q"), ("q", "f")] and found["diff"] == []
@@ -103,16 +106,17 @@ def test_configuration(tmp_path):
 
 
 def test_long_paths_are_not_cut(spark):
-    n = 60
-    g = graph(spark, [(f"n{i:03}", f"n{i + 1:03}") for i in range(n)])
     s = Scratch(spark)
-    assert traversal.acyclic(g.nodes, g.directed(), s).first().acyclic
-    end = {r.id: r for r in traversal.shortest_paths(g.directed(), "n000", s).collect()}
-    assert len(end) == n + 1 and end[f"n{n:03}"].hops == n and end[f"n{n:03}"].path == [f"n{i:03}" for i in range(n + 1)]
-    assert traversal.closure(g.directed(), s).count() == n * (n + 1) // 2
-    loop = graph(spark, [(f"n{i:03}", f"n{(i + 1) % n:03}") for i in range(n)])
+    ids = [f"n{i:04}" for i in range(1001)]
+    path = graph(spark, list(zip(ids, ids[1:])))
+    assert traversal.acyclic(path.nodes, path.directed(), s).first().acyclic
+    loop = graph(spark, [*zip(ids[:40], ids[1:40]), (ids[39], ids[0])])
     assert not traversal.acyclic(loop.nodes, loop.directed(), s).first().acyclic
-    assert {r.scc for r in traversal.strong_components(loop.nodes, loop.directed(), s).collect()} == {"n000"}
+    n = 66
+    short = graph(spark, list(zip(ids[:n], ids[1 : n + 1])))
+    end = {r.id: r for r in traversal.shortest_paths(short.directed(), ids[0], s).collect()}
+    assert len(end) == n + 1 and end[ids[n]].hops == n and end[ids[n]].path == ids[: n + 1]
+    assert traversal.closure(short.directed(), s).count() == n * (n + 1) // 2
 
 
 def test_layer_mask_and_broken_metrics(spark, monkeypatch):

@@ -257,7 +257,7 @@ def test_stream_equals_batch(spark, tmp_path):
 
 
 def test_oracle_queries_on_the_small_table(spark):
-    """Every graph query against its SQL, on the smallest tables."""
+    """A query of each kind against its SQL, on the smallest tables; the driver runs all of them."""
     import duckdb
 
     from loomgraph import queries
@@ -266,7 +266,7 @@ def test_oracle_queries_on_the_small_table(spark):
     for t in ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "embeddings"):
         con.execute(f"create view {t} as select * from '{base}/{t}.parquet'")
     clean = lambda v: round(v, 6) + 0.0 if isinstance(v, float) else v
-    for name in ("flagship_instability", "quotient_distinct", "modularity_labels", "policy_residual", "curvature", "graph_diff", "strong_components", "pagerank"):
+    for name in ("flagship_instability", "quotient_distinct", "modularity_labels", "policy_residual", "curvature", "graph_diff", "strong_components", "pagerank", "dangling_edges", "role_coupling", "motif_groups_4", "patch_validation", "silhouette", "contracts_diff", "package_projection"):
         found = queries.QUERIES[name](spark, base)
         cur = con.execute(queries.ORACLES[name])
         names = [d[0] for d in cur.description]
