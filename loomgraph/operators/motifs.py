@@ -16,9 +16,9 @@ def oriented(pairs: DataFrame) -> DataFrame:
     return rows.select(F.when(first, F.col("a")).otherwise(F.col("b")).alias("lo"), F.when(first, F.col("b")).otherwise(F.col("a")).alias("hi"), "da", "db", "a", "b")
 
 
-def triangles(pairs: DataFrame) -> DataFrame:
-    """Every triangle once, as (x, y, z) in ascending order."""
-    e = oriented(pairs).select("lo", "hi")
+def triangles(pairs: DataFrame, e: DataFrame | None = None) -> DataFrame:
+    """Every triangle once, as (x, y, z) in ascending order; ``e`` is ``oriented(pairs)`` where that is at hand."""
+    e = (oriented(pairs) if e is None else e).select("lo", "hi")
     wedge = e.join(e.select("lo", F.col("hi").alias("far")), "lo").where("hi < far")
     known = pairs.select(F.col("a").alias("hi"), F.col("b").alias("far"))
     found = wedge.join(known, ["hi", "far"])
@@ -26,19 +26,23 @@ def triangles(pairs: DataFrame) -> DataFrame:
     return found.select(ordered[0].alias("x"), ordered[1].alias("y"), ordered[2].alias("z"))
 
 
+def _sides(pairs: DataFrame, e: DataFrame) -> DataFrame:
+    """(a, b, t) of the pairs that are a side of triangles."""
+    side = lambda p, q: F.struct(F.col(p).alias("a"), F.col(q).alias("b"))
+    sides = triangles(pairs, e).select(F.explode(F.array(side("x", "y"), side("x", "z"), side("y", "z"))).alias("s"))
+    return sides.groupBy("s.a", "s.b").agg(F.count("*").alias("t"))
+
+
 def edge_triangles(pairs: DataFrame) -> DataFrame:
     """(a, b, triangles) of every undirected pair."""
-    t = triangles(pairs)
-    sides = t.select(F.explode(F.array(F.struct(F.col("x").alias("a"), F.col("y").alias("b")), F.struct(F.col("x").alias("a"), F.col("z").alias("b")), F.struct(F.col("y").alias("a"), F.col("z").alias("b")))).alias("s"))
-    counts = sides.groupBy("s.a", "s.b").agg(F.count("*").alias("t"))
-    return pairs.join(counts, ["a", "b"], "left").select("a", "b", F.coalesce("t", F.lit(0)).alias("triangles"))
+    return pairs.join(_sides(pairs, oriented(pairs)), ["a", "b"], "left").select("a", "b", F.coalesce("t", F.lit(0)).alias("triangles"))
 
 
 def curvature(pairs: DataFrame) -> DataFrame:
     """Forman-Ricci curvature of each pair: 4 - d(a) - d(b) + 3 triangles."""
-    e = oriented(pairs).select("a", "b", "da", "db")
-    t = edge_triangles(pairs)
-    return e.join(t, ["a", "b"]).select("a", "b", "triangles", (4 - F.col("da") - F.col("db") + 3 * F.col("triangles")).alias("kappa"))
+    e = oriented(pairs)
+    rows = e.join(_sides(pairs, e), ["a", "b"], "left").withColumn("triangles", F.coalesce("t", F.lit(0)))
+    return rows.select("a", "b", "triangles", (4 - F.col("da") - F.col("db") + 3 * F.col("triangles")).alias("kappa"))
 
 
 def two_hop(g: Graph) -> DataFrame:

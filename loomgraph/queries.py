@@ -446,12 +446,17 @@ def _(spark, d):
 
 # --- triangles, curvature, motifs -------------------------------------------------------------
 
+def _pairs_of(g: Graph) -> DataFrame:
+    """The undirected pairs as a written table: what follows reads them several times, and deriving them is a join."""
+    return Scratch(g.nodes.sparkSession).save(g.undirected(), "pairs")
+
+
 TRIANGLES = ", t AS (SELECT x.a AS x, x.b AS y, y.b AS z FROM und x JOIN und y ON x.b = y.a JOIN und w ON w.a = x.a AND w.b = y.b)"
 
 
 @query("triangles", with_(PARTS, sql.UNDIRECTED) + TRIANGLES + "SELECT x, y, z FROM t")
 def _(spark, d):
-    return motifs.triangles(derive.cooccurrence(spark, d).undirected())
+    return motifs.triangles(_pairs_of(derive.cooccurrence(spark, d)))
 
 
 CURVATURE = (
@@ -463,12 +468,12 @@ k AS (SELECT u.a, u.b, coalesce(n, 0)::BIGINT AS triangles, (4 - p.d - q.d + 3 *
 
 @query("curvature", with_(PARTS, sql.UNDIRECTED) + CURVATURE + "SELECT * FROM k")
 def _(spark, d):
-    return motifs.curvature(derive.cooccurrence(spark, d).undirected())
+    return motifs.curvature(_pairs_of(derive.cooccurrence(spark, d)))
 
 
 @query("curvature_tail", with_(PARTS, sql.UNDIRECTED) + CURVATURE + "SELECT a, b, kappa FROM k ORDER BY kappa, a, b LIMIT 10")
 def _(spark, d):
-    return statistics.top(motifs.curvature(derive.cooccurrence(spark, d).undirected()), 10, F.col("kappa"), F.col("a"), F.col("b")).select("a", "b", "kappa")
+    return statistics.top(motifs.curvature(_pairs_of(derive.cooccurrence(spark, d))), 10, F.col("kappa"), F.col("a"), F.col("b")).select("a", "b", "kappa")
 
 
 @query("two_hop", with_(NATIONS, sql.UNDIRECTED) + "SELECT id, other FROM both_ways UNION SELECT a.id, b.other FROM both_ways a JOIN both_ways b ON a.other = b.id WHERE a.id <> b.other")

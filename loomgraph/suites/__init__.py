@@ -1,3 +1,3 @@
 """Further queries by subject; importing the package registers them."""
 
-from loomgraph.suites import findings, files, motif, names, relational, service, spectral, targets, views  # noqa: F401
+from loomgraph.suites import files, findings, matrix, motif, names, relational, service, spectral, targets, views  # noqa: F401
