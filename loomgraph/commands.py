@@ -416,6 +416,21 @@ def serve(tools: Tools, port: int = 8080):
     return ThreadingHTTPServer(("127.0.0.1", port), Handler)
 
 
+def serve_lines(tools: Tools, source, sink) -> None:
+    """Tool calls as JSON lines {id, tool, args} from ``source``, each answered by {id, result} or {id, error} on ``sink``."""
+    for line in source:
+        if not line.strip():
+            continue
+        ask: dict = {}
+        try:
+            ask = json.loads(line)
+            told = {"id": ask.get("id"), "result": tools.names() if ask["tool"] == "list" else tools.call(ask["tool"], **ask.get("args", {}))}
+        except (KeyError, TypeError, ValueError) as e:
+            told = {"id": ask.get("id") if isinstance(ask, dict) else None, "error": str(e)}
+        sink.write(json.dumps(told) + "\n")
+        sink.flush()
+
+
 def run(spark: SparkSession, name: str, path: str, options: Options) -> DataFrame:
     if name not in COMMANDS:
         raise ValueError(f"unknown command {name!r}; known: {', '.join(sorted(COMMANDS))}")

@@ -102,3 +102,26 @@ def save_catalog(path: str, snapshots: list[dict]) -> None:
     with open(part, "w", encoding="utf-8") as f:
         f.write(text + "\n")
     os.replace(part, path)
+
+
+# Folders that hold no packages of a source tree.
+SKIPPED_DIRS = ("vendor", "testdata", "node_modules")
+
+
+def _excluded(path: str, rules: tuple[str, ...]) -> bool:
+    """A rule with a slash fits exactly or as a prefix, one without fits any segment."""
+    return any(path == r or path.startswith(r.rstrip("/") + "/") if "/" in r else r in path.split("/") for r in rules)
+
+
+def package_dirs(root: str, patterns: tuple[str, ...] = ("./...",), excludes: tuple[str, ...] = (), suffix: str = ".go", tests: bool = False) -> list[str]:
+    """The folders below ``root`` that patterns name and that hold sources: ``x`` is one folder, ``x/...`` all below it."""
+    out = set()
+    for pattern in patterns:
+        base, deep = (pattern[: -len("...")].rstrip("/"), True) if pattern.endswith("...") else (pattern, False)
+        base = os.path.normpath(base or ".")
+        for folder, dirs, files in os.walk(os.path.join(root, base)):
+            path = os.path.relpath(folder, root).replace(os.sep, "/")
+            dirs[:] = sorted(d for d in dirs if deep and d not in SKIPPED_DIRS and d[0] not in "._" and not _excluded(d if path == "." else f"{path}/{d}", excludes))
+            if any(f.endswith(suffix) and (tests or not f.endswith("_test" + suffix)) for f in files):
+                out.add(path)
+    return sorted(out)

@@ -1,5 +1,6 @@
 """Commands, tools, configuration and operators on small graphs with known results."""
 
+import io
 import json
 import threading
 import urllib.request
@@ -86,6 +87,10 @@ def test_tools_over_http(spark, small, tmp_path):
     with pytest.raises(urllib.error.HTTPError):
         urllib.request.urlopen(urllib.request.Request(f"{base}/tools/nothing", b"{}"))
     server.shutdown()
+    sink = io.StringIO()
+    commands.serve_lines(tools, ['{"id": 1, "tool": "graph_list"}\n', '{"id": 2, "tool": "nothing"}', "no json", '{"id": 3, "tool": "list"}'], sink)
+    told = [json.loads(x) for x in sink.getvalue().splitlines()]
+    assert told[0]["result"] == tools.call("graph_list") and "unknown" in told[1]["error"] and "error" in told[2] and "graph_path" in told[3]["result"]
 
 
 def test_configuration(tmp_path):
@@ -105,6 +110,15 @@ def test_configuration(tmp_path):
     assert config.load_catalog(catalog) == [{"label": "a"}, {"label": "b", "n": 2}] and config.load_catalog(str(tmp_path / "none")) == []
 
 
+def test_package_folders(tmp_path):
+    for f in ("a.go", "b/b.go", "b/c/c_test.go", "b/d/d.go", "vendor/v.go", "_x/x.go", ".h/h.go", "gen/g.go", "b/gen/g.go"):
+        (tmp_path / f).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / f).write_text("")
+    assert config.package_dirs(str(tmp_path)) == [".", "b", "b/d", "b/gen", "gen"]
+    assert config.package_dirs(str(tmp_path), ("./b/...",), ("gen",), tests=True) == ["b", "b/c", "b/d"]
+    assert config.package_dirs(str(tmp_path), ("b", "./..."), ("b/d",)) == [".", "b", "b/gen", "gen"] and config.package_dirs(str(tmp_path), ("b",)) == ["b"]
+
+
 def test_long_paths_are_not_cut(spark):
     s = Scratch(spark)
     ids = [f"n{i:04}" for i in range(1001)]
