@@ -51,10 +51,10 @@ CHROME_TAGS = {"nav", "aside", "footer", "form", "menu", "dialog", "button", "se
 CHROME_WORDS = {
     "nav", "navbar", "navigation", "menu", "breadcrumb", "breadcrumbs", "header", "masthead", "footer", "sidebar", "aside", "rail", "widget",
     "banner", "promo", "notice", "cookie", "cookies", "consent", "gdpr", "popup", "modal", "overlay", "newsletter", "subscribe", "signup", "login", "search",
-    "share", "sharing", "social", "pagination", "pager", "toolbar", "copyright", "legal", "disclaimer", "alert", "contentinfo", "complementary", "skip",
+    "share", "sharing", "social", "pagination", "pager", "toolbar", "copyright", "legal", "disclaimer", "alert", "contentinfo", "complementary", "skip", "tags", "subscription", "foot", "side",
 }
 STICKY = {
-    "ad", "ads", "advert", "adverts", "advertisement", "sponsor", "sponsored", "comment", "comments", "disqus", "respond", "reply", "replies", "related", "recommended", "teaser",
+    "ad", "ads", "advert", "adverts", "advertisement", "sponsor", "sponsored", "comment", "comments", "disqus", "respond", "reply", "replies", "discussion", "related", "recommended", "teaser",
 }
 MAIN_WORDS = {"article", "content", "main", "post", "entry", "story"}
 #: First parts of names that describe a page and don't name an element's role.
