@@ -62,9 +62,15 @@ def role_signatures(g: Graph) -> DataFrame:
 
 
 def local_symmetry(g: Graph) -> DataFrame:
-    """How many nodes within two hops have the same signature: id, twins."""
+    """How many nodes within two hops have the same signature: id, twins.
+
+    Neighbours of one node meet by signature, so only twins are paired, and not all pairs around a hub.
+    """
     s = role_signatures(g)
-    pairs = two_hop(g).join(s, "id").join(s.select(F.col("id").alias("other"), F.col("signature").alias("twin")), "other").where("signature = twin")
+    near = g.neighbours().join(s, "id")
+    far = near.join(near.select("other", "signature", F.col("id").alias("twin")), ["other", "signature"]).select("id", "twin")
+    direct = near.join(s.select(F.col("id").alias("other"), F.col("signature").alias("same")), "other").where("signature = same").select("id", F.col("other").alias("twin"))
+    pairs = far.unionByName(direct).where("id <> twin").distinct()
     return g.nodes.select("id").join(pairs.groupBy("id").agg(F.count("*").alias("n")), "id", "left").select("id", F.coalesce("n", F.lit(0)).alias("twins"))
 
 
