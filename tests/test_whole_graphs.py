@@ -4,7 +4,6 @@ import itertools
 from collections import Counter, defaultdict
 
 import pytest
-from pyspark.sql import functions as F
 
 from loomgraph.queries import QUERIES
 from loomgraph.sources import derive
