@@ -66,14 +66,12 @@ def measures(docs: DataFrame) -> DataFrame:
         F.filter(F.split("text", "\n"), has_word).alias("lines"),
         F.transform("words", lambda w: F.xxhash64(w)).alias("hashes"),
     )
-    after = lambda k: F.slice("hashes", k + 1, F.greatest(F.size("hashes") - 2, F.lit(0)))
-    turned = lambda h, k: F.shiftleft(h, k).bitwiseOR(F.shiftrightunsigned(h, 64 - k))
-    pairs = F.zip_with(after(0), after(1), lambda a, b: a.bitwiseXOR(turned(b, 21)))
-    rows = rows.withColumn("windows", F.zip_with(pairs, after(2), lambda a, b: a.bitwiseXOR(turned(b, 42)))).drop("hashes")
+    three = F.transform("hashes", lambda h, i: F.xxhash64(h, F.get("hashes", i + 1), F.get("hashes", i + 2)))
+    rows = rows.withColumn("windows", F.slice(three, 1, F.greatest(F.size("hashes") - 2, F.lit(0)))).drop("hashes")
     return rows.select(
         "doc_id",
         "n_words",
-        F.aggregate("words", F.lit(0).cast("long"), lambda acc, w: acc + F.length(w)).alias("word_chars"),
+        F.length(F.array_join("words", "")).cast("long").alias("word_chars"),
         "n_symbols",
         "n_exclamations",
         F.size("lines").cast("long").alias("n_lines"),
@@ -83,18 +81,40 @@ def measures(docs: DataFrame) -> DataFrame:
     )
 
 
+#: Bits of a packed window that hold its place; texts of more words go the way of unpacked ones.
+PLACE_BITS = 20
+
+
 def _covered_by_repeats(windows: str) -> Column:
     """Words in 3-word windows that are found twice or more: sort the windows, keep those with an equal neighbour.
 
-    A text without any repeat is known by its distinct windows and needs no sort.
+    A window's hash and place are packed into one long, which sorts fast; neighbours that agree in the
+    packed bits are compared by their whole hashes. A text without any repeat is known by its distinct
+    windows and needs no sort.
     """
+    low = (1 << PLACE_BITS) - 1
+    all_windows = F.col(windows)
+    size = F.size(windows)
+    place = lambda x: x.bitwiseAND(F.lit(low).cast("long")).cast("int")
+    packed = F.sort_array(F.transform(windows, lambda h, i: h.bitwiseAND(F.lit(~low).cast("long")).bitwiseOR(i.cast("long"))))
+
+    def equal(x: Column, y: Column) -> Column:
+        near = F.shiftright(x, PLACE_BITS) == F.shiftright(y, PLACE_BITS)
+        return F.coalesce(near & (F.get(all_windows, place(x)) == F.get(all_windows, place(y))), F.lit(False))
+
     placed = F.sort_array(F.transform(windows, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
-    twins = lambda all_: F.filter(
-        all_, lambda x, i: F.coalesce(F.get(all_, i - 1)["h"] == x["h"], F.lit(False)) | F.coalesce(F.get(all_, i + 1)["h"] == x["h"], F.lit(False))
-    )
+    same = lambda x, y: F.coalesce(x["h"] == y["h"], F.lit(False))
+    count = lambda items, equal, where: F.size(F.array_distinct(_words_of_twins(items, equal, where))).cast("long")
+    short = count(packed, equal, place)
+    return F.when(F.size(F.array_distinct(windows)) == size, F.lit(0).cast("long")).when(size < low, short).otherwise(count(placed, same, lambda x: x["i"]))
+
+
+def _words_of_twins(items: Column, equal, where) -> Column:
+    """The words of the windows in ``items``, which are sorted, that equal a neighbour."""
+    twins = lambda all_: F.filter(all_, lambda x, i: equal(F.get(all_, i - 1), x) | equal(x, F.get(all_, i + 1)))
+    words = lambda x: F.array(where(x), where(x) + 1, where(x) + 2)
     # the sorted array is bound once, as the only element of an array that a lambda walks
-    covered = F.flatten(F.transform(F.array(placed), lambda all_: F.flatten(F.transform(twins(all_), lambda x: F.array(x["i"], x["i"] + 1, x["i"] + 2)))))
-    return F.when(F.size(F.array_distinct(windows)) == F.size(windows), F.lit(0).cast("long")).otherwise(F.size(F.array_distinct(covered)).cast("long"))
+    return F.flatten(F.transform(F.array(items), lambda all_: F.flatten(F.transform(twins(all_), words))))
 
 
 def verdict(thresholds: tuple[Threshold, ...] = THRESHOLDS) -> Column:
