@@ -238,15 +238,16 @@ def pagerank(nodes: DataFrame, edges: DataFrame, scratch: Scratch, seeds: DataFr
     weights = edges.groupBy("src", "dst").agg(F.count("*").cast("double").alias("w"))
     total = weights.groupBy("src").agg(F.sum("w").alias("t"))
     steps = scratch.save(weights.join(total, "src").select("src", "dst", (F.col("w") / F.col("t")).alias("share")), "steps")
-    home = scratch.save(home.join(total.withColumnRenamed("src", "id"), "id", "left").select("id", "home", F.col("t").isNull().alias("dangling")), "home")
-    score = home.select("id", F.col("home").alias("score"))
-    for i in range(rounds):
-        sent = score.withColumnRenamed("id", "src").join(steps, "src").groupBy("dst").agg(F.sum(F.col("score") * F.col("share")).alias("got"))
-        lost = score.join(home.where("dangling").select("id"), "id").agg(F.coalesce(F.sum("score"), F.lit(0.0)).alias("lost"))
-        nxt = home.join(sent.withColumnRenamed("dst", "id"), "id", "left").crossJoin(F.broadcast(lost))
-        nxt = nxt.select("id", (alpha * F.col("home") + (1 - alpha) * (F.coalesce("got", F.lit(0.0)) + F.col("lost") * F.col("home"))).alias("score"))
-        score = scratch.save(nxt, "score")
-    return score
+    home = home.join(total.withColumnRenamed("src", "id"), "id", "left").select("id", "home", F.col("t").isNull().alias("dangling"), F.col("home").alias("score"))
+    # the mass of dangling nodes is summed up on the way of each write
+    lost_mass = F.coalesce(F.sum(F.when(F.col("dangling"), F.col("score"))), F.lit(0.0))
+    state, (lost,) = scratch.save_seen(home, "score", lost_mass)
+    for _ in range(rounds):
+        sent = state.select(F.col("id").alias("src"), "score").join(steps, "src").groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("score") * F.col("share")).alias("got"))
+        score = alpha * F.col("home") + (1 - alpha) * (F.coalesce("got", F.lit(0.0)) + F.lit(lost) * F.col("home"))
+        nxt = state.select("id", "home", "dangling").join(sent, "id", "left").select("id", "home", "dangling", score.alias("score"))
+        state, (lost,) = scratch.save_seen(nxt, "score", lost_mass)
+    return state.select("id", "score")
 
 
 def wl_labels(g: Graph, scratch: Scratch, rounds: int = 1) -> DataFrame:

@@ -230,13 +230,15 @@ class Store:
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
 
+    def _there(self, path: str) -> bool:
+        sc = self.spark.sparkContext
+        target = sc._jvm.org.apache.hadoop.fs.Path(path)
+        return target.getFileSystem(sc._jsc.hadoopConfiguration()).exists(target)
+
     def _log(self) -> DataFrame | None:
-        try:
-            return self.spark.read.schema("variant string, folder string, at long, gone boolean").json(f"{self.root}/log")
-        except Exception as e:
-            if "PATH_NOT_FOUND" in str(e):
-                return None
-            raise
+        if not self._there(f"{self.root}/log"):
+            return None
+        return self.spark.read.schema("variant string, folder string, at long, gone boolean").json(f"{self.root}/log")
 
     def _named(self) -> DataFrame | None:
         log = self._log()
@@ -285,11 +287,8 @@ class Store:
         """A result by the variant's content and a name: (rows, whether it was there). ``compute`` (graph) gives it."""
         g = self.load(variant)
         path = f"{self.root}/cache/{content_key(g)}/{name}"
-        try:
+        if self._there(f"{path}/_SUCCESS"):
             return self.spark.read.parquet(path), True
-        except Exception as e:
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
         compute(g).write.mode("overwrite").parquet(path)
         return self.spark.read.parquet(path), False
 
