@@ -19,6 +19,8 @@ def oriented(pairs: DataFrame) -> DataFrame:
 def triangles(pairs: DataFrame, e: DataFrame | None = None) -> DataFrame:
     """Every triangle once, as (x, y, z) in ascending order; ``e`` is ``oriented(pairs)`` where that is at hand."""
     e = (oriented(pairs) if e is None else e).select("lo", "hi")
+    # the edges are few and the paths that they make many: partitions stay as many as there are, whatever the edges' size
+    e = e.repartition(int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "lo")
     wedge = e.join(e.select("lo", F.col("hi").alias("far")), "lo").where("hi < far")
     known = pairs.select(F.col("a").alias("hi"), F.col("b").alias("far"))
     found = wedge.join(known, ["hi", "far"])
