@@ -1,13 +1,13 @@
-"""Connected components by hooking to the smallest grandparent and shortcutting.
+"""Connected components by hooking, shortcutting and contracting.
 
-Every node has a parent, at first itself. In a round each node looks at its neighbours' grandparents
-and takes the smallest for itself and for its parent, and its own grandparent if that is smaller. The
-number of rounds grows with about the logarithm of the diameter.
+In a round every node hooks to its smallest neighbour if that is smaller, which makes trees; pointers
+are doubled until each node points to its tree's root; then edges are drawn between roots, and those
+inside of a tree go. At least every second node is no root any more, so edges and nodes shrink from
+round to round, and there are about as many rounds as the logarithm of their number.
 
-A hub, or the root of a very large component, is one key of very many rows in two places only: the
-join of edges with their far ends, and that of nodes with their parents. Both are joins of written
-tables, whose large partitions Spark splits; all else is summed up before it is shuffled or has a
-row for each node. Nothing but a count and a checksum reaches the driver.
+A hub, or the root of a very large component, is one key of very many rows only in joins of written
+tables, whose large partitions Spark splits; all else is summed up before it is shuffled. Nothing but
+counts and checksums reaches the driver.
 """
 
 from __future__ import annotations
@@ -23,23 +23,34 @@ def checksum(*columns: str) -> tuple[Column, Column]:
     return F.count(F.lit(1)), F.sum(F.xxhash64(*columns).cast("decimal(38,0)"))
 
 
+def _jump(trees: DataFrame) -> DataFrame:
+    """Every node's parent's parent."""
+    return trees.join(trees.select(F.col("id").alias("f"), F.col("f").alias("g")), "f").select("id", F.col("g").alias("f"))
+
+
 def connected_components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """Map every end point of ``edges`` (columns u, v of one ordered type) to the smallest of its component.
 
     Returns (node, component). Self loops make a node known; null ends are ignored.
     """
     known = edges.where("u is not null and v is not null").select("u", "v")
-    pairs = F.explode(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))).alias("e")
-    ends = scratch.save(known.select(pairs).select("e.u", "e.v").distinct(), "ends")
-    # the first round is known: the smallest neighbour
-    start = ends.groupBy(F.col("u").alias("id")).agg(F.min("v").alias("v")).select("id", F.least("id", "v").alias("f"))
-
-    def hook(state: DataFrame) -> DataFrame:
-        grand = state.join(state.select(F.col("id").alias("f"), F.col("f").alias("g")), "f").select("id", "f", "g")
-        near = ends.join(grand.select(F.col("id").alias("v"), "g"), "v").groupBy(F.col("u").alias("id")).agg(F.min("g").alias("m"))
-        seen = scratch.save(grand.join(near, "id").select("id", "f", "g", "m"), "seen")
-        hooked = seen.groupBy("f").agg(F.min("m").alias("h")).withColumnRenamed("f", "id")
-        return seen.join(hooked, "id", "left").select("id", F.least("f", "g", "m", "h").alias("f"))
-
-    found = fixpoint(scratch, start, hook, checksum("id", "f"))
+    loops = known.where("u = v").select(F.col("u").alias("id"), F.col("u").alias("f")).distinct()
+    pairs = known.where("u <> v").select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).distinct()
+    found = None
+    while True:
+        pairs, (left,) = scratch.save_seen(pairs, "pairs", F.count(F.lit(1)))
+        if not left:
+            break
+        ends = F.explode(F.array(F.struct(F.col("a").alias("id"), F.col("b").alias("o")), F.struct(F.col("b").alias("id"), F.col("a").alias("o")))).alias("e")
+        hooked = pairs.select(ends).groupBy("e.id").agg(F.min("e.o").alias("o")).select("id", F.least("id", "o").alias("f"))
+        trees = fixpoint(scratch, hooked, _jump, checksum("id", "f"))
+        root = trees.select(F.col("id").alias("f"), F.col("f").alias("r"))
+        # what pointed to a node that is no root any more points to that node's root
+        found = trees if found is None else scratch.save(found.join(root, "f", "left").select("id", F.coalesce("r", "f").alias("f")), "found")
+        over = pairs.join(trees.select(F.col("id").alias("a"), F.col("f").alias("x")), "a").join(trees.select(F.col("id").alias("b"), F.col("f").alias("y")), "b")
+        pairs = over.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    if found is None:
+        found = loops
+    else:
+        found = found.unionByName(loops.join(found.select("id"), "id", "left_anti"))
     return found.select(F.col("id").alias("node"), F.col("f").alias("component"))
