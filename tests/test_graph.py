@@ -73,6 +73,23 @@ def test_components_edge_cases(spark):
     assert {r.component for r in connected_components(chain, Scratch(spark)).collect()} == {0}
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_components_of_random_graphs(spark, seed):
+    rng = random.Random(seed)
+    pairs = [(rng.randrange(60), rng.randrange(60)) for _ in range(35)] + [(100, 101 + i) for i in range(20)] + [(200 + i, 201 + i) for i in range(40)] + [(7, 7), (300, 300)]
+    rng.shuffle(pairs)
+    part = {x: x for p in pairs for x in p}
+    changed = True
+    while changed:
+        changed = False
+        for a, b in pairs:
+            low = min(part[a], part[b])
+            changed |= part[a] != low or part[b] != low
+            part[a] = part[b] = low
+    df = spark.createDataFrame([*pairs, (None, 1)], "u long, v long")
+    assert dict(rows(connected_components(df, Scratch(spark)))) == part
+
+
 def test_paths(spark):
     g = graph(spark, [("a", "c"), ("a", "b"), ("b", "d"), ("c", "d"), ("d", "e")], ["z"])
     found = {r.id: r.path for r in traversal.shortest_paths(g.directed(), "a", Scratch(spark)).collect()}
