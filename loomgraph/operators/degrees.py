@@ -162,3 +162,16 @@ def quotient_members(g: Graph, column: str = "grp") -> DataFrame:
     """Cross-group pairs with the sorted list of the edges beneath, for graphs whose lists are read by people."""
     rows = with_groups(g, column).where("from_group <> to_group").select("from_group", "to_group", F.concat_ws("->", "src", "dst").alias("e")).distinct()
     return rows.groupBy("from_group", "to_group").agg(F.count("*").alias("weight"), F.array_join(F.array_sort(F.collect_list("e")), ",").alias("edges"))
+
+
+def quotient_by_communities(g: Graph, members: DataFrame) -> DataFrame:
+    """(from_group, to_group, weight) between communities of ``members`` (id, community), by distinct (src, dst).
+
+    A node of two communities is an error; members that are no nodes, and edges of nodes without a
+    community, are left out.
+    """
+    twice = members.groupBy("id").agg(F.countDistinct("community").alias("n")).where("n > 1").limit(1).collect()
+    if twice:
+        raise ValueError(f"{twice[0]['id']} is in several communities")
+    own = g.nodes.select("id").join(members.select("id", F.col("community").alias("grp")).distinct(), "id")
+    return quotient(Graph(own, g.edges), distinct=True)

@@ -88,3 +88,25 @@ def _(spark, d):
 @query("find_articulation", "SELECT 'articulation' AS detector, CASE WHEN guarded >= 20 THEN 'high' WHEN guarded >= 5 THEN 'medium' ELSE 'low' END AS severity, guarded::DOUBLE AS score, id AS primary_id FROM (" + GRAPH_ORACLES["articulation_services"] + ") WHERE guarded >= 2")
 def _(spark, d):
     return findings.find(derive.services(spark, d), Scratch(spark), ["articulation"]).select("detector", "severity", "score", "primary_id")
+
+
+@query("quotient_communities", with_(NATIONS) + "SELECT a.grp AS from_group, b.grp AS to_group, count(DISTINCT (src, dst))::BIGINT AS weight FROM edges JOIN nodes a ON src = a.id JOIN nodes b ON dst = b.id WHERE a.grp <> b.grp AND a.grp <> 'ASIA' AND b.grp <> 'ASIA' GROUP BY 1, 2")
+def _(spark, d):
+    """Communities of all nations but Asia's, with a member that no node is."""
+    from loomgraph.operators import degrees
+
+    g = derive.nations(spark, d)
+    members = g.nodes.where("grp <> 'ASIA'").select("id", F.col("grp").alias("community"))
+    return degrees.quotient_by_communities(g, members.unionByName(spark.createDataFrame([("nowhere", "EUROPE")], "id string, community string")))
+
+
+@query("component_eigen_centers", with_(NATIONS, sql.UNDIRECTED, "walk AS (SELECT id, id AS c FROM nodes UNION SELECT b.other, w.c FROM walk w JOIN both_ways b ON w.id = b.id WHERE w.c < b.other)", recursive=True) + ", p AS (SELECT id, min(c) AS component FROM walk GROUP BY id), e AS (" + GRAPH_ORACLES["eigen_centrality"] + ") SELECT component, arg_min(id, (-coalesce(centrality, 0), id)) AS center, count(*)::BIGINT AS size FROM p LEFT JOIN e USING (id) GROUP BY component")
+def _(spark, d):
+    """Each component's node of highest eigenvector centrality, the smallest of equal ones, and its size."""
+    from loomgraph.operators import linalg, traversal
+
+    g, s = derive.nations(spark, d), Scratch(spark)
+    score = linalg.eigen_centrality(g, s).select("id", F.round("centrality", 6).alias("x"))
+    rows = traversal.components(g, s).join(score, "id", "left").withColumn("x", F.coalesce("x", F.lit(0.0)))
+    best = rows.groupBy("component").agg(F.min(F.struct((-F.col("x")).alias("x"), "id")).alias("b"), F.count("*").alias("size"))
+    return best.select("component", F.col("b.id").alias("center"), "size")
