@@ -32,6 +32,8 @@ from loomgraph.llm.text import U, passes, words_of
 TRAIN_ROWS = 1500
 #: Hashed n-gram features; the model is this many times the number of languages float32 values.
 FEATURE_BITS = 16
+#: Words that are taken apart into n-grams at once.
+STEP_WORDS = 8192
 ORDERS = (1, 2, 3, 4)
 #: Cost of a switch of language, in the units of the word scores.
 SWITCH = 12.0
@@ -113,6 +115,10 @@ class LanguageModel:
 
     def word_scores(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Scores (words, langs), which words have a letter, and of which languages each is evidence (words, langs)."""
+        parts = [self._scores(words[a : a + STEP_WORDS]) for a in range(0, len(words), STEP_WORDS)]
+        return tuple(np.concatenate(x) for x in zip(*parts)) if len(parts) != 1 else parts[0]
+
+    def _scores(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         owner, feature, script, short = word_features(words)
         scores = np.empty((len(words), len(self.langs)), np.float32)
         for k in range(len(self.langs)):
@@ -172,10 +178,11 @@ def _count_features(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Itera
             words = list(itertools.chain.from_iterable(flat.slice(offsets[i], offsets[i + 1] - offsets[i]).to_pylist() for i in rows))
             if not words:
                 continue
-            _, feature, script, _ = word_features(words)
             counts, kinds = total.setdefault(lang, (np.zeros(width, np.int64), np.zeros(len(SCRIPT_NAMES), np.int64)))
-            counts += np.bincount(feature, minlength=width)
-            kinds += np.bincount(script[script != LETTERLESS], minlength=len(SCRIPT_NAMES))
+            for a in range(0, len(words), STEP_WORDS):
+                _, feature, script, _ = word_features(words[a : a + STEP_WORDS])
+                counts += np.bincount(feature, minlength=width)
+                kinds += np.bincount(script[script != LETTERLESS], minlength=len(SCRIPT_NAMES))
     for lang, (counts, kinds) in total.items():
         at, kind = np.flatnonzero(counts), np.flatnonzero(kinds)
         yield pa.RecordBatch.from_arrays(

@@ -5,7 +5,9 @@ A word is a maximal run outside U+0020 and U+0009 to U+000D; a null text has no
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -43,6 +45,21 @@ def passes(batch: pa.RecordBatch, column: str = "text", limit: int = PASS_BYTES)
     for a, b in zip(cuts, cuts[1:]):
         if b > a:
             yield batch.slice(a, b - a)
+    give_back()
+
+
+@lru_cache(maxsize=1)
+def _trim():
+    try:
+        return ctypes.CDLL(None).malloc_trim
+    except (AttributeError, OSError):  # another C library
+        return lambda _: 0
+
+
+def give_back() -> None:
+    """Return freed memory to the system: workers live on between stages, beside others and the executor's heap."""
+    pa.default_memory_pool().release_unused()
+    _trim()(0)
 
 
 def words_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
