@@ -83,7 +83,11 @@ def _(g, s):
 
 @metric("spectral_gap")
 def _(g, s):
-    return _records(_spectrum(g, s), "spectral_gap", "graph", value="lambda2")
+    # every component has the eigenvalue 0, so a graph in parts needs no decomposition, whatever its size
+    parts = s.once("parts", lambda: traversal.components(g, s).agg(F.countDistinct("component").alias("n"))).first()["n"]
+    if parts == 1:
+        return _records(_spectrum(g, s), "spectral_gap", "graph", value="lambda2")
+    return _records(g.nodes.sparkSession.range(1).select(F.lit(0.0).alias("value")), "spectral_gap", "graph")
 
 
 @metric("radius")
@@ -93,7 +97,7 @@ def _(g, s):
 
 @metric("eigenvalues")
 def _(g, s):
-    return _records(_spectrum(g, s), "eigenvalues", "graph", value="nodes")
+    return _records(g.nodes.agg(F.countDistinct("id").alias("value")), "eigenvalues", "graph")
 
 
 @metric("motif_redundancy")
