@@ -1,5 +1,8 @@
 """Graphs beyond a dense kernel's size, with the bound lowered so that small ones are."""
 
+import random
+
+import numpy as np
 import pytest
 
 from loomgraph.graph import Graph
@@ -25,3 +28,16 @@ def test_gap_of_parts_beyond_a_kernel(spark, monkeypatch):
 def test_gap_of_one_part_is_the_kernels(spark):
     told = records.run_metrics(graph(spark, [("a", "b"), ("b", "c")]), Scratch(spark), ["spectral_gap"])
     assert told.first()["value"] == pytest.approx(1.0)
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_heights_beyond_a_kernel(spark, monkeypatch, seed):
+    rng = random.Random(seed)
+    tree = [(f"t{rng.randrange(i):02d}", f"t{i:02d}") for i in range(1, 20)] + [("t03", "t01")]
+    ring = [(f"r{i:02d}", f"r{(i + 1) % 9:02d}") for i in range(9)] + [("r00", "r04"), ("r00", "r04"), ("r05", "x"), ("x", "y")]
+    g, s = graph(spark, tree + ring + [("p", "q"), ("self", "self")], ["alone"]), Scratch(spark)
+    want = dict(map(tuple, linalg.trophic_levels(g, s).collect()))
+    monkeypatch.setattr(linalg, "MOST_NODES", 3)
+    found = dict(map(tuple, linalg.trophic_levels(g, s).collect()))
+    assert set(found) == set(want)
+    assert np.allclose([found[k] for k in sorted(want)], [want[k] for k in sorted(want)], atol=1e-8)
