@@ -41,3 +41,47 @@ def test_heights_beyond_a_kernel(spark, monkeypatch, seed):
     found = dict(map(tuple, linalg.trophic_levels(g, s).collect()))
     assert set(found) == set(want)
     assert np.allclose([found[k] for k in sorted(want)], [want[k] for k in sorted(want)], atol=1e-8)
+
+
+def connected(near, gone):
+    """The parts of what is left without a node."""
+    left, out = set(near) - {gone}, []
+    while left:
+        todo = [left.pop()]
+        part = set(todo)
+        while todo:
+            more = (near[todo.pop()] & left) - part
+            left -= more
+            part |= more
+            todo += more
+        out.append(part)
+    return out
+
+
+def test_cut_vertices_by_brute_force():
+    rng = random.Random(5)
+    for n in (2, 5, 9, 14):
+        for extra in (0, 3, 8, 60):
+            pairs = {tuple(sorted((rng.randrange(max(0, i - 4), i), i))) for i in range(1, n)}
+            pairs |= {(a, b) for a, b in ((rng.randrange(n), rng.randrange(n)) for _ in range(extra)) if a < b and (b < n // 2 or a >= n // 2)}
+            near = {i: {b if a == i else a for a, b in pairs if i in (a, b)} for i in range(n)}
+            want = {}
+            for v in range(n):
+                stays = min(near[0]) if v == 0 else 0
+                if cut := [len(p) for p in connected(near, v) if stays not in p]:
+                    want[v] = max(cut)
+            a, b = np.array(sorted(pairs)).T
+            assert linalg.cut_vertices(linalg.Sparse(n, a, b)) == want
+
+
+def test_communities_of_a_component_beyond_a_dense_kernel(spark, monkeypatch):
+    """Rings of cliques in one component, and a node alone."""
+    import itertools
+
+    monkeypatch.setattr(linalg, "MOST_NODES", 3)
+    pairs = [(f"{c}{i}", f"{c}{j}") for c in "abcd" for i, j in itertools.combinations(range(6), 2)] + [("a0", "b0"), ("b1", "c1"), ("c2", "d2"), ("d3", "a3")]
+    found = dict(map(tuple, linalg.louvain(graph(spark, pairs, ["z"]), Scratch(spark)).collect()))
+    want = {f"{c}{i}": f"{c}0" for c in "abcd" for i in range(6)} | {"z": "z"}
+    assert found == want
+    monkeypatch.setattr(linalg, "MOST_PAIRS", 3)
+    assert dict(map(tuple, linalg.louvain(graph(spark, pairs, ["z"]), Scratch(spark)).collect())) == want
