@@ -246,9 +246,13 @@ class HashedWords:
     def embed(self, text):
         words = F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
         cells = F.transform(words, lambda w: F.struct(F.pmod(F.xxhash64(w), F.lit(self.size)).alias("i"), F.when(F.pmod(F.xxhash64(w, F.lit("sign")), F.lit(2)) == 0, 1.0).otherwise(-1.0).alias("x")))
-        raw = F.transform(F.sequence(F.lit(0), F.lit(self.size - 1)), lambda i: F.aggregate(F.filter(cells, lambda c: c["i"] == i), F.lit(0.0), lambda a, c: a + c["x"]))
-        norm = F.sqrt(F.aggregate(raw, F.lit(0.0), lambda a, x: a + x * x))
-        return F.when(norm > 0, F.transform(raw, lambda x: x / norm)).otherwise(raw)
+        zeros = F.transform(F.sequence(F.lit(0), F.lit(self.size - 1)), lambda i: i.cast("long"))
+        # a value is bound by an array of one, so that it is worked out once a row and not at each of its uses
+        bound = lambda value, use: F.get(F.transform(F.array(value), use), F.lit(0))
+        total = lambda found, i: F.aggregate(found, F.lit(0.0), lambda a, c: F.when(c["i"] == i, a + c["x"]).otherwise(a))
+        raw = bound(cells, lambda found: F.transform(zeros, lambda i: total(found, i)))
+        norm = lambda v: F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x))
+        return bound(raw, lambda v: bound(norm(v), lambda n: F.when(n > 0, F.transform(v, lambda x: x / n)).otherwise(v)))
 
 
 def embed(rows: DataFrame, provider, known: DataFrame | None = None) -> DataFrame:
