@@ -117,7 +117,7 @@ def facade(g: Graph, scratch: Scratch) -> DataFrame:
     """(part, name, value): modularity, repeated motifs and anomalies of a graph in one small report."""
     told = scratch.save(records.run_metrics(g, scratch, ["modularity", "cycle_rank", "components"]), "records")
     whole = told.where("scope = 'graph'").select(F.lit("metric").alias("part"), F.col("metric").alias("name"), "value")
-    motifs = patterns.motif_groups(patterns.instances(g, 3, scratch)).agg(F.lit("motif").alias("part"), F.lit("repeated groups").alias("name"), F.count("*").cast("double").alias("value"))
+    motifs = patterns.motif_groups(patterns.Threes(g, scratch).counts(), counted=True).agg(F.lit("motif").alias("part"), F.lit("repeated groups").alias("name"), F.count("*").cast("double").alias("value"))
     odd = findings.detect(told, ["cycle_rank"]).groupBy("detector").agg(F.count("*").cast("double").alias("value")).select(F.lit("anomaly").alias("part"), F.col("detector").alias("name"), "value")
     return whole.unionByName(motifs).unionByName(odd)
 

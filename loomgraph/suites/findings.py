@@ -115,7 +115,7 @@ def _(spark, d):
 
 @query("motif_digest", with_(*_instances_sql(3)) + "SELECT canonical, 3 AS size, count(*)::BIGINT AS instances FROM f GROUP BY canonical HAVING count(*) >= 2 ORDER BY instances DESC, canonical LIMIT 5")
 def _(spark, d):
-    return findings.motif_digest(patterns.motif_groups(patterns.instances(derive.services(spark, d), 3, Scratch(spark))), 5)
+    return findings.motif_digest(patterns.motif_groups(patterns.Threes(derive.services(spark, d), Scratch(spark)).counts(), counted=True), 5)
 
 
 @query("status_counts", "SELECT s AS status, count(o_orderkey)::BIGINT AS n FROM (VALUES ('match'), ('near_match'), ('mismatch'), ('not_applicable')) v(s) LEFT JOIN orders ON s = CASE o_orderstatus WHEN 'O' THEN 'match' WHEN 'F' THEN 'mismatch' ELSE 'near_match' END GROUP BY s")

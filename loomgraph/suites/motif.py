@@ -53,7 +53,7 @@ def _groups_sql(size: int) -> str:
 
 @query("motif_groups_3", _groups_sql(3))
 def _(spark, d):
-    return patterns.motif_groups(patterns.instances(derive.services(spark, d), 3, Scratch(spark)))
+    return patterns.motif_groups(patterns.Threes(derive.services(spark, d), Scratch(spark)).counts(), counted=True)
 
 
 @query("motif_groups_4", _groups_sql(4))
@@ -103,8 +103,7 @@ TYPE_SHAPES = [
 
 @query("type_shapes", with_(*_instances_sql(3), *TYPE_SHAPES) + "SELECT canonical, iface, instances::BIGINT AS instances, impls::BIGINT AS impls FROM tt")
 def _(spark, d):
-    g = derive.services(spark, d)
-    return patterns.type_shapes(patterns.instances(g, 3, Scratch(spark)), g)
+    return patterns.Threes(derive.services(spark, d), Scratch(spark)).type_shapes()
 
 
 @query(
@@ -115,8 +114,7 @@ SELECT canonical, 'method' AS shape, iface, instances::BIGINT AS instances, impl
 UNION ALL SELECT tt.canonical, 'type', tt.iface, tt.instances::BIGINT, tt.impls::BIGINT FROM tt JOIN per USING (canonical) WHERE NOT (whole = per.instances AND prints = 1 AND per.iface IS NOT NULL) AND tt.instances >= 3""",
 )
 def _(spark, d):
-    g, s = derive.services(spark, d), Scratch(spark)
-    return patterns.extract_interface(s.save(patterns.instances(g, 3, s), "instances"), g)
+    return patterns.Threes(derive.services(spark, d), Scratch(spark)).extract_interface()
 
 
 GOOD = Skeleton((Role("m", "method"), Role("impl", "type"), Role("iface", "type")), (("impl", "m", "contains"), ("impl", "iface", "implements"), ("m", "iface", "usesType")))

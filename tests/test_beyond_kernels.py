@@ -1,12 +1,14 @@
 """Graphs beyond a dense kernel's size, with the bound lowered so that small ones are."""
 
+import itertools
 import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from loomgraph.graph import Graph
-from loomgraph.operators import findings, linalg, records
+from loomgraph.operators import findings, linalg, patterns, records
 from loomgraph.plans.scratch import Scratch
 
 
@@ -76,8 +78,6 @@ def test_cut_vertices_by_brute_force():
 
 def test_communities_of_a_component_beyond_a_dense_kernel(spark, monkeypatch):
     """Rings of cliques in one component, and a node alone."""
-    import itertools
-
     monkeypatch.setattr(linalg, "MOST_NODES", 3)
     pairs = [(f"{c}{i}", f"{c}{j}") for c in "abcd" for i, j in itertools.combinations(range(6), 2)] + [("a0", "b0"), ("b1", "c1"), ("c2", "d2"), ("d3", "a3")]
     found = dict(map(tuple, linalg.louvain(graph(spark, pairs, ["z"]), Scratch(spark)).collect()))
@@ -85,3 +85,37 @@ def test_communities_of_a_component_beyond_a_dense_kernel(spark, monkeypatch):
     assert found == want
     monkeypatch.setattr(linalg, "MOST_PAIRS", 3)
     assert dict(map(tuple, linalg.louvain(graph(spark, pairs, ["z"]), Scratch(spark)).collect())) == want
+
+
+def test_hashed_words_are_worked_out_once_a_row(spark):
+    """The plan holds the words' hashes once, however many cells and uses of the norm there are."""
+    from loomgraph.commands import HashedWords
+
+    df = spark.createDataFrame([(0, "a b c a"), (1, "")], "id int, t string").select("id", HashedWords(8).embed(F.col("t")).alias("v"))
+    plan = df._jdf.queryExecution().analyzed().toString()
+    assert plan.lower().count("xxhash64(") == 2, plan
+    one, none = (r.v for r in df.orderBy("id").collect())
+    assert sum(x * x for x in one) == pytest.approx(1.0) and none == [0.0] * 8
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_forms_of_three_without_a_list(spark, seed):
+    """Numbers, type shapes and interfaces as from the list of all instances, which a hub makes long."""
+    rng = random.Random(seed)
+    kind = {f"{k[0]}{i}": k for k, n in (("type", 7), ("method", 7), ("function", 4)) for i in range(n)}
+    ids, s = list(kind), Scratch(spark)
+    hub = [("t0", x, k) for x, k in zip(ids[1:], itertools.cycle(["usesType", "returns"]))]
+    some = [(rng.choice(ids), rng.choice(ids), rng.choice(["calls", "returns", "usesType"])) for _ in range(22)]
+    does = [(f"t{rng.randrange(7)}", f"t{rng.randrange(7)}", "implements") for _ in range(8)]
+    held = [(f"t{rng.randrange(7)}", f"m{i}", "contains") for i in range(6)] + [("t1", "m1", "contains")]
+    more = [("m1", "t1", "returns"), ("m2", "t1", "returns"), ("m3", "m4", "calls")]
+    nodes = spark.createDataFrame([(i, k, i, "", "") for i, k in kind.items()], "id string, kind string, name string, grp string, role string")
+    edges = [(*e, n) for n, e in enumerate(hub[:: seed + 1] + some + does + held + more)]
+    g = Graph(nodes, spark.createDataFrame([(a, b, k, n) for a, b, k, n in edges], "src string, dst string, kind string, seq long"))
+    listed, threes = s.save(patterns.instances(g, 3, s)), patterns.Threes(g, s)
+    same = lambda a, b: sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
+    assert same(threes.counts(), patterns.motif_groups(listed, 1))
+    assert same(threes.type_shapes(), patterns.type_shapes(listed, g))
+    assert same(threes.extract_interface(), patterns.extract_interface(listed, g))
+    assert same(threes.extract_interface(1), patterns.extract_interface(listed, g, 1))
+    assert threes.shut.count() < 6 * listed.count()
