@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from loomgraph.functions.scalars import edge_layer, first_of, node_layer, xml_escape
 from loomgraph.graph import Graph
+from loomgraph.plans.scratch import Scratch
 
 JSON_VERSION = 1
 NODE_JSON = "struct<id:string,kind:string,name:string,qname:string,pos:struct<File:string,Line:int,Col:int>,attrs:map<string,string>>"
@@ -155,7 +156,7 @@ def write_graphml(g: Graph, path: str) -> None:
 
 
 def read_graphml(spark: SparkSession, path: str, flavour: str = "generic") -> Graph:
-    """GraphML documents, parsed on the executors by a streaming parser, one document a row.
+    """GraphML documents, read in pieces and parsed on the executors by a streaming parser, one task a document.
 
     Attributes are trimmed and stand under their declared names, undeclared keys under their own;
     a key that is declared for the other kind of element doesn't count. Ids, labels and kinds follow
@@ -164,7 +165,7 @@ def read_graphml(spark: SparkSession, path: str, flavour: str = "generic") -> Gr
     """
     from loomgraph.sources.graphs import element_rows
 
-    rows = element_rows(spark, path)
+    rows = Scratch(spark).save(element_rows(spark, path), "elements")  # read many times, parsed once
     names = FLAVOURS[flavour]
     nodes = rows.where("element = 'node'").select("seq", F.coalesce(F.nullif(first_of(F.col("attrs"), *names["id"]), F.lit("")), "xml_id").alias("id"), "attrs", F.col("xml_id"))
     nodes = nodes.select(

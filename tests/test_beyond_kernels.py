@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from loomgraph.graph import Graph
 from loomgraph.operators import findings, linalg, motifs, patterns, records, sparse, spectral
 from loomgraph.plans.scratch import Scratch
+from loomgraph.sources import graphs
 
 
 def graph(spark, pairs, ids=(), kind="calls"):
@@ -148,3 +149,27 @@ def test_semantic_clusters_beyond_a_kernel(spark):
     found = sorted(map(tuple, spectral.semantic_clusters(df, most=4, bound=20).collect()))
     assert [r[:3] for r in found] == [r[:3] for r in want] and len(found) == 60
     assert found[0][3] == pytest.approx(want[0][3])
+
+
+@pytest.mark.parametrize("ending", ["", "\n", " <!-- a > b -->", " <!-- a > b -->\n"])
+def test_a_document_is_read_in_pieces(spark, tmp_path, ending):
+    """A document of one line, keys at its end, read by many tasks: no row is long, and its nodes are whole and in order."""
+    data = "".join(f'<data key="k">{i} <!-- > -->é &gt; ]<x>no</x>no</data><data key="other">&#10;</data>' for i in range(3))
+    nodes = "".join(f'<node id="n{i}">{data}</node><edge source="n{i}" target="n0" a="&gt;>"/>' for i in range(2000))
+    text = f'<?xml version="1.0" encoding="UTF-8"?><graphml xmlns="urn:g"><graph>{nodes}</graph><key id="k" for="node" attr.name="label"/></graphml>{ending}'
+    for name in "ab":
+        (tmp_path / f"{name}.graphml").write_text(text)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "64k")
+    try:
+        pieces = graphs._pieces(spark, str(tmp_path))
+        assert pieces.select("path", "start").distinct().count() > 4
+        assert pieces.agg(F.max(F.length("part"))).first()[0] < len(text) / 20
+        found = graphs.element_rows(spark, str(tmp_path)).collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert len(found) == 8000
+    assert sorted((r.seq, r.element, r.xml_id) for r in found) == sorted([(2 * i, "node", f"n{i}") for i in range(2000)] * 2 + [(2 * i + 1, "edge", "") for i in range(2000)] * 2)
+    assert {tuple(sorted(r.attrs.items())) for r in found if r.element == "node"} == {(("label", "2 é > ]"), ("other", ""))}
+    (tmp_path / "c.graphml").write_text(text[: len(text) // 2])
+    with pytest.raises(Exception, match="no element found|unclosed token|not well-formed"):
+        graphs.element_rows(spark, str(tmp_path / "c.graphml")).collect()
