@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from loomgraph.graph import Graph
 from loomgraph.operators import motifs
-from loomgraph.operators.sparse import MOST_PAIRS, Sparse, by_component, split
+from loomgraph.operators.sparse import MOST_PAIRS, Sparse, by_component, parts, split
 from loomgraph.operators.traversal import components
 from loomgraph.plans.scratch import Scratch
 
@@ -82,14 +82,11 @@ def summary_by_joins(g: Graph, scratch: Scratch) -> DataFrame:
     return parts.crossJoin(F.broadcast(g.undirected().agg((2.0 * F.count("*")).alias("total"))))
 
 
-def moments_by_joins(g: Graph) -> DataFrame:
+def moments_by_joins(g: Graph, scratch: Scratch | None = None) -> DataFrame:
     """nodes, m1, m2, m3: sums of the Laplacian's eigenvalues and of their squares and cubes, from degrees and triangles."""
-    pairs = Scratch(g.nodes.sparkSession).save(g.undirected(), "undirected")
-    d = pairs.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").cast("double").alias("d"))
-    x = F.col("d")
-    sums = d.agg(F.sum(x).alias("m1"), F.sum(x * x + x).alias("m2"), F.sum(x * x * x + 3 * x * x).alias("c"))
-    nodes, three = g.nodes.agg(F.count("*").alias("nodes")), motifs.triangle_count(pairs)
-    return nodes.crossJoin(F.broadcast(sums)).crossJoin(F.broadcast(three)).select("nodes", "m1", "m2", (F.col("c") - 6 * F.col("t")).alias("m3"))
+    nodes, m1 = g.nodes.agg(F.count("*").alias("nodes")), F.col("d1")
+    sums = motifs.moments(g, scratch).select(m1.alias("m1"), (F.col("d2") + m1).alias("m2"), (F.col("d3") + 3 * F.col("d2") - 6 * F.col("t")).alias("m3"))
+    return nodes.crossJoin(F.broadcast(sums))
 
 
 def _by_size(g: Graph, scratch: Scratch) -> tuple[DataFrame, DataFrame, bool, bool]:
@@ -247,7 +244,7 @@ def articulation_points(g: Graph, scratch: Scratch, least: int = 1) -> DataFrame
         best = cut_vertices(s)
         return pa.table({"id": pa.array([s.ids[x] for x in best], pa.string()), "guarded": pa.array(list(best.values()), pa.int64())})
 
-    return pairs_by_component(g, scratch).groupBy("component").applyInArrow(kernel, "id string, guarded long").where(F.col("guarded") >= least)
+    return parts(g, scratch).groupBy("component").applyInArrow(kernel, "id string, guarded long").where(F.col("guarded") >= least)
 
 
 def eigen_centrality(g: Graph, scratch: Scratch, rounds: int = 100) -> DataFrame:

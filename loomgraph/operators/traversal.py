@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph.graph import Graph
-from loomgraph.operators.components import checksum, connected_components
+from loomgraph.operators.components import checksum, connected_components, grouped_components
 from loomgraph.plans.scratch import Scratch, fixpoint
 
 #: Rounds of a search after which what is known is written as one table, so that plans stay short.
@@ -106,6 +106,9 @@ def closure(pairs: DataFrame, scratch: Scratch) -> DataFrame:
 
 def components(g: Graph, scratch: Scratch, kinds: tuple[str, ...] | None = None) -> DataFrame:
     """(id, component) of the undirected projection; the component is its smallest node."""
+    if g.groups is not None and kinds is None:
+        _, parts = scratch.held(g.groups, lambda: grouped_components(g.groups, scratch))
+        return g.nodes.select("id").join(parts, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
     parts = connected_components(g.undirected(kinds).select(F.col("a").alias("u"), F.col("b").alias("v")), scratch)
     return g.nodes.select("id").join(parts.withColumnRenamed("node", "id"), "id", "left").select("id", F.coalesce("component", "id").alias("component"))
 

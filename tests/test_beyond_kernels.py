@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomgraph.graph import Graph
-from loomgraph.operators import findings, linalg, motifs, patterns, records, sparse, spectral
+from loomgraph.operators import components, findings, linalg, motifs, patterns, records, sparse, spectral, traversal
 from loomgraph.plans.scratch import Scratch
 from loomgraph.sources import graphs
 
@@ -173,3 +173,36 @@ def test_a_document_is_read_in_pieces(spark, tmp_path, ending):
     (tmp_path / "c.graphml").write_text(text[: len(text) // 2])
     with pytest.raises(Exception, match="no element found|unclosed token|not well-formed"):
         graphs.element_rows(spark, str(tmp_path / "c.graphml")).collect()
+
+
+@pytest.mark.parametrize("most", [1 << 22, 20])
+def test_graph_of_groups(spark, monkeypatch, most):
+    """What is told of a graph by its groups is told by its pairs, which are not made: parts, curvature, moments, cut vertices."""
+    monkeypatch.setattr(sparse, "MOST_PAIRS", most)
+    rng = random.Random(4)
+    sets = [rng.choices([f"{c}{i}" for i in range(n)], k=rng.randrange(1, 5)) for c, n, m in (("p", 40, 45), ("q", 9, 6), ("r", 6, 6)) for _ in range(m)]
+    pairs = sorted({p for s in sets for p in itertools.combinations(sorted(set(s)), 2)})
+    plain = graph(spark, pairs, {x for s in sets for x in s} | {"z"})
+    groups = spark.createDataFrame([(n, x) for n, s in enumerate(sets) for x in s], "grp long, id string")
+    none = plain.edges.withColumn("src", F.expr("assert_true(false, 'pairs are made')").cast("string"))
+    g, rows = Graph(plain.nodes, none, groups), lambda df: sorted(map(tuple, df.collect()))
+    same = lambda f: rows(f(g, Scratch(spark))) == rows(f(plain, Scratch(spark)))
+    assert linalg.fits_kernel(g, Scratch(spark))
+    assert rows(motifs.curvature(g)) == rows(motifs.curvature(plain.undirected()))
+    assert same(lambda x, s: linalg.moments_by_joins(x, s)) and same(lambda x, s: linalg.articulation_points(x, s))
+    for share in (1, 1000):
+        parts = components.grouped_components(groups, Scratch(spark), share)[1]
+        assert {r.id: r.component for r in parts.collect()}.items() <= dict(rows(traversal.components(plain, Scratch(spark)))).items()
+
+
+def test_components_by_one_task_and_by_rounds(spark, monkeypatch):
+    rng = random.Random(2)
+    pairs = [(rng.randrange(60), rng.randrange(60)) for _ in range(40)] + [(i, i + 1) for i in range(100, 140)]
+    for kind in ("long", "string"):
+        df = spark.createDataFrame(pairs, "u long, v long").select(*(F.col(c).cast(kind).alias(c) for c in "uv"))
+        found = sorted(map(tuple, components.connected_components(df, Scratch(spark)).collect()))
+        monkeypatch.setattr(components, "ONE_TASK", 30)
+        some = sorted(map(tuple, components.connected_components(df, Scratch(spark)).collect()))
+        monkeypatch.setattr(components, "ONE_TASK", 0)
+        assert found == some == sorted(map(tuple, components.connected_components(df, Scratch(spark)).collect()))
+        monkeypatch.undo()
