@@ -473,7 +473,7 @@ def _(spark, d):
 
 @query("curvature_tail", with_(PARTS, sql.UNDIRECTED) + CURVATURE + "SELECT a, b, kappa FROM k ORDER BY kappa, a, b LIMIT 10")
 def _(spark, d):
-    return statistics.top(motifs.curvature(derive.cooccurrence(spark, d)), 10, F.col("kappa"), F.col("a"), F.col("b")).select("a", "b", "kappa")
+    return statistics.top(motifs.curvature(derive.cooccurrence(spark, d), 10), 10, F.col("kappa"), F.col("a"), F.col("b")).select("a", "b", "kappa")
 
 
 @query("two_hop", with_(NATIONS, sql.UNDIRECTED) + "SELECT id, other FROM both_ways UNION SELECT a.id, b.other FROM both_ways a JOIN both_ways b ON a.other = b.id WHERE a.id <> b.other")

@@ -228,3 +228,19 @@ def test_groups_are_packed_by_component(spark, rows):
         assert {tuple(sorted((s.ids[a], s.ids[b]))) for a, b in zip(s.a, s.b)} == {p for p in pairs if want[p[0]] == part}
     none = components.grouped_components(groups.limit(0), Scratch(spark))
     assert [x.count() for x in none] == [0, 0]
+
+
+@pytest.mark.parametrize("most", [1 << 22, 20])
+def test_the_least_curvatures(spark, monkeypatch, most):
+    """The first by (kappa, a, b) are among what is sent, and a component in a task sends no others; ids are ordered by code points."""
+    monkeypatch.setattr(sparse, "MOST_PAIRS", most)
+    rng = random.Random(8)
+    pairs = {tuple(sorted((f"{c}{a}", f"{c}{b}"))) for c, n in (("p", 60), ("é", 9), ("\U0001f600", 9), ("～", 9)) for a, b in ((rng.randrange(14), rng.randrange(14)) for _ in range(n)) if a != b}
+    df = spark.createDataFrame(sorted(pairs), "a string, b string")
+    order = lambda r: (r.kappa, r.a, r.b)
+    want = sorted(motifs.curvature(df).collect(), key=order)
+    parts = traversal.components(graph(spark, sorted(pairs)), Scratch(spark)).select("component").distinct().count()
+    for n in (0, 4, 1000):
+        found = sorted(motifs.curvature(df, n).collect(), key=order)
+        assert found[:n] == want[:n] and set(found) <= set(want)
+        assert len(found) <= n * parts or most == 20
