@@ -6,11 +6,13 @@ for a count a round.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph.graph import Graph
-from loomgraph.operators.components import checksum, connected_components, grouped_components
+from loomgraph.operators.components import checksum, connected_components, grouped_components, ranked
 from loomgraph.plans.scratch import Scratch, fixpoint
 
 #: Rounds of a search after which what is known is written as one table, so that plans stay short.
@@ -131,18 +133,73 @@ def _peel(pairs: DataFrame, scratch: Scratch, rounds: int = 4) -> DataFrame:
     return pairs
 
 
+#: Most pairs whose strong components are left to one task.
+ONE_TASK = 1 << 22
+
+
+def _strong(batches):
+    """(id, scc) of all nodes of the pairs (src, dst), by one search in depth."""
+    table = pa.Table.from_batches(list(batches))
+    ids, codes = ranked(pa.chunked_array([*table.column("src").chunks, *table.column("dst").chunks]))
+    src, n = codes[: len(table)], len(ids)
+    to, ends = codes[len(table) :][np.argsort(src, kind="stable")].tolist(), np.cumsum(np.bincount(src, minlength=n))
+    next_, end = (ends - np.bincount(src, minlength=n)).tolist(), ends.tolist()
+    order, low, part = [0] * n, [0] * n, [-1] * n
+    open_, seen = [], 0
+    for root in range(n):
+        if order[root]:
+            continue
+        seen += 1
+        order[root] = low[root] = seen
+        open_.append(root)
+        path = [root]
+        while path:
+            node, at = path[-1], next_[path[-1]]
+            if at < end[node]:
+                next_[node] = at + 1
+                other = to[at]
+                if not order[other]:
+                    seen += 1
+                    order[other] = low[other] = seen
+                    open_.append(other)
+                    path.append(other)
+                elif part[other] < 0:
+                    low[node] = min(low[node], order[other])
+                continue
+            path.pop()
+            if path:
+                low[path[-1]] = min(low[path[-1]], low[node])
+            if low[node] == order[node]:
+                members = [open_.pop()]
+                while members[-1] != node:
+                    members.append(open_.pop())
+                least = min(members)
+                for x in members:
+                    part[x] = least
+    named = pa.array(ids, table.schema.field("src").type)
+    yield from pa.table({"id": named, "scc": named.take(pa.array(part))}).to_batches(1 << 16)
+
+
 def strong_components(nodes: DataFrame, pairs: DataFrame, scratch: Scratch) -> DataFrame:
     """(id, scc): the smallest node of each strongly connected component.
 
-    Nodes at the ends of paths are peeled off first. The rest is solved by colours: each node takes
+    At most ONE_TASK pairs are searched by one task, whatever their paths. Of more the nodes at the ends of
+    paths are peeled off first, and the rest is solved by colours, until few enough are left: each node takes
     the smallest id that reaches it and the smallest id that it reaches, both in one pass; the nodes
     of which both are the same id form that id's component, and are taken out. Colours jump: a node
     also takes its colour's colour, so rounds grow with the logarithm of a path along which ids rise,
     and at worst with the path (a plain cycle, against its ids). No closure is built.
     """
-    left = _peel(scratch.save(pairs.where("src <> dst").select("src", "dst").distinct(), "pairs"), scratch)
+    left, (rows,) = scratch.save_seen(pairs.where("src <> dst").select("src", "dst").distinct(), "pairs", F.count(F.lit(1)))
+    if rows > ONE_TASK:
+        left = _peel(left, scratch)
+        rows = left.count()
     done: DataFrame | None = None
-    while True:
+    while rows:
+        if rows <= ONE_TASK:
+            part = scratch.save(left.coalesce(1).mapInArrow(_strong, ", ".join(f"{c} {t}" for c, (_, t) in zip(("id", "scc"), left.dtypes))), "scc")
+            done = part if done is None else done.unionByName(part)
+            break
         ids = left.select(F.col("src").alias("id")).unionByName(left.select(F.col("dst").alias("id"))).distinct()
 
         def spread_colours(state: DataFrame, left: DataFrame = left) -> DataFrame:
@@ -162,8 +219,6 @@ def strong_components(nodes: DataFrame, pairs: DataFrame, scratch: Scratch) -> D
         rest = colour.where("f <> b")
         same = left.join(rest.select(F.col("id").alias("src"), F.struct("f", "b").alias("x")), "src").join(rest.select(F.col("id").alias("dst"), F.struct("f", "b").alias("y")), "dst").where("x = y")
         left, (rows,) = scratch.save_seen(same.select("src", "dst"), "left", F.count(F.lit(1)))
-        if not rows:
-            break
     if done is None:
         return nodes.select("id", F.col("id").alias("scc"))
     return nodes.select("id").join(done, "id", "left").select("id", F.coalesce("scc", "id").alias("scc"))

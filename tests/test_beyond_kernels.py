@@ -259,3 +259,29 @@ def test_sides_of_triangles(monkeypatch, table):
             monkeypatch.setattr(sparse, "STEP", step)
             assert sparse.Sparse(n, *np.array(pairs).T).sides().tolist() == [len(near[a] & near[b]) for a, b in pairs]
     assert len(sparse.Sparse(0, *np.empty((2, 0), np.int64)).sides()) == 0
+
+
+@pytest.mark.parametrize("most", [1 << 22, 25, 0])
+def test_strong_components_by_one_task_and_by_colours(spark, monkeypatch, most):
+    monkeypatch.setattr(traversal, "ONE_TASK", most)
+    rng = random.Random(11)
+    pairs = [(f"v{rng.randrange(30)}", f"v{rng.randrange(30)}") for _ in range(45)] + [("x", "y"), ("y", "x"), ("z", "z")]
+    g = graph(spark, pairs)
+    reach = {(a, b) for a, b in pairs}
+    while wider := {(a, d) for a, b in reach for c, d in reach if b == c} - reach:
+        reach |= wider
+    ids = {x for p in pairs for x in p}
+    want = {i: min([i, *(j for j in ids if (i, j) in reach and (j, i) in reach)]) for i in ids}
+    assert len(set(want.values())) < len(ids)
+    assert dict(map(tuple, traversal.strong_components(g.nodes, g.directed(), Scratch(spark)).collect())) == want
+
+
+def test_a_long_path_has_few_rounds(spark, monkeypatch):
+    """A path against its ids, and a ring: as many tables as for a short one."""
+    saved, save = [], Scratch.save
+    monkeypatch.setattr(Scratch, "save", lambda self, df, name="cut": saved.append(name) or save(self, df, name))
+    pairs = [(f"n{i:04d}", f"n{i - 1:04d}") for i in range(1, 3000)] + [(f"r{i:04d}", f"r{(i - 1) % 3000:04d}") for i in range(3000)]
+    g = graph(spark, pairs)
+    found = dict(map(tuple, traversal.strong_components(g.nodes, g.directed(), Scratch(spark)).collect()))
+    assert found == {f"n{i:04d}": f"n{i:04d}" for i in range(3000)} | {f"r{i:04d}": "r0000" for i in range(3000)}
+    assert len(saved) < 10
