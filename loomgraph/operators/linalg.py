@@ -9,6 +9,8 @@ have no such bound.
 
 from __future__ import annotations
 
+from array import array
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -16,8 +18,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph.graph import Graph
-from loomgraph.operators import motifs
-from loomgraph.operators.sparse import MOST_PAIRS, Sparse, by_component, parts, split
+from loomgraph.operators import motifs, sparse
+from loomgraph.operators.blocks import Large, coded, decoded
+from loomgraph.operators.components import distinct
+from loomgraph.operators.sparse import MOST_PAIRS, Sparse, by_component, parted, parts, split
 from loomgraph.operators.traversal import components
 from loomgraph.plans.scratch import Scratch
 
@@ -191,6 +195,13 @@ def pairs_by_component(g: Graph, scratch: Scratch) -> DataFrame:
     return by_component(g.undirected(), scratch)
 
 
+def certificate(s: Sparse) -> np.ndarray:
+    """The pairs of two forests, the first breadth-first and the second of what it leaves: the same nodes cut them, also together with other pairs."""
+    one = s.forest()
+    rest = np.flatnonzero(~one)
+    return np.concatenate([np.flatnonzero(one), rest[Sparse(s.n, s.a[rest], s.b[rest]).forest()]])
+
+
 def cut_vertices(s: Sparse) -> dict[int, int]:
     """The cut vertices of a connected graph, each with the size of the largest part it cuts off from the first node.
 
@@ -198,13 +209,12 @@ def cut_vertices(s: Sparse) -> dict[int, int]:
     whichever node is taken out, so the search in depth has two pairs a node to look at at most.
     """
     if len(s.a) > 2 * s.n:
-        one = s.forest()
-        rest = np.flatnonzero(~one)
-        two = rest[Sparse(s.n, s.a[rest], s.b[rest]).forest()]
-        kept = np.concatenate([np.flatnonzero(one), two])
+        kept = certificate(s)
         s = Sparse(s.n, s.a[kept], s.b[kept])
-    start, to = s.start.tolist(), s.to.tolist()
-    order, low, size, next_ = [-1] * s.n, [0] * s.n, [1] * s.n, start[:-1]
+    # arrays of numbers take a fourth of what lists of them do
+    held = lambda x: array("q", np.asarray(x, np.int64).tobytes())
+    start, to, next_ = held(s.start), held(s.to), held(s.start[:-1])
+    order, low, size = held(np.full(s.n, -1)), held(np.zeros(s.n)), held(np.ones(s.n))
     best: dict[int, int] = {}
     stack, children, seen = [(0, -1)], 0, 1
     order[0] = 0
@@ -237,14 +247,54 @@ def cut_vertices(s: Sparse) -> dict[int, int]:
 
 
 def articulation_points(g: Graph, scratch: Scratch, least: int = 1) -> DataFrame:
-    """Cut vertices of the undirected projection and the size of the largest part each one guards."""
+    """Cut vertices of the undirected projection and the size of the largest part each one guards.
+
+    Of a large component of groups each task sends two forests of its pairs; two tasks' are made one's, until one task has them all.
+    """
 
     def kernel(table: pa.Table) -> pa.Table:
         s = Sparse.of(table)
         best = cut_vertices(s)
         return pa.table({"id": pa.array([s.ids[x] for x in best], pa.string()), "guarded": pa.array(list(best.values()), pa.int64())})
 
-    return parts(g, scratch).groupBy("component").applyInArrow(kernel, "id string, guarded long").where(F.col("guarded") >= least)
+    if g.groups is None:
+        found = parts(g, scratch).groupBy("component").applyInArrow(kernel, "id string, guarded long")
+    else:
+        small, large = parted(g, scratch, sparse.MOST_PAIRS)
+        found = small.groupBy("component").applyInArrow(kernel, "id string, guarded long")
+        if large is not None:
+            found = found.unionByName(_cut_large(large, scratch))
+    return found.where(F.col("guarded") >= least)
+
+
+def _cut_large(of: Large, scratch: Scratch) -> DataFrame:
+    """``articulation_points`` of large components."""
+    n, schema = of.nodes, "part int, task int, body binary"
+
+    def row(part: int, task: int, s: Sparse, ids: np.ndarray) -> pa.Table:
+        kept = certificate(s)
+        body = coded(np.sort(ids[s.a[kept]] * n + ids[s.b[kept]]))
+        return pa.table({"part": pa.array([part], pa.int32()), "task": pa.array([task], pa.int32()), "body": pa.array([body], pa.binary())})
+
+    def read(bodies: pa.Table) -> tuple[Sparse, np.ndarray]:
+        keys = distinct(np.concatenate([np.empty(0, np.int64), *(decoded(x.as_buffer()) for x in bodies.column("body"))]))
+        a, b = keys // n, keys % n
+        ids = distinct(np.concatenate([a, b]))
+        return Sparse(len(ids), np.searchsorted(ids, a), np.searchsorted(ids, b)), ids
+
+    def merged(key, bodies):
+        return row(key[0].as_py(), key[1].as_py(), *read(bodies))
+
+    def cut(key, bodies):
+        s, ids = read(bodies)
+        best = cut_vertices(s)
+        return pa.table({"number": pa.array([int(ids[x]) for x in best], pa.int64()), "guarded": pa.array(list(best.values()), pa.int64())})
+
+    found = scratch.save(of.mapped(lambda part, task, ids, a, b: row(part, task, Sparse(len(ids), a, b), ids), schema), "forests")
+    while found.agg(F.max("task")).first()[0]:
+        two = found.select("part", F.floor(F.col("task") / 2).cast("int").alias("task"), "body")
+        found = scratch.save(two.groupBy("part", "task").applyInArrow(merged, schema), "forests")
+    return found.groupBy("part").applyInArrow(cut, "number long, guarded long").join(of.names, "number").select("id", "guarded")
 
 
 def eigen_centrality(g: Graph, scratch: Scratch, rounds: int = 100) -> DataFrame:

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomgraph.graph import Graph
-from loomgraph.operators import components, findings, linalg, motifs, patterns, records, sparse, spectral, traversal
+from loomgraph.operators import blocks, components, findings, linalg, motifs, patterns, records, sparse, spectral, traversal
 from loomgraph.plans.scratch import Scratch
 from loomgraph.sources import graphs
 
@@ -311,3 +311,58 @@ def test_numbers_are_zipped(most):
         values = rng.integers(0, most, sum(counts), endpoint=True).astype(np.int32)
         found = [components._unzipped(x) for x in components._zipped(values, np.array(counts)).to_pylist()]
         assert [len(x) for x in found] == counts and np.concatenate(found).tolist() == values.tolist()
+
+
+@pytest.fixture(scope="module")
+def one_large():
+    """Sets that are one component, with a hub, a chain and far pairs: the sets, pairs and neighbours."""
+    rng = random.Random(4)
+    sets = [rng.sample([f"p{i}" for i in range(60)], rng.randrange(2, 6)) for _ in range(50)]
+    sets += [["p1", f"p{i}"] for i in range(100, 130)] + [[f"p{i}", f"p{i + 1}"] for i in range(120, 150)] + [["p1", f"p{i}"] for i in range(60)]
+    pairs = sorted({p for s in sets for p in itertools.combinations(sorted(set(s)), 2)})
+    near = {}
+    for a, b in pairs:
+        near.setdefault(a, set()).add(b)
+        near.setdefault(b, set()).add(a)
+    return sets, pairs, near
+
+
+def _large(spark, monkeypatch, sets):
+    """The graph of the sets as a component of too many pairs for one task, in several blocks and dealt to several tasks; no paths may be joined."""
+    for what, name, value in ((sparse, "MOST_PAIRS", 20), (blocks, "NEIGHBOURS", 250), (blocks, "STEP", 50), (components, "ROWS", 120)):
+        monkeypatch.setattr(what, name, value)
+    monkeypatch.setattr(motifs, "triangles_by_joins", None)
+    groups = spark.createDataFrame([(n, x) for n, s in enumerate(sets) for x in s], "grp long, id string")
+    return Graph(groups.select("id").distinct(), spark.createDataFrame([], "src string, dst string, kind string, seq long"), groups)
+
+
+@pytest.mark.parametrize("named", [1 << 22, 5])
+def test_triangles_of_a_large_component(spark, monkeypatch, one_large, named):
+    sets, pairs, near = one_large
+    monkeypatch.setattr(blocks, "MOST_NAMES", named)
+    g = _large(spark, monkeypatch, sets)
+    assert sorted(map(tuple, motifs.triangles(g).collect())) == [(a, b, c) for a, b in pairs for c in sorted(near[a] & near[b]) if c > b]
+
+
+def test_moments_of_a_large_component(spark, monkeypatch, one_large):
+    sets, pairs, near = one_large
+    d = [len(x) for x in near.values()]
+    want = (*(sum(x**k for x in d) for k in (1, 2, 3)), sum(len(near[a] & near[b]) for a, b in pairs) // 3)
+    assert tuple(motifs.moments(_large(spark, monkeypatch, sets)).first()) == want
+
+
+@pytest.mark.parametrize("least", [None, 7])
+def test_curvature_of_a_large_component(spark, monkeypatch, one_large, least):
+    sets, pairs, near = one_large
+    want = [(a, b, t := len(near[a] & near[b]), 4 - len(near[a]) - len(near[b]) + 3 * t) for a, b in pairs]
+    order = lambda r: (r[3], r[0], r[1])
+    found = sorted(map(tuple, motifs.curvature(_large(spark, monkeypatch, sets), least).collect()), key=order)
+    assert (found == sorted(want, key=order)) if least is None else (found[:least] == sorted(want, key=order)[:least] and len(found) < len(want))
+
+
+def test_cut_vertices_of_a_large_component(spark, monkeypatch, one_large):
+    sets, pairs, _ = one_large
+    want = sorted(map(tuple, linalg.articulation_points(graph(spark, pairs), Scratch(spark)).collect()))
+    monkeypatch.setattr(linalg, "parts", None)  # a component in one task
+    g = _large(spark, monkeypatch, sets)
+    assert len(want) > 20 and sorted(map(tuple, linalg.articulation_points(g, Scratch(spark)).collect())) == want
