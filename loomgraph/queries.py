@@ -446,11 +446,6 @@ def _(spark, d):
 
 # --- triangles, curvature, motifs -------------------------------------------------------------
 
-def _pairs_of(g: Graph) -> DataFrame:
-    """The undirected pairs as a written table: what follows reads them several times, and deriving them is a join."""
-    return Scratch(g.nodes.sparkSession).save(g.undirected(), "pairs")
-
-
 TRIANGLES = ", t AS (SELECT x.a AS x, x.b AS y, y.b AS z FROM und x JOIN und y ON x.b = y.a JOIN und w ON w.a = x.a AND w.b = y.b)"
 
 
